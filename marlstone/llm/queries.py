@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from marlstone.llm import bpe, langid, mixing, pii, secrets, simhash
+from marlstone.llm import ann, bpe, langid, mixing, pii, secrets, simhash, topk, warc
 
-MODULES = [simhash, langid, bpe, secrets, mixing, pii]
+MODULES = [simhash, warc, ann, langid, bpe, secrets, topk, mixing, pii]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
