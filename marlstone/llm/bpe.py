@@ -291,6 +291,20 @@ def digests(text: str | Column, path: str, spark) -> Column:
     return of(text)
 
 
+def coded(text: str | Column, path: str, spark) -> Column:
+    """Struct (ids, decoded) of a text column, in one pass."""
+    spec = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
+
+    @F.pandas_udf("ids array<int>, decoded string")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = encoder(spec.value)
+        for s in texts:
+            ids = [own.encode(t) for t in s]
+            yield pd.DataFrame({"ids": pd.Series([np.array(x, np.int32) for x in ids], dtype=object), "decoded": pd.Series([own.decode(x) for x in ids], dtype=object)})
+
+    return of.asNondeterministic()(text)  # one pass, however many columns use it
+
+
 def default_path() -> str:
     import public_tokenizers
 

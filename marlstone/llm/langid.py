@@ -164,7 +164,7 @@ def predicted(model: Filter, text: str | Column, spark) -> Column:
         for s in texts:
             yield pd.DataFrame([decide(fitted, t) for t in s], columns=["lang", "score"])
 
-    return of(text)
+    return of.asNondeterministic()(text)  # one pass, even if a filter and a column both use it
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -108,22 +108,24 @@ def schedule(aims: DataFrame, block: int = BLOCK) -> DataFrame:
     return _before(owned, ["number"], "chunk", ["slot"], "one", "mix-slots").select("slot", "number", F.col("before").alias("rank"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix, and the documents it is made of.
 
     Mix: (slot, row, key, epoch, first, words): the words of document ``row`` from ``first`` on that
-    the slot holds. Documents: (row, key, source, size, source_size, target).
+    the slot holds. Documents: (row, key, source, size, source_size, target). ``row`` is the column
+    of that name, or else a number given here.
     """
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(F.lit("mix"), key, F.crc32(F.coalesce(F.col(text), F.lit("")))).alias("at"))
+    given = [F.col(row).alias("row")] if row else []
+    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(F.lit("mix"), key, F.crc32(F.coalesce(F.col(text), F.lit("")))).alias("at"), *given)
     sized = written(sized, "mix-sizes")
     aims = targets(sized, weights, share, repeats)
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")  # a row per source
     aims = written(aims.select("*", number.alias("number"), F.ceil(F.floor("target") / block).alias("blocks")), "mix-targets")
 
-    named = sized.join(aims, sized["source"].eqNullSafe(aims["source"])).select("key", sized["source"], "size", "at", "number", "source_size", "target", F.floor("target").alias("words"))
+    named = sized.join(aims, sized["source"].eqNullSafe(aims["source"])).select("key", sized["source"], "size", "at", "number", "source_size", "target", F.floor("target").alias("words"), *(["row"] if row else []))
     binned = named.withColumn("bin", F.shiftrightunsigned("at", 64 - BINS.bit_length() + 1))
     laid = _before(binned, ["number"], "bin", ["at", "key", "size"], "size", "mix-laid")
-    laid = written(laid.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    laid = written(laid if row else laid.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
 
     runs = laid.where("size > 0 and source_size > 0").select("row", "key", "number", "words", "size", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("epoch"), "before", "source_size")
     runs = runs.withColumn("start", F.col("before") + F.col("epoch") * F.col("source_size")).withColumn("stop", F.least(F.col("start") + F.col("size"), "words")).where("start < stop")
@@ -142,6 +144,18 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return rows.join(words, "row", "left").select(F.col("key").alias(key), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """``docs`` as the mix takes them: a row for each time it takes a document, or the greater part of it.
+
+    Documents without words have nothing to take and go.
+    """
+    held = written(docs, "mix-docs").withColumn("_mix_row", F.monotonically_increasing_id())
+    placed, rows = mix(held, key, text, source, row="_mix_row", **how)
+    words = placed.groupBy("row", "epoch").agg(F.sum("words").alias("words"))
+    times = words.join(rows.select("row", "size"), "row").where(2 * F.col("words") >= F.col("size")).select(F.col("row").alias("_mix_row"))
+    return held.join(times, "_mix_row").drop("_mix_row")
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return taken(docs).drop("source")
