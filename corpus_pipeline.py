@@ -3,14 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from marlstone.llm import bpe, langid, mixing, secrets, simhash
+from marlstone.session import written
 
-ORACLE_SQL = None
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go; a missing label is filled in."""
+    found = langid.identify(docs, out="_found").where(F.col("_found.lang") != langid.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "_found.lang")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return simhash.one_of_each(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; documents stay."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and the text that they decode to."""
+    coded = docs.withColumn("_coded", bpe.coded("text", bpe.default_path(), spark))
+    return coded.select("doc_id", "lang", "source", "n_chars", F.size("_coded.ids").cast("long").alias("n_tokens"), F.col("_coded.ids").alias("ids"), F.col("_coded.decoded").alias("decoded"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("secret scans", secret_scan),
+    ("source mix", source_mix),
+    ("BPE coding", bpe_coding),
+]
+
+ORACLE_SQL = None  # fingerprints, automata and token ids have no SQL form; tests hold each stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
