@@ -63,23 +63,22 @@ def distinct_codes(rows: DataFrame, group: list[str], code: str, order: list[str
 def pick_without_reuse(rows: DataFrame, group: list[str], order: str, user: str, duplicate: str, n: int) -> DataFrame:
     """In order, rows whose user and duplicate group are not used yet, up to n of each group.
 
-    The choice depends on earlier ones through two keys, so each (small) group is walked in pandas.
+    The choice depends on earlier ones through two keys, so each (small) group is folded as an
+    array; equal places in the order go by the row's other columns.
     """
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        users, groups, kept = set(), set(), []
-        for place, row in frame.sort_values(order, kind="stable").iterrows():
-            own_user, own_group = row[user], row[duplicate]
-            if len(kept) == n:
-                break
-            if own_user in users or (pd.notna(own_group) and own_group in groups):
-                continue
-            users.add(own_user)
-            groups.add(own_group)
-            kept.append(place)
-        return frame.loc[kept]
-
-    return rows.groupBy(*group).applyInPandas(walk, rows.schema)
+    rest = [c for c in rows.columns if c not in (*group, order)]
+    ordered = F.array_sort(F.collect_list(F.struct(order, *rest)))
+    none = F.expr("cast(array() as array<string>)")
+    start = F.struct(none.alias("users"), none.alias("groups"), F.slice("_all", 1, 0).alias("kept"))
+
+    def step(acc: Column, row: Column) -> Column:
+        own, group_of = row[user].cast("string"), row[duplicate].cast("string")
+        used = F.coalesce(F.array_contains(acc["users"], own), F.lit(False)) | F.coalesce(F.array_contains(acc["groups"], group_of), F.lit(False))
+        taken = F.struct(F.array_append(acc["users"], own).alias("users"), F.array_append(acc["groups"], group_of).alias("groups"), F.array_append(acc["kept"], row).alias("kept"))
+        return F.when(~used & (F.size(acc["kept"]) < n), taken).otherwise(acc)
+
+    folded = rows.groupBy(*group).agg(ordered.alias("_all")).select(*group, F.aggregate("_all", start, step)["kept"].alias("_kept"))
+    return folded.select(*group, F.explode("_kept").alias("_row")).select(*group, "_row.*").select(*rows.columns)
 
 
 def constrained_best(candidates: DataFrame, group: list[str], most: float) -> DataFrame:
