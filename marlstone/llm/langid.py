@@ -9,7 +9,8 @@ rows (``PER_LANGUAGE`` each) and has a fixed size; every text is read whole.
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is
 every text where no labelled row is left to learn from; ties go to the first language by
 name; ids may repeat or be null (a null id counts as an empty one when rows are held out);
-empty tables give empty results; other columns pass through.
+empty tables give empty results; other columns pass through, one named as the result is
+replaced.
 """
 
 from __future__ import annotations

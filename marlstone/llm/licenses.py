@@ -11,7 +11,8 @@ and all else happens within a row. Only files that have a phrase's rarest word a
 
 Defined results: a null text counts as empty; texts without words give no places and score 0;
 repeated rows and null ids give a row each; on an empty table all frequencies are zero and
-the result is empty; other columns are ignored.
+the result is empty; other columns pass through, but one named ``license`` is replaced and
+``_words``, ``_any``, ``_hits`` and ``_at_...`` are the scan's own.
 """
 
 from __future__ import annotations

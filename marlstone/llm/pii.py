@@ -7,7 +7,9 @@ character back), and a run is tried from its first character only (``\\G`` lets
 match begin where the last one ended).
 
 Defined results: null text counts as empty; empty text has no spans; repeated rows and
-repeated or null ids are scanned row by row; other columns of the input are ignored.
+repeated or null ids are scanned row by row; an empty table gives an empty result; other
+columns pass through, but one named ``pii`` is replaced and names of a kind behind an
+underscore (``_email``, ``_body``) are the scan's own.
 """
 
 from __future__ import annotations

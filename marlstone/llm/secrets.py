@@ -211,4 +211,27 @@ def _of_rank(rank: int):
     return lambda s: s["rank"] == rank
 
 
+def _sql() -> str:
+    """The same spans by DuckDB's matcher: gaps and matches alternate, so their lengths add up to the starts."""
+
+    def matched(rank: int, rule: Rule) -> str:
+        p = rule.pattern.replace("'", "''")
+        keep = f"length(regexp_extract(s.value, '{p}', {rule.group})) >= {rule.least}"
+        return f"""list_filter(list_transform(regexp_extract_all(body, '{p}'), lambda v, i:
+            {{'start': list_sum(list_transform(string_split_regex(body, '{p}')[1:i], lambda g: length(g)))
+                      + coalesce(list_sum(list_transform(regexp_extract_all(body, '{p}')[1:i-1], lambda h: length(h))), 0),
+              'rank': {rank}, 'kind': '{rule.kind}', 'value': v}}), lambda s: {keep}) AS m_{rule.kind}"""
+
+    whole = lambda xs: f"array_to_string(list_transform(list_sort({xs}), lambda s: s.kind || ':' || s.start::BIGINT || ':' || (s.start::BIGINT + length(s.value))), ',')"
+
+    def joined(kinds: list[str]) -> str:
+        return f"m_{kinds[0]}" if len(kinds) == 1 else f"list_concat({joined(kinds[:-1])}, m_{kinds[-1]})"
+
+    counts = ", ".join(f"len(m_{r.kind})::BIGINT AS n_{r.kind}" for r in BASE)
+    return f"""
+    SELECT doc_id, {counts}, sha256({whole(joined([r.kind for r in BASE]))}) AS base_sha256, {whole(joined([r.kind for r in RULES]))} AS spans
+    FROM (SELECT doc_id, {", ".join(matched(i, r) for i, r in enumerate(RULES))} FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents))"""
+
+
 QUERIES = {"op7_secrets": op7_secrets}
+ORACLES = {"op7_secrets": _sql()}
