@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, langid, mixing, secrets, simhash
-from marlstone.session import written
+from marlstone.session import bounded_batches, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go; a missing label is filled in."""
+    bounded_batches(spark)
     found = langid.identify(docs, out="_found").where(F.col("_found.lang") != langid.UNKNOWN)
     return found.withColumn("lang", F.coalesce("lang", "_found.lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    bounded_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; documents stay."""
+    bounded_batches(spark)
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -34,6 +37,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and the text that they decode to."""
+    bounded_batches(spark)
     coded = docs.withColumn("_coded", bpe.coded("text", bpe.default_path(), spark))
     return coded.select("doc_id", "lang", "source", "n_chars", F.size("_coded.ids").cast("long").alias("n_tokens"), F.col("_coded.ids").alias("ids"), F.col("_coded.decoded").alias("decoded"))
 

@@ -55,6 +55,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> SparkSession:
+    """Bound the bytes, not only the rows, of the Arrow batches that go to Python workers.
+
+    Ten thousand rows of whole texts are many megabytes, of which a worker holds several copies.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied tables as a lazy scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
