@@ -27,6 +27,12 @@ def running_sums(table: DataFrame, group: list[str], order: str, amounts: list[s
     return joined.select(*[own[c] for c in table.columns], *[(F.col(f"_own_{a}") + F.col(f"_before_{a}")).alias(f"cum_{a}") for a in amounts])
 
 
+def numbered(table: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: each row's place in its group's order, from 1; large groups spread over many tasks."""
+    marked = table.withColumn("_order", F.struct(*order)).withColumn("_one", F.lit(1).cast("long"))
+    return running_sums(marked, group, "_order", ["_one"]).drop("_order", "_one").withColumnRenamed("cum__one", name)
+
+
 def first_per(table: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in an order (ties cut by the order's last columns)."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -92,5 +98,4 @@ def stratified(reference: DataFrame, candidates: DataFrame, value: str, n: int,
             take[donor] += moved
             lack -= moved
     quota = F.element_at(F.create_map(*[F.lit(x) for b, k in take.items() for x in (b, k)]), F.col("_bin"))
-    place = F.row_number().over(Window.partitionBy("_bin").orderBy(rank))
-    return binned(candidates).withColumn("_place", place).where(F.col("_place") <= quota).drop("_place", "_bin")
+    return numbered(binned(candidates), ["_bin"], [rank], "_place").where(F.col("_place") <= quota).drop("_place", "_bin")

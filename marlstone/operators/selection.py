@@ -7,18 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.hashing import fingerprint, key_family, seed
-from marlstone.operators.ordered import first_per
+from marlstone.operators.ordered import first_per, numbered
 
 
 def assign_splits(problems: DataFrame, dev: dict[str, int], base: int = 42, key: str = "problem_key") -> DataFrame:
-    """Adds ``family`` and ``split``: of each family the first k by seed are dev, the rest test.
-
-    A family has as many rows as it has problems; the window's groups are families.
-    """
-    ranked = problems.withColumn("family", key_family(F.col(key))).withColumn("_seed", seed(F.lit("split"), F.lit(base), F.col(key)))
-    place = F.row_number().over(Window.partitionBy("family").orderBy("_seed", key))
+    """Adds ``family`` and ``split``: of each family the first k by seed are dev, the rest test."""
+    own = problems.withColumn("family", key_family(F.col(key)))
+    ranked = numbered(own, ["family"], [seed(F.lit("split"), F.lit(base), F.col(key)), F.col(key)], "_place")
     wanted = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in dev.items() for x in (k, n)]), F.col("family")), F.lit(0))
-    return ranked.withColumn("split", F.when(place <= wanted, "dev").otherwise("test")).drop("_seed")
+    return ranked.withColumn("split", F.when(F.col("_place") <= wanted, "dev").otherwise("test")).drop("_place")
 
 
 def extra_dev_count(n_extra: Column, dev: int, total: int) -> Column:
@@ -29,9 +26,9 @@ def extra_dev_count(n_extra: Column, dev: int, total: int) -> Column:
 def assign_extra(keys: DataFrame, assigned: DataFrame, dev: int, total: int, base: int = 42, key: str = "problem_key") -> DataFrame:
     """Splits for keys that have none yet."""
     extra = keys.select(key).distinct().join(assigned.select(key), key, "left_anti").withColumn("family", key_family(F.col(key)))
-    place = F.row_number().over(Window.partitionBy("family").orderBy(seed(F.lit("extra"), F.lit(base), F.col(key)), key))
-    n = F.count("*").over(Window.partitionBy("family"))
-    return extra.withColumn("split", F.when(place <= extra_dev_count(n, dev, total), "dev").otherwise("test"))
+    ranked = numbered(extra, ["family"], [seed(F.lit("extra"), F.lit(base), F.col(key)), F.col(key)], "_place")
+    counts = extra.groupBy("family").agg(F.count("*").alias("_n"))
+    return ranked.join(counts, "family").withColumn("split", F.when(F.col("_place") <= extra_dev_count(F.col("_n"), dev, total), "dev").otherwise("test")).select(key, "family", "split")
 
 
 def deduplicate(candidates: DataFrame, key: str, code: str, excluded: DataFrame | None = None) -> DataFrame:

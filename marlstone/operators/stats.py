@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.hashing import seed
 from marlstone.functions.scores import HIGHEST
-from marlstone.operators.ordered import running_sums
+from marlstone.operators.ordered import numbered, running_sums
+from marlstone.session import written
 
 LEAST_NEGATIVES = 1000  # below, a 1 % threshold rests on too few rows
 
@@ -83,11 +84,11 @@ def replicates(clusters: DataFrame, group: list[str], cluster: str, amounts: lis
 
 def _drawn(clusters: DataFrame, group: list[str], cluster: str, n: int, label: str, base: int) -> DataFrame:
     """The clusters that each replicate draws, a row per draw."""
-    within = Window.partitionBy(*group)
-    numbered = clusters.withColumn("_pick", F.row_number().over(within.orderBy(cluster)) - 1).withColumn("_k", F.count("*").over(within))
-    draws = numbered.select(*group, F.col("_pick").alias("_j"), "_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
+    placed = numbered(clusters, group, [F.col(cluster)], "_at").withColumn("_pick", F.col("_at") - 1).drop("_at")
+    sized = _beside(placed, clusters.groupBy(*group).agg(F.count("*").alias("_k")), group)
+    draws = sized.select(*group, F.col("_pick").alias("_j"), "_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
     draws = draws.select(*group, "replicate", F.pmod(seed(F.lit(label), F.lit(base), F.col("replicate"), F.col("_j")), F.col("_k")).alias("_pick"))
-    return _beside(draws, numbered.drop("_k"), [*group, "_pick"])
+    return _beside(draws, placed, [*group, "_pick"])
 
 
 def percentile_interval(samples: DataFrame, group: list[str], value: Column, alpha: float = 0.05) -> DataFrame:
@@ -120,14 +121,14 @@ def statistic_interval(table: DataFrame, group: list[str], cluster: str, value:
 
 def auroc_interval(table: DataFrame, group: list[str], cluster: str, score: str, positive: Column, n: int = 200, label: str = "auroc") -> DataFrame:
     """AUROC with an interval: positives resampled by cluster, negatives row by row."""
-    kept = table.select(*group, cluster, F.col(score).alias("_score"), positive.alias("_positive")).withColumn("_unit", F.when(F.col("_positive"), F.concat(F.lit("c"), F.col(cluster).cast("string"))).otherwise(F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string"))))
+    kept = written(table.select(*group, cluster, F.col(score).alias("_score"), positive.alias("_positive")).withColumn("_unit", F.when(F.col("_positive"), F.concat(F.lit("c"), F.col(cluster).cast("string"))).otherwise(F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string")))), "auroc-rows")
     units = kept.groupBy(*group, "_positive", "_unit").agg(F.lit(1).alias("one"))
-    within = Window.partitionBy(*group, "_positive")
-    numbered = units.withColumn("_pick", F.row_number().over(within.orderBy("_unit")) - 1).withColumn("_k", F.count("*").over(within))
-    draws = numbered.select(*group, "_positive", F.col("_pick").alias("_j"), "_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
+    placed = numbered(units, [*group, "_positive"], [F.col("_unit")], "_at").withColumn("_pick", F.col("_at") - 1).drop("_at")
+    sized = _beside(placed, units.groupBy(*group, "_positive").agg(F.count("*").alias("_k")), [*group, "_positive"])
+    draws = sized.select(*group, "_positive", F.col("_pick").alias("_j"), "_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
     draws = draws.withColumn("_pick", F.pmod(seed(F.lit(label), F.col("_positive").cast("string"), F.col("replicate"), F.col("_j")), F.col("_k")))
     times = draws.groupBy(*group, "_positive", "replicate", "_pick").agg(F.count("*").alias("times"))
-    drawn = times.join(numbered.select(*group, "_positive", "_pick", "_unit"), [*group, "_positive", "_pick"])
+    drawn = times.join(placed.select(*group, "_positive", "_pick", "_unit"), [*group, "_positive", "_pick"])
     rows = drawn.join(kept, [*group, "_positive", "_unit"]).groupBy(*group, "replicate", "_score").agg(F.sum(F.when(F.col("_positive"), F.col("times")).otherwise(0)).alias("pos"), F.sum(F.when(~F.col("_positive"), F.col("times")).otherwise(0)).alias("neg"))
     cum = running_sums(rows, [*group, "replicate"], "_score", ["pos", "neg"])
     values = cum.groupBy(*group, "replicate").agg(F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") * 0.5)), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
@@ -142,8 +143,8 @@ def group_folds(table: DataFrame, group: str, label: str, folds: int = 5, base:
     """Adds ``fold``: all rows of a group in one fold, classes balanced by dealing groups of each majority label in turn."""
     groups = table.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("ones"), F.count("*").alias("rows"))
     kind = groups.withColumn("_kind", 2 * F.col("ones") >= F.col("rows"))
-    place = F.row_number().over(Window.partitionBy("_kind").orderBy(seed(F.lit("fold"), F.lit(base), F.col(group)), group))
-    return table.join(kind.select(group, F.pmod(place - 1, F.lit(folds)).cast("int").alias("fold")), group)
+    placed = numbered(kind, ["_kind"], [seed(F.lit("fold"), F.lit(base), F.col(group)), F.col(group)], "_place")
+    return table.join(placed.select(group, F.pmod(F.col("_place") - 1, F.lit(folds)).cast("int").alias("fold")), group)
 
 
 def fold_violations(table: DataFrame, group: str) -> DataFrame:
