@@ -112,14 +112,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """The documents with one row left of each near-duplicate group.
 
     It is that with the smallest key (rows without a key come last), then the smallest
-    fingerprint; of rows equal in both, which are copies of each other, any one.
+    fingerprint; of rows equal in both, which are copies of each other, any one. Texts are
+    shuffled once: the rows that stay are known by their number in the table written here.
     """
-    held = written(docs.withColumn("_simhash", simhash(text)), "simhash-docs")
-    marked = held.select(F.col(key).alias("key"), F.col("_simhash").alias("fp"))
-    first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "fp")).alias("first")
-    kept = written(marked.join(_grouped(marked), "fp").groupBy("root").agg(first).select("first.key", "first.fp"), "simhash-kept")
-    found = held.join(kept, held[key].eqNullSafe(kept["key"]) & (held["_simhash"] == kept["fp"]), "left_semi")
-    return found.dropDuplicates([key, "_simhash"]).drop("_simhash")
+    held = written(docs.withColumn("_simhash", simhash(text)).withColumn("_simhash_row", F.monotonically_increasing_id()), "simhash-docs")
+    marked = held.select(F.col(key).alias("key"), F.col("_simhash").alias("fp"), F.col("_simhash_row").alias("row"))
+    first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "fp", "row")).alias("first")
+    kept = written(marked.join(_grouped(marked), "fp").groupBy("root").agg(first).select(F.col("first.row").alias("_simhash_row")), "simhash-kept")
+    return held.join(kept.hint("merge"), "_simhash_row", "left_semi").select(*docs.columns)  # the same plan at every size
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
