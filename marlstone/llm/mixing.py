@@ -149,7 +149,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
     Documents without words have nothing to take and go.
     """
-    held = written(docs, "mix-docs").withColumn("_mix_row", F.monotonically_increasing_id())
+    held = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-docs")
     placed, rows = mix(held, key, text, source, row="_mix_row", **how)
     words = placed.groupBy("row", "epoch").agg(F.sum("words").alias("words"))
     times = words.join(rows.select("row", "size"), "row").where(2 * F.col("words") >= F.col("size")).select(F.col("row").alias("_mix_row"))
