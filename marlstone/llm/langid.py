@@ -82,26 +82,30 @@ def _slots(hashes: np.ndarray) -> list[np.ndarray]:
 
 def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for lang, texts in b.groupby("lang")["text"]:
-            own = [np.unique(np.concatenate(g)) for t in texts if (g := list(grams(t)))]
+        for lang, rows in b.groupby("lang"):
+            own = [(np.unique(np.concatenate(g)), w) for t, w in zip(rows["text"], rows["copies"], strict=True) if (g := list(grams(t)))]
             if own:
-                gram, n = np.unique(np.concatenate(own), return_counts=True)
+                gram, at = np.unique(np.concatenate([g for g, _ in own]), return_inverse=True)
+                n = np.bincount(at, np.repeat([float(w) for _, w in own], [g.size for g, _ in own])).astype(np.int64)
                 yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": n})
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Filter:
-    """Fit the filter on about ``per_language`` rows of each language, chosen by a hash of the row.
+    """Fit the filter on about ``per_language`` rows of each language, chosen by a hash of the text.
 
+    Copies of a text are in or out together and meet in one row with their number, so the sample
+    stays bounded however often a text is repeated.
     What reaches the driver is the filter's own slots: at most 2^SLOT_BITS for each eight languages.
     """
-    labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 30)).alias("at")).where("lang is not null and text is not null")
+    labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("at")).where("lang is not null and text is not null")
     totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(totals)
     width = max(1, -(-len(languages) // 8))
     if not languages:
         return Filter([], np.zeros((1 << SLOT_BITS, width), np.uint8), np.zeros(0))
     rate = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, per_language / n))])
-    sample = labelled.where(F.col("at") < rate[F.col("lang")] * (1 << 30)).select("lang", "text")
+    chosen = labelled.where(F.pmod("at", F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
+    sample = chosen.groupBy("lang", "at").agg(F.first("text").alias("text"), F.count("*").alias("copies")).drop("at")
     taken = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, float(min(n, per_language)))])
     number = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
     common = (
