@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 
 from marlstone.session import read_table
 
-MEMORY = 1 << 17  # words whose ids a worker keeps
+MEMORY = 1 << 17  # words whose ids a worker keeps, and half the pairs it has tested
 SHORT = 48  # bytes; longer words are encoded each time
 # Fixed value: the pattern of the file's pre-tokenizer, for texts below PLAIN.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -160,9 +160,11 @@ class Encoder:
     def __init__(self, spec: str) -> None:
         self.words = vocabulary(spec)
         self.automaton = SuffixAutomaton(self.words.symbols, self._reachable())
-        self.rules = Tokenizer.from_str(spec)
-        self.known: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        found = json.loads(spec)
+        found["model"] |= {"vocab": {}, "merges": []}  # only its normalizer and pre-tokenizer are used
+        self.rules = Tokenizer.from_str(json.dumps(found | {"added_tokens": []}))
+        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers: an eighth of a list's size
+        self.pairs: dict[int, bool] = {}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.words.special)) + ")") if self.words.special else None
 
     def _reachable(self) -> list[bool]:
@@ -173,17 +175,16 @@ class Encoder:
         return own
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether merging the string of tokens a and b gives back a and b."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) > 8 * MEMORY:
-                self.pairs.clear()
-            found = self.pairs[a, b] = apart(self.words, a, b, len(self.words.parts))
+        """Whether merging the string of tokens a and b gives back a and b; kept in ``pairs``."""
+        if len(self.pairs) > 2 * MEMORY:
+            self.pairs.clear()
+        found = self.pairs[a * len(self.words.parts) + b] = apart(self.words, a, b, len(self.words.parts))
         return found
 
-    def word(self, data: bytes) -> list[int]:
-        """Ids of one word."""
+    def word(self, data: bytes) -> bytes:
+        """Ids of one word, as little-endian 32-bit numbers."""
         step, link, token, nearest, length = self.automaton.step, self.automaton.link, self.automaton.token, self.automaton.nearest, self.automaton.length
+        known, fits, n = self.pairs, self.fits, len(self.words.parts)
         symbols = [*data[:-1], data[-1] + 256]
         last: list[int] = []
         state = matched = 0
@@ -196,7 +197,11 @@ class Encoder:
             at = nearest[state] if matched == length[state] else nearest[link[state]]  # a state's longest string may not be here whole
             while True:
                 t, before = token[at], i - length[at]
-                if before < 0 or self.fits(last[before], t):
+                if before < 0:
+                    break
+                a = last[before]
+                fit = known.get(a * n + t)
+                if fits(a, t) if fit is None else fit:
                     break
                 at = nearest[link[at]]
             last.append(t)
@@ -205,7 +210,7 @@ class Encoder:
             t = last[i - 1]
             out.append(self.words.ids[t])
             i -= len(self.words.symbols[t])
-        return out[::-1]
+        return np.array(out[::-1], "<u4").tobytes()
 
     def _pieces(self, text: str) -> list[str]:
         if not EXOTIC.search(text):
@@ -214,27 +219,32 @@ class Encoder:
         cut = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))
         return [bytes(name[c] for c in piece).decode("utf-8") for piece, _ in cut]
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text, as little-endian 32-bit numbers."""
+        out: list[bytes] = []
+        known = self.known
         parts = self.marks.split(text or "") if self.marks else [text or ""]
         for i, part in enumerate(parts):
             if i % 2:
-                out.append(self.words.special[part])
+                out.append(self.words.special[part].to_bytes(4, "little"))
                 continue
             for piece in self._pieces(part):
-                found = self.known.get(piece)
+                found = known.get(piece)
                 if found is None:
                     found = self.word(data := piece.encode("utf-8"))
                     if len(data) <= SHORT:
-                        if len(self.known) >= MEMORY:
-                            self.known.clear()
-                        self.known[piece] = found
-                out += found
-        return out
+                        if len(known) >= MEMORY:
+                            known.clear()
+                        known[piece] = found
+                out.append(found)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.packed(text), "<u4")
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The tokens' names with spaces between them: the file names no decoder."""
-        return " ".join([self.words.names[i] for i in ids])
+        return " ".join(map(self.words.names.__getitem__, np.asarray(ids).tolist()))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -256,7 +266,7 @@ def encoded(text: str | Column, path: str, spark) -> Column:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(spec.value)
         for s in texts:
-            yield pd.Series([np.array(own.encode(t), np.int32) for t in s], dtype=object)
+            yield pd.Series([own.encode(t).astype(np.int32) for t in s], dtype=object)
 
     return of(text)
 
@@ -285,7 +295,7 @@ def digests(text: str | Column, path: str, spark) -> Column:
             rows = []
             for t in s:
                 ids = own.encode(t)
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
+                rows.append((ids.size, hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return of(text)
@@ -300,7 +310,7 @@ def coded(text: str | Column, path: str, spark) -> Column:
         own = encoder(spec.value)
         for s in texts:
             ids = [own.encode(t) for t in s]
-            yield pd.DataFrame({"ids": pd.Series([np.array(x, np.int32) for x in ids], dtype=object), "decoded": pd.Series([own.decode(x) for x in ids], dtype=object)})
+            yield pd.DataFrame({"ids": pd.Series([x.astype(np.int32) for x in ids], dtype=object), "decoded": pd.Series([own.decode(x) for x in ids], dtype=object)})
 
     return of.asNondeterministic()(text)  # one pass, however many columns use it
 

@@ -23,7 +23,7 @@ def both():
 
 def same(both, text):
     mine, library = both
-    ids = mine.encode(text)
+    ids = mine.encode(text).tolist()
     assert ids == library.encode(text, add_special_tokens=False).ids
     assert mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
