@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, langid, mixing, secrets, simhash
+from marlstone.llm import bpe, langid, mixing, secrets, shingles
 from marlstone.session import bounded_batches, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,9 +19,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) stays."""
     bounded_batches(spark)
-    return simhash.one_of_each(docs)
+    return shingles.one_of_similar(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_id),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("secret scans", secret_scan),
     ("source mix", source_mix),
     ("BPE coding", bpe_coding),
