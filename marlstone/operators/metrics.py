@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.scores import detected
+from marlstone.operators.ordered import running_sums
 
 STATUSES = ("PASSED", "FAILED", "SYNTAX_ERROR", "COMPILE_ERROR", "RUNTIME_ERROR", "TIMEOUT", "NO_TESTS", "EXTRACTION_FAILED", "SANDBOX_ERROR")
 
@@ -67,6 +68,22 @@ def within_mean(reference: DataFrame, problem: str, ident: str, distance) -> Dat
     return per_row.groupBy(problem).agg(F.avg("mean").alias("within_mean"))
 
 
+def gap_means(marked: DataFrame, reference: DataFrame, problem: str, value: str) -> DataFrame:
+    """(problem, cross_mean, within_mean) for the distance |a - b|, without pairs: from counts per value and running sums.
+
+    Rows without a value don't count. A mean is null without a marked row and a reference row, or without two reference rows.
+    """
+    side = lambda t, m, r: t.where(F.col(value).isNotNull()).select(problem, F.col(value).cast("double").alias("_v"), F.lit(m).alias("_m"), F.lit(r).alias("_r"))
+    both = side(marked, 1, 0).unionByName(side(reference, 0, 1))
+    counts = both.groupBy(problem, "_v").agg(F.sum("_m").alias("_m"), F.sum("_r").alias("_r")).withColumn("_s", F.col("_v") * F.col("_r"))
+    totals = counts.groupBy(problem).agg(F.sum("_m").alias("_ms"), F.sum("_r").alias("_rs"), F.sum("_s").alias("_ss"))
+    gaps = F.col("_v") * (2 * F.col("cum__r") - F.col("_rs")) + F.col("_ss") - 2 * F.col("cum__s")  # sum of |v - w| over the reference
+    cum = running_sums(counts, [problem], "_v", ["_r", "_s"]).join(totals, problem)
+    mean = lambda own, pairs: F.try_divide(F.sum(F.col(own) * gaps), pairs.cast("double"))
+    rows = F.max("_rs")
+    return cum.groupBy(problem).agg(mean("_m", F.max("_ms") * rows).alias("cross_mean"), mean("_r", rows * (rows - 1)).alias("within_mean"))
+
+
 def conditional_preservation(before: DataFrame, after: DataFrame, problem: str) -> DataFrame:
     """P(passes after | passed before), and how many passed before."""
     joined = before.select(F.col("sample_id").alias("parent_id"), F.col("status").alias("was")).join(after, "parent_id").where("was = 'PASSED'")

@@ -211,14 +211,23 @@ def a23(spark, sf_dir):
     SELECT problem_key, round(c.v, 6) AS cross_mean, round(w.v, 6) AS within_mean FROM c JOIN w USING (problem_key)""",
 )
 def a25(spark, sf_dir):
-    from pyspark.sql import Window
+    return _a25(executions(spark, sf_dir).where("l_partkey % 10 = 0"))  # what its SQL asks for; a25_cross_and_within_mean_all has every problem
+
+
+def _a25(e):
+    means = metrics.gap_means(e.where("side = 'F'"), e.where("side = 'O'"), "problem_key", "loc")
+    return means.where("cross_mean is not null and within_mean is not null").select("problem_key", F.round("cross_mean", 6).alias("cross_mean"), F.round("within_mean", 6).alias("within_mean"))
 
-    e = executions(spark, sf_dir).where("l_partkey % 10 = 0")  # the problems compared; all their samples
-    e = e.withColumn("id", F.row_number().over(Window.partitionBy("problem_key").orderBy("l_orderkey", "sample_index", "l_suppkey", "loc", "elapsed_s")))
-    gap = F.abs(F.col("m.loc") - F.col("r.loc"))
-    cross = metrics.cross_mean(e.where("side = 'F'"), e.where("side = 'O'"), "problem_key", "id", gap)
-    within = metrics.within_mean(e.where("side = 'O'"), "problem_key", "id", gap)
-    return cross.join(within, "problem_key").select("problem_key", F.round("cross_mean", 6).alias("cross_mean"), F.round("within_mean", 6).alias("within_mean"))
+
+@query(
+    "a25_cross_and_within_mean_all",
+    f"""WITH {EXECUTIONS}, m AS (SELECT row_number() OVER (ORDER BY l_orderkey, sample_index, l_suppkey, loc, elapsed_s) AS id, * FROM ex),
+    c AS (SELECT problem_key, avg(d) AS v FROM (SELECT a.problem_key, a.id, avg(abs(a.loc - b.loc)) AS d FROM m a JOIN m b ON a.problem_key = b.problem_key AND a.side = 'F' AND b.side = 'O' GROUP BY ALL) GROUP BY problem_key),
+    w AS (SELECT problem_key, avg(d) AS v FROM (SELECT a.problem_key, a.id, avg(abs(a.loc - b.loc)) AS d FROM m a JOIN m b ON a.problem_key = b.problem_key AND a.side = 'O' AND b.side = 'O' AND a.id <> b.id GROUP BY ALL) GROUP BY problem_key)
+    SELECT problem_key, round(c.v, 6) AS cross_mean, round(w.v, 6) AS within_mean FROM c JOIN w USING (problem_key)""",
+)
+def a25_all(spark, sf_dir):
+    return _a25(executions(spark, sf_dir))
 
 
 @query("a29_four_way", f"WITH {DETECTIONS}, x AS (SELECT dataset, score >= 20 AS a, json_extract_string(extra_json, '$.k')::INT >= 50 AS b FROM det) SELECT dataset, avg((a AND b)::INT)::DOUBLE AS \"both\", avg((a AND NOT b)::INT)::DOUBLE AS only_first, avg((NOT a AND b)::INT)::DOUBLE AS only_second, avg((NOT a AND NOT b)::INT)::DOUBLE AS neither, count(*) AS n FROM x GROUP BY dataset")
