@@ -1,8 +1,13 @@
 """Queries and operators that do the whole job, whatever the size of a group."""
 
+import hashlib
 import random
 
-from marlstone.operators import metrics
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from marlstone.operators import metrics, stats
 from marlstone.plans.queries import QUERIES
 from marlstone.plans.views import executions
 from tests.oracles import SMALL
@@ -29,3 +34,43 @@ def test_a25_has_every_problem(spark):
     found = {r[0] for r in QUERIES["a25_cross_and_within_mean_all"](spark, SMALL).select("problem_key").collect()}
     sides = executions(spark, SMALL).groupBy("problem_key").agg({"*": "count"}).count()
     assert len(found) > 0.9 * sides and any(not p.endswith("0") for p in found)
+
+
+def test_auroc_interval_against_a_plain_bootstrap(spark):
+    """Positives drawn by cluster, negatives by row; the draws are seeds, so both sides make the same ones."""
+    rng = random.Random(7)
+    rows = [(rng.randrange(9), rng.randrange(30) / 2, rng.random() < 0.4) for _ in range(90)]
+    frame = spark.createDataFrame(rows, "c int, score double, pos boolean").coalesce(1).withColumn("g", F.lit("x"))
+    units = {True: {}, False: {}}
+    for c, score, pos in rows:
+        units[pos].setdefault(f"c{c}" if pos else f"r{len(units[False])}", []).append(score)  # negatives are numbered among themselves
+    seed = lambda *parts: int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:16], 16) % 2147483647
+
+    def area(p, n):
+        return sum((a > b) + 0.5 * (a == b) for a in p for b in n) / (len(p) * len(n))
+
+    def drawn(pos, replicate):
+        names = sorted(units[pos])
+        picks = [seed("auroc", str(pos).lower(), replicate, j) % len(names) for j in range(len(names))]
+        return [v for k in picks for v in units[pos][names[k]]]
+
+    values = [area(drawn(True, r), drawn(False, r)) for r in range(200)]
+    got = stats.auroc_interval(frame, ["g"], "c", "score", F.col("pos"), n=200).first()
+    all_of = {pos: [v for xs in units[pos].values() for v in xs] for pos in units}
+    assert got.auroc == pytest.approx(area(all_of[True], all_of[False]))
+    assert (got.ci_low, got.ci_high) == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])))
+
+
+@pytest.mark.parametrize(("name", "least"), [("m5_auroc_interval", 1000), ("m6_ratio_interval_2000", 2000), ("m8_mean_interval_2000", 2000), ("m9_median_interval_1000", 1000)])
+def test_replicates_of_interval_queries(spark, monkeypatch, name, least):
+    """Each query's replicates, as percentile_interval gets them, number at least those of the operator or the reference."""
+    seen, interval = [], stats.percentile_interval
+
+    def counted(samples, group, value, alpha=0.05):
+        sizes = samples.groupBy(*group).agg(F.countDistinct("replicate").alias("n")).agg(F.min("n")).first()[0]
+        seen.append(sizes)
+        return interval(samples, group, value, alpha)
+
+    monkeypatch.setattr(stats, "percentile_interval", counted)
+    QUERIES[name](spark, SMALL)
+    assert min(seen) >= least
