@@ -55,6 +55,17 @@ def auroc(table: DataFrame, group: list[str], score: str, positive: Column) -> D
     return cum.groupBy(*group).agg(F.try_divide(won, pairs).alias("auroc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
+def indexed_quantiles(table: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, p90, p50): the value at index 9 (n - 1) / 10, rounded down, of the group's sorted values, and their median.
+
+    From counts per value and running sums, so no group is gathered; rows without a value don't count.
+    """
+    counts = table.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
+    low = _beside(running_sums(counts, group, value, ["n"]), counts.groupBy(*group).agg(F.sum("n").alias("_n")), group)
+    at = lambda index: F.min(F.when(F.col("cum_n") > F.expr(index), F.col(value)))
+    return low.groupBy(*group).agg(at("(9 * (_n - 1)) div 10").alias("p90"), ((at("(_n - 1) div 2") + at("_n div 2")) / 2).alias("p50"))
+
+
 def ks(table: DataFrame, group: list[str], value: str, first: Column) -> DataFrame:
     """Per group the largest gap between the two empirical distributions."""
     cum = running_sums(_by_score(table, group, value, first), group, value, ["pos", "neg"])

@@ -213,9 +213,8 @@ def g4(spark, sf_dir):
 @query("g12_indexed_quantiles", "SELECT o_orderpriority AS level, list_sort(list(o_totalprice))[1 + floor(0.9 * (count(*) - 1))::INT] AS p90, median(o_totalprice) AS p50 FROM orders GROUP BY 1")
 def g12(spark, sf_dir):
     """The value at an index of the sorted list, as an exact percentile of the discrete kind."""
-    o = read_table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("level"))
-    index = F.floor(0.9 * (F.count("*") - 1)).cast("int")
-    return o.agg(F.get(F.array_sort(F.collect_list("o_totalprice")), index).alias("p90"), F.median("o_totalprice").alias("p50"))
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("level"), "o_totalprice")
+    return stats.indexed_quantiles(o, ["level"], "o_totalprice")
 
 
 @query("p13_compatible", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN regexp_matches(o_orderpriority, '^[12]') WHEN 'O' THEN regexp_matches(o_orderpriority, 'LOW') ELSE false END AS fits FROM orders")

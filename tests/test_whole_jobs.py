@@ -74,3 +74,18 @@ def test_replicates_of_interval_queries(spark, monkeypatch, name, least):
     monkeypatch.setattr(stats, "percentile_interval", counted)
     QUERIES[name](spark, SMALL)
     assert min(seen) >= least
+
+
+def test_indexed_quantiles_gather_no_group(spark):
+    """Values at places of the sorted group, nulls left out; no aggregate holds a group's values."""
+    rng = random.Random(6)
+    rows = [(g, rng.choice([None, *range(50)])) for g in ("a", None) for _ in range(101)] + [("b", 7), ("c", None)]
+    wanted = {}
+    for g in {g for g, _ in rows}:
+        if held := sorted(v for h, v in rows if h == g and v is not None):
+            n = len(held)
+            wanted[g] = (held[9 * (n - 1) // 10], (held[(n - 1) // 2] + held[n // 2]) / 2)
+    found = stats.indexed_quantiles(spark.createDataFrame(rows, "g string, v int"), ["g"], "v").collect()
+    assert {r.g: (r.p90, r.p50) for r in found} == wanted
+    plan = QUERIES["g12_indexed_quantiles"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(word in plan for word in ("collect_list", "percentile", "median"))
