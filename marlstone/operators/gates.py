@@ -29,8 +29,8 @@ def freeze_violations(selected: DataFrame, thresholds: DataFrame, candidates: Da
     """(cell columns, reason): everything that stands against freezing, in one table."""
     cell = ["method", "model_id", "language"]
     joined = selected.alias("s").join(thresholds.alias("t"), [*cell, "config_hash"], "left")
-    hashes = candidates.groupBy("method").agg(F.array_sort(F.collect_set("config_hash")).alias("hashes"))
-    per_cell = candidates.groupBy(*cell).agg(F.array_sort(F.collect_set("config_hash")).alias("own"))
+    hashes = candidates.groupBy("method").agg(F.countDistinct("config_hash").alias("hashes"))
+    per_cell = candidates.groupBy(*cell).agg(F.countDistinct("config_hash").alias("own"))  # of the method's, so equal counts are equal sets
     reasons = F.array(
         F.when(F.col("s.provisional"), "selection is provisional"), F.when(F.col("t.threshold").isNull(), "no threshold"), F.when(F.col("t.provisional"), "threshold is provisional"),
         F.when(F.array_sort(F.col("s.levels")) != F.array_sort(F.array(*[F.lit(x) for x in levels])), "levels differ"), F.when(F.col("own") != F.col("hashes"), "candidates differ between cells"),

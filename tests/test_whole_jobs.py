@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import metrics, stats
+from marlstone.operators import gates, metrics, stats
 from marlstone.plans.queries import QUERIES
 from marlstone.plans.views import executions
 from tests.oracles import SMALL
@@ -89,3 +89,14 @@ def test_indexed_quantiles_gather_no_group(spark):
     assert {r.g: (r.p90, r.p50) for r in found} == wanted
     plan = QUERIES["g12_indexed_quantiles"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(word in plan for word in ("collect_list", "percentile", "median"))
+
+
+def test_freeze_compares_counts(spark):
+    """A cell's hashes differ from its method's if some are missing; copies of a hash don't count twice."""
+    cells = "method string, model_id string, language string, config_hash string"
+    candidates = spark.createDataFrame([("m", "a", "py", h) for h in "xxyz"] + [("m", "b", "py", h) for h in "xyzz"] + [("m", "c", "py", h) for h in "xyyy"] + [("k", "a", "py", "w")], cells)
+    selected = candidates.groupBy("method", "model_id", "language").agg(F.min("config_hash").alias("config_hash")).select("*", F.lit(False).alias("provisional"), F.array(F.lit("L1")).alias("levels"), F.lit(False).alias("not_applicable"))
+    thresholds = selected.select("method", "model_id", "language", "config_hash", F.lit(1.0).alias("threshold"), F.lit(False).alias("provisional"))
+    found = gates.freeze_violations(selected, thresholds, candidates, ["L1"])
+    assert [tuple(r) for r in found.collect()] == [("m", "c", "py", "candidates differ between cells")]
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
