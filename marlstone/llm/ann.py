@@ -3,13 +3,19 @@
 Fit (on the driver, on ``SAMPLE`` rows at most): the sample's neighbour graph is cut into
 equal parts by repeated balanced bisection (order along the second eigenvector, split in the
 middle, then swaps that save edges), and a small network learns to tell from a vector how its
-neighbours are spread over the parts. The number of parts a query is routed to is the smallest
-at which queries kept out of the fit find ``AIM`` of their neighbours in the sample.
+neighbours are spread over the parts. Tables of more than ``DEEP`` rows a part have a second
+level: each part is cut and learnt again, on a sample of its own rows, by one task a part. The
+number of parts a query is routed to is the smallest at which queries kept out of the fit find
+``AIM`` of their neighbours in the sample.
 
-Search: every row goes to its most probable part, a query to its most probable parts, and
-candidates there are reranked by the exact cosine of the original vectors. Parts are cut into
-blocks of bounded size by row number, so a part that holds a third of all rows, or one vector
-many times over, is many groups.
+Search: every row goes to its most probable part, a query to its most probable parts (of both
+levels together), and candidates there are reranked by the exact cosine of the original vectors.
+Parts are cut into blocks of bounded size by row number, so a part that holds a third of all
+rows, or one vector many times over, is many groups; a row is copied only where a part is asked
+by more than ``QUERIES_IN_BLOCK`` queries.
+
+The samples are chosen by a hash of the vectors, copies once, so the answer does not depend on
+how the rows are laid out.
 
 Defined results: vectors null, zero, or holding null or non-finite components take no part;
 shorter vectors count as ending in zeros; a row never finds itself, but rows that repeat it do
@@ -19,6 +25,7 @@ queries; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,33 +34,76 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.vectors import FOUND, NO_ID, best, framed, matrix, merged, numbered
+from marlstone.llm.vectors import FOUND, best, matrix, merged, numbered
 from marlstone.session import read_table, written
 
-SAMPLE = 8192  # rows the index is fitted on at most
-HELD_OUT = 512  # of them, rows that only choose the number of probes
+SAMPLE = 8192  # rows that a partition is fitted on at most
+HELD_OUT = 1024  # of them, rows that only choose the number of probes
 NEIGHBOURS = 10
-PARTS = (8, 256)  # a part for about 200 sampled rows or 1,000 rows, within these
-AIM = 0.97
+PARTS = (8, 32)  # a part for about 200 sampled rows and 1,000 rows, within these, on either level
+DEEP = 1 << 15  # rows in a part from which on it is cut again
+AIM = 0.93
 HIDDEN = 128
 EPOCHS = 40
 ROWS = (512, 1 << 15)  # candidates in a block: a share of BLOCKS, within these
 BLOCKS = 128
-QUERIES_IN_BLOCK = 1 << 12
+QUERIES_IN_BLOCK = 1 << 14
 
 
 class Router(NamedTuple):
-    """A network of one hidden layer, and the number of parts a query is sent to."""
+    """A network of one hidden layer that tells parts from vectors of unit length."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int
 
     def logits(self, unit: np.ndarray) -> np.ndarray:
         return np.maximum(unit @ self.w1 + self.b1, 0) @ self.w2 + self.b2
 
+    def chances(self, unit: np.ndarray) -> np.ndarray:
+        """Logarithms of the parts' probabilities."""
+        z = self.logits(unit)
+        z -= z.max(axis=1, keepdims=True)
+        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+class Parts(NamedTuple):
+    """The router of the first level, and of the second by part, where there is one; parts are numbered through."""
+
+    top: Router
+    below: dict[int, Router]
+
+    @property
+    def width(self) -> int:
+        return max([1, *(len(r.b2) for r in self.below.values())])
+
+    def homes(self, unit: np.ndarray) -> np.ndarray:
+        """The part that a row goes to."""
+        first = self.top.logits(unit).argmax(axis=1)
+        second = np.zeros_like(first)
+        for p, r in self.below.items():
+            own = first == p
+            if own.any():
+                second[own] = r.logits(unit[own]).argmax(axis=1)
+        return first * self.width + second
+
+    def order(self, unit: np.ndarray) -> np.ndarray:
+        """All parts, the most probable first."""
+        first = self.top.chances(unit)
+        every = np.full((*first.shape, self.width), -np.inf)
+        for p in range(first.shape[1]):
+            if p in self.below:
+                own = self.below[p].chances(unit)
+                every[:, p, : own.shape[1]] = first[:, p, None] + own
+            else:
+                every[:, p, 0] = first[:, p]
+        return np.argsort(-every.reshape(len(unit), -1), axis=1, kind="stable")
+
+    @property
+    def count(self) -> int:
+        return sum(len(self.below[p].b2) if p in self.below else 1 for p in range(len(self.top.b2)))
+
 
 def unit(points: np.ndarray) -> np.ndarray:
     return points / np.linalg.norm(points, axis=1, keepdims=True)
@@ -116,24 +166,39 @@ def partition(graph: np.ndarray, parts: int, rng: np.random.Generator) -> np.nda
     return part
 
 
-def fit(points: np.ndarray, parts: int, seed: int = 7) -> Router:
-    """Partition the neighbour graph of the sample, and learn to route."""
+def parts_for(sampled: int, n: int) -> int:
+    parts = PARTS[0]
+    while parts < PARTS[1] and 2 * parts * 200 <= sampled and 2 * parts * 1000 <= n:
+        parts *= 2
+    return parts
+
+
+def kept_out(points: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The sample as unit vectors: those that only choose the number of probes, and those to fit on."""
+    x = unit(points)[np.random.default_rng(seed).permutation(len(points))]
+    n = min(HELD_OUT, len(x) // 5)
+    return x[:n], x[n:]
+
+
+def fit(x: np.ndarray, parts: int, seed: int = 7) -> Router:
+    """Partition the neighbour graph of unit vectors, and learn to route."""
     rng = np.random.default_rng(seed)
-    x = unit(points)[rng.permutation(len(points))]
-    kept_out, x = x[: min(HELD_OUT, len(x) // 5)], x[min(HELD_OUT, len(x) // 5) :]
     graph = nearest(x, x, min(NEIGHBOURS, len(x) - 1), same=True) if len(x) > 1 else np.zeros((len(x), 0), np.int64)
     part = partition(graph, parts, rng)
     aim = np.eye(parts)[part]
     if graph.size:
         aim = (aim + np.eye(parts)[part[graph]].sum(axis=1)) / (1 + graph.shape[1])
-    router = _trained(x, aim, parts, rng)
-    if not len(kept_out) or not graph.size:
-        return router._replace(probes=parts)
-    homes = router.logits(x).argmax(axis=1)
-    wanted = homes[nearest(kept_out, x, min(5, len(x)), same=False)]
-    ranks = np.argsort(np.argsort(-router.logits(kept_out), axis=1), axis=1)
+    return _trained(x, aim, parts, rng)
+
+
+def probes_for(parts: Parts, asking: np.ndarray, x: np.ndarray) -> int:
+    """The number of parts to ask so that ``asking`` find AIM of their neighbours among ``x``."""
+    if not len(asking) or len(x) < 2:
+        return parts.count
+    wanted = parts.homes(x)[nearest(asking, x, min(5, len(x)), same=False)]
+    ranks = np.argsort(parts.order(asking), axis=1)
     asked = np.sort(np.take_along_axis(ranks, wanted, axis=1).ravel())
-    return router._replace(probes=int(asked[int(np.ceil(AIM * asked.size)) - 1]) + 1)
+    return int(asked[int(np.ceil(AIM * asked.size)) - 1]) + 1
 
 
 def _trained(x: np.ndarray, aim: np.ndarray, parts: int, rng: np.random.Generator) -> Router:
@@ -156,18 +221,19 @@ def _trained(x: np.ndarray, aim: np.ndarray, parts: int, rng: np.random.Generato
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 values[i] = values[i] - rate * first[i] / (np.sqrt(second[i]) + 1e-8)
-    return Router(*values, probes=parts)
+    return Router(*values)
 
 
-def routed(vector: str | Column, router: Router, width: int, probes: int, spark) -> Column:
-    """The ``probes`` most probable parts of a vector column."""
-    shared = spark.sparkContext.broadcast(router)
+def routed(vector: str | Column, parts: Parts, width: int, probes: int | None, spark) -> Column:
+    """The ``probes`` most probable parts of a vector column, or its home if there is no such number."""
+    shared = spark.sparkContext.broadcast(parts)
 
     @F.pandas_udf("array<int>")
     def of(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in vectors:
-            scores = shared.value.logits(unit(matrix(pd.DataFrame({"v": s}), width))) if len(s) else np.zeros((0, 1))
-            yield pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32)), dtype=object)
+            x = unit(matrix(pd.DataFrame({"v": s}), width))
+            found = shared.value.homes(x)[:, None] if probes is None else shared.value.order(x)[:, :probes]
+            yield pd.Series(list(found.astype(np.int32)), dtype=object)
 
     return of(vector)
 
@@ -179,7 +245,8 @@ def rerank(queries: pd.DataFrame, rows: pd.DataFrame, width: int, k: int) -> pd.
     one, so that equal vectors have equal scores wherever they stand.
     """
     q, p = matrix(queries, width), matrix(rows, width)
-    names, own, numbers = rows["key"].to_numpy(np.int64), rows["row"].to_numpy(np.int64), queries["row"].to_numpy(np.int64)
+    names, known = rows["key"].to_numpy(np.int64), rows["known"].to_numpy(bool)
+    own, numbers = rows["row"].to_numpy(np.int64), queries["row"].to_numpy(np.int64)
     q_norm, p_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((p * p).sum(axis=1))
     out = []
     for at in range(0, len(q), 256) if len(p) else ():
@@ -189,10 +256,40 @@ def rerank(queries: pd.DataFrame, rows: pd.DataFrame, width: int, k: int) -> pd.
         for i, row in enumerate(near):
             may = np.flatnonzero((row >= least[i] - 1e-9) & (row > -np.inf))
             score = (p[may] * q[at + i]).sum(axis=1) / (p_norm[may] * q_norm[at + i])
-            top = best(score, names[may], k)
-            out.append((np.full(top.size, at + i), names[may][top], score[top]))
-    which = np.concatenate([np.zeros(0, np.int64), *[x[0] for x in out]])
-    return framed(numbers[which], queries["key"].to_numpy(np.int64)[which], np.concatenate([np.zeros(0, np.int64), *[x[1] for x in out]]), np.concatenate([np.zeros(0), *[x[2] for x in out]]))
+            top = best(score, names[may], known[may], k)
+            out.append((np.full(top.size, at + i), may[top], score[top]))
+    which, found = (np.concatenate([np.zeros(0, np.int64), *[x[j] for x in out]]) for j in (0, 1))
+    score = np.concatenate([np.zeros(0), *[x[2] for x in out]])
+    return pd.DataFrame({"query_row": numbers[which], "query_id": queries["key"].to_numpy(np.int64)[which], "vec_id": names[found], "known": known[found], "score": score})
+
+
+def _sampled(rows: DataFrame, rate: Column | float) -> DataFrame:
+    """About a share of the different vectors of ``rows`` (a copy is in whenever the other is), with a column ``at`` to order them by."""
+    at = F.xxhash64(F.lit("ann"), "v")
+    others = [c for c in rows.columns if c not in ("row", "key", "known", "v")]
+    chosen = rows.where(F.pmod(at, F.lit(1 << 30)) < rate * (1 << 30)).select(*others, at.alias("at"), "v")
+    return chosen.groupBy(*others, "at").agg(F.first("v").alias("v"))
+
+
+def learnt(rows: DataFrame, n: int, width: int) -> tuple[Parts, int]:
+    """The parts of a table of numbered rows, and how many of them a query has to ask."""
+    spark = rows.sparkSession
+    sample = _sampled(rows, F.lit(min(1.0, SAMPLE / n))).orderBy("at").limit(SAMPLE).toPandas()
+    asking, x = kept_out(matrix(sample, width))
+    parts = Parts(fit(x, parts_for(len(sample), n)), {})
+    if n > DEEP * parts.count:
+        homed = written(rows.withColumn("part", routed("v", parts, width, None, spark)[0]), "ann-first")
+        sizes = homed.groupBy("part").agg(F.count("*").alias("n"))  # a row per part
+        large = homed.join(F.broadcast(sizes.where(F.col("n") > DEEP)), "part").withColumn("rate", F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n")))
+
+        def again(own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values("at").head(SAMPLE)
+            router = fit(unit(matrix(own, width)), parts_for(len(own), int(own["n"].iloc[0])))
+            return pd.DataFrame({"part": own["part"].iloc[:1], "router": [pickle.dumps(router)]})
+
+        below = _sampled(large, F.col("rate")).groupBy("part").applyInPandas(again, "part int, router binary").collect()  # PARTS[1] routers at most
+        parts = Parts(parts.top, {r["part"]: pickle.loads(r["router"]) for r in below})  # noqa: S301
+    return parts, probes_for(parts, asking, x)
 
 
 def nearest_neighbours(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
@@ -206,14 +303,10 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, key: str = "vec_id",
     n, width = all_rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = all_rows.where(F.pmod(F.xxhash64(F.lit("ann"), "row"), F.lit(1 << 30)) < F.lit(int(min(1.0, 0.97 * SAMPLE / n) * (1 << 30)))).select("v").limit(SAMPLE).toPandas()
-    parts = PARTS[0]
-    while parts < PARTS[1] and 2 * parts * 200 <= len(sample) and 2 * parts * 1000 <= n:
-        parts *= 2
-    router = fit(matrix(sample, width), parts) if len(sample) else Router(np.zeros((width, 1)), np.zeros(1), np.zeros((1, parts)), np.zeros(parts), parts)
+    parts, probes = learnt(all_rows, n, width)
 
-    homes = written(all_rows.withColumn("part", routed("v", router, width, 1, spark)[0]), "ann-rows")
-    asked = written(all_rows.where(queries & (F.col("key") != NO_ID)).withColumn("probed", routed("v", router, width, router.probes, spark)), "ann-queries")
+    homes = written(all_rows.withColumn("part", routed("v", parts, width, None, spark)[0]), "ann-rows")
+    asked = written(all_rows.where(queries & F.col("known")).withColumn("probed", routed("v", parts, width, probes, spark)), "ann-queries")
     asked = asked.select("row", "key", "v", F.explode("probed").alias("part"))
 
     def blocks(frame: DataFrame, most: int, name: str) -> DataFrame:
@@ -222,14 +315,14 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, key: str = "vec_id",
     many = written(blocks(homes, min(max(n // BLOCKS, ROWS[0]), ROWS[1]), "row_blocks").join(blocks(asked, QUERIES_IN_BLOCK, "query_blocks"), "part"), "ann-blocks")  # a row per part
     part_of = lambda c: F.pmod(F.xxhash64("row"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    right = homes.join(F.broadcast(many), "part").select("part", "row", "key", "v", part_of("row_blocks").alias("b"), every("query_blocks").alias("a"))
+    right = homes.join(F.broadcast(many), "part").select("part", "row", "key", "known", "v", part_of("row_blocks").alias("b"), every("query_blocks").alias("a"))
     left = asked.join(F.broadcast(many), "part").select("part", "row", "key", "v", part_of("query_blocks").alias("a"), every("row_blocks").alias("b"))
 
     def of(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         return rerank(queries, rows, width, k)
 
     group = ["part", "a", "b"]
-    return merged(left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(of, FOUND), k, "double")
+    return merged(left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(of, FOUND), k, F.col("score"))
 
 
 def op4_ann(spark, sf_dir: str) -> DataFrame:

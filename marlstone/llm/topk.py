@@ -1,38 +1,55 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Rows are numbered and dealt to blocks of bounded size, queries likewise; each pair of a query
-block and a row block is one group (a stated query set against all rows, in blocks). A task
+Rows are dealt to cells by the nearest of a bounded number of pivots, so that a cell's covering
+radius is small, and cells are cut into blocks of bounded size; queries likewise. Each pair of a
+query block and a row block is one group (a stated query set against all rows, in blocks). A task
 builds a cover tree over either side and walks both together: the inner products of a pair of
 nodes are at most <a, b> + |a| rb + |b| ra + ra rb, with a, b the centres and ra, rb the
 covering radii; the pair is left out when that is below the worst kth score of all the
-queries under the query node. The k best of each block are then merged.
+queries under the query node.
+
+A first pass holds each query block against one block of its own cell. The kth scores found are
+lower bounds: pairs of cells that can't reach them are never brought together, and in the second
+pass no tree node is opened below them. The k best of each block are then merged.
 
 A node's children are the centre and further points taken farthest first, so they lie at
 least as far apart as the radius they cover (separation), each point is under its nearest
 child (covering), and the centre is its own first child (nesting).
 
-Defined results: vectors null or holding null or non-finite components take no part; shorter
-vectors count as ending in zeros; a row never finds itself, but rows that repeat it do find
-each other; rows with a null id are no queries and come last among equals; repeated query
-rows give their k rows each; fewer candidates than k give as many; an empty table gives an
-empty result; other columns are ignored.
+Scores are exact: products of doubles are whole numbers while they stay below 2^53; beyond that,
+products (of vectors scaled by a power of two) only propose, with a bound on their error, and
+Python's integers decide.
+
+Defined results: vectors null or holding null or non-finite components take no part, nor do
+those that are not finite once scaled; shorter vectors count as ending in zeros; a row never
+finds itself, but rows that repeat it do find each other; rows with a null id are no queries
+and come last among equals; repeated query rows give their k rows each; fewer candidates than k
+give as many; a score too large for a long is ranked rightly and shown as null; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.vectors import FOUND, NO_ID, best, framed, matrix, merged, numbered
+from marlstone.llm.vectors import best, finite, matrix, merged, numbered
 from marlstone.session import read_table, written
 
 ROWS = 1 << 16  # rows in a block at most, about
-QUERIES_IN_BLOCK = 1 << 13
 BLOCKS = 32  # row blocks at least, so that small tables use many tasks too
-LEAF, CHILDREN = 64, 8
-QUERY_LEAF = 32
+QUERIES_IN_BLOCK = 1 << 15
+CELLS = 256  # pivots at most; one for each CELL_ROWS rows below that
+CELL_ROWS = 1 << 13
+SAMPLE = 1 << 13  # rows that pivots are chosen among; any choice gives the same result
+LEAF, CHILDREN = 128, 8
+QUERY_LEAF = 64
+EXACT = 1 << 53
+FOUND = "query_row long, query_id long, vec_id long, known boolean, score long, ordered binary"
 
 
 class CoverTree:
@@ -84,20 +101,56 @@ class CoverTree:
         return self.children[node]
 
 
+class Scale(NamedTuple):
+    """What holds for the whole table: vectors are floor(factor * x); ``bits`` of 2 bring them below one."""
+
+    width: int
+    factor: float
+    bits: int
+    wide: bool
+
+    def whole(self, frame: pd.DataFrame) -> np.ndarray:
+        return np.floor(self.factor * matrix(frame, self.width))
+
+    def near(self, whole: np.ndarray) -> np.ndarray:
+        return np.ldexp(whole, -self.bits) if self.wide else whole
+
+    def below(self, score: int) -> float:
+        """A double no larger than an exact score, in the units of ``near``."""
+        return float(np.nextafter(np.nextafter(score / (1 << 2 * self.bits), -np.inf), -np.inf)) if self.wide else float(score)
+
+    def ordered(self, score: int) -> bytes:
+        """Bytes in the order of the scores."""
+        size = (2 * self.bits + self.width.bit_length() + 2) // 8 + 1
+        return (score + (1 << 8 * size - 1)).to_bytes(size, "big")
+
+
+def scale_of(width: int, factor: float, largest: float) -> Scale:
+    most = int(np.floor(factor * largest)) + 1
+    return Scale(width, factor, most.bit_length(), most * most * width >= EXACT)
+
+
 class _Search:
-    def __init__(self, queries: np.ndarray, query_rows: np.ndarray, points: np.ndarray, rows: np.ndarray, names: np.ndarray, k: int) -> None:
-        self.q, self.p = CoverTree(queries, QUERY_LEAF), CoverTree(points, LEAF)
-        self.queries, self.query_rows = queries[self.q.order], query_rows[self.q.order]
-        self.points, self.rows, self.names = points[self.p.order], rows[self.p.order], names[self.p.order]
-        self.k, n = k, len(queries)
-        self.worst = np.full(n, -np.inf)
-        self.scores: list[np.ndarray] = [np.zeros(0)] * n
-        self.found: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+    def __init__(self, queries: pd.DataFrame, rows: pd.DataFrame, scale: Scale, k: int) -> None:
+        q, p = scale.whole(queries), scale.whole(rows)
+        self.q, self.p = CoverTree(scale.near(q), QUERY_LEAF), CoverTree(scale.near(p), LEAF)
+        self.whole_q, self.whole_p = q[self.q.order], p[self.p.order]
+        self.queries, self.points = self.q.points[self.q.order], self.p.points[self.p.order]
+        self.query_rows, self.query_names = (queries[c].to_numpy(np.int64)[self.q.order] for c in ("row", "key"))
+        self.rows, self.names = (rows[c].to_numpy(np.int64)[self.p.order] for c in ("row", "key"))
+        self.known = rows["known"].to_numpy(bool)[self.p.order]
+        self.k, self.scale, n = k, scale, len(queries)
+        self.worst = queries["worst"].to_numpy(float)[self.q.order].copy()
+        largest = np.sqrt((self.points**2).sum(axis=1)).max(initial=0)
+        self.slack = np.sqrt((self.queries**2).sum(axis=1)) * largest * (scale.width + 4) * 2.0**-52 + 1e-300 if scale.wide else np.zeros(n)
+        self.found: list[np.ndarray] = [np.zeros(0, np.int64)] * n  # places among the rows
+        self.scores: list[np.ndarray] = [np.zeros(0)] * n  # of them, exact
 
     def bound(self, a: int, b: int) -> float:
         q, p = self.q, self.p
         most = float(q.center[a] @ p.center[b]) + q.norm[a] * p.radius[b] + p.norm[b] * q.radius[a] + q.radius[a] * p.radius[b]
-        return most + 1e-9 * abs(most) + 1e-6  # rounding never makes it too small
+        size = (q.norm[a] + q.radius[a]) * (p.norm[b] + p.radius[b])
+        return most + 1e-9 * size + 1e-300  # rounding never makes it too small
 
     def run(self) -> None:
         todo = [(self.bound(0, 0), 0, 0)] if len(self.queries) and len(self.points) else []
@@ -118,48 +171,125 @@ class _Search:
 
     def _compare(self, a: int, b: int) -> None:
         (qlo, qhi), (plo, phi) = self.q.span[a], self.p.span[b]
-        rows, names = self.rows[plo:phi], self.names[plo:phi]
-        scores = self.queries[qlo:qhi] @ self.points[plo:phi].T  # whole numbers: exact
-        scores[self.query_rows[qlo:qhi, None] == rows[None, :]] = -np.inf
-        for i in np.flatnonzero(scores.max(axis=1) >= self.worst[qlo:qhi]):
-            at = np.flatnonzero((scores[i] >= self.worst[qlo + i]) & (scores[i] > -np.inf))
-            own = np.concatenate([self.scores[qlo + i], scores[i, at]])
-            named = np.concatenate([self.found[qlo + i], names[at]])
-            top = best(own, named, self.k)
-            self.scores[qlo + i], self.found[qlo + i] = own[top], named[top]
-            if top.size == self.k:
-                self.worst[qlo + i] = own[top[-1]]
-
-
-def search(queries: pd.DataFrame, rows: pd.DataFrame, width: int, k: int, scale: float) -> pd.DataFrame:
-    """The k best rows of a block for each query of a block."""
-    names = queries["key"].to_numpy(np.int64)
-    whole = lambda frame: np.floor(scale * matrix(frame, width))
-    s = _Search(whole(queries), queries["row"].to_numpy(np.int64), whole(rows), rows["row"].to_numpy(np.int64), rows["key"].to_numpy(np.int64), k)
+        scores = self.queries[qlo:qhi] @ self.points[plo:phi].T
+        scores[self.query_rows[qlo:qhi, None] == self.rows[None, plo:phi]] = -np.inf
+        least = self.worst[qlo:qhi] - self.slack[qlo:qhi]
+        for i in np.flatnonzero(scores.max(axis=1) >= least):
+            at = np.flatnonzero((scores[i] >= least[i]) & (scores[i] > -np.inf))
+            self._keep(qlo + i, plo + at, scores[i, at])
+
+    def _keep(self, i: int, places: np.ndarray, scores: np.ndarray) -> None:
+        if self.scale.wide:
+            own = [int(x) for x in self.whole_q[i]]
+            scores = np.array([sum(x * int(y) for x, y in zip(own, self.whole_p[j], strict=True)) for j in places], object)
+            places, scores = np.concatenate([self.found[i], places]), np.concatenate([self.scores[i], scores])
+            top = np.array(sorted(range(len(places)), key=lambda j: (-scores[j], not self.known[places[j]], self.names[places[j]]))[: self.k], np.int64)
+        else:
+            places, scores = np.concatenate([self.found[i], places]), np.concatenate([self.scores[i], scores])
+            top = best(scores, self.names[places], self.known[places], self.k)
+        self.found[i], self.scores[i] = places[top], scores[top]
+        if top.size == self.k:
+            self.worst[i] = max(self.worst[i], self.scale.below(int(self.scores[i][-1])))
+
+    def result(self) -> pd.DataFrame:
+        n = [x.size for x in self.found]
+        places = np.concatenate([*self.found, np.zeros(0, np.int64)])
+        scores = [int(x) for own in self.scores for x in own]
+        long = [x if -(1 << 63) <= x < 1 << 63 else None for x in scores]
+        return pd.DataFrame({
+            "query_row": np.repeat(self.query_rows, n), "query_id": np.repeat(self.query_names, n), "vec_id": self.names[places], "known": self.known[places],
+            "score": pd.array(long, dtype="Int64"), "ordered": pd.Series([self.scale.ordered(x) if self.scale.wide else None for x in scores], dtype=object),
+        })
+
+
+def search(queries: pd.DataFrame, rows: pd.DataFrame, scale: Scale, k: int) -> pd.DataFrame:
+    """The k best rows of a block for each query of a block, of those that reach the query's ``worst``."""
+    s = _Search(queries, rows, scale, k)
     s.run()
-    n = [x.size for x in s.found]
-    return framed(np.repeat(s.query_rows, n), np.repeat(names[s.q.order], n), np.concatenate([*s.found, np.zeros(0, np.int64)]), np.concatenate([*s.scores, np.zeros(0)]))
+    return s.result()
+
+
+def pivots_of(sample: np.ndarray, n: int) -> np.ndarray:
+    """Of a sample, ``n`` centres: starts drawn evenly, then a few rounds of k-means."""
+    centers = sample[np.linspace(0, len(sample) - 1, min(n, len(sample))).astype(np.int64)] if len(sample) else np.zeros((1, sample.shape[1]))
+    for _ in range(6):
+        home = np.argmin((centers**2).sum(axis=1) - 2 * sample @ centers.T, axis=1) if len(sample) else np.zeros(0, np.int64)
+        for c in np.unique(home):
+            centers[c] = sample[home == c].mean(axis=0)
+    return centers
+
+
+def _celled(rows: DataFrame, pivots: np.ndarray, scale: Scale) -> DataFrame:
+    """Each row's nearest pivot, and how far it lies from it."""
+    shared = rows.sparkSession.sparkContext.broadcast((pivots, scale))
+
+    @F.pandas_udf("cell int, far double")
+    def of(vectors: pd.Series) -> pd.DataFrame:
+        centers, own = shared.value
+        points = own.near(own.whole(pd.DataFrame({"v": vectors})))
+        cell = np.argmin((centers**2).sum(axis=1) - 2 * points @ centers.T, axis=1)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "far": np.sqrt(((points - centers[cell]) ** 2).sum(axis=1))})
 
+    return rows.withColumn("_at", of("v")).select(*rows.columns, "_at.cell", "_at.far")
 
-def exact_top_k(vectors: DataFrame, queries, key: str = "vec_id", vector: str = "embedding", k: int = 5, scale: float = 256) -> DataFrame:
+
+def exact_top_k(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, scale: float = 256) -> DataFrame:
     """query_id, rank, vec_id, score (long): the k largest inner products of floor(scale * x).
 
-    ``queries``: a condition on the column ``key`` that picks the query rows.
+    ``queries``: a condition on the column ``key`` that picks the query rows. What reaches the driver:
+    a bounded sample, and a row per cell (``CELLS`` at most).
     """
-    all_rows = numbered(vectors, key, vector, "topk")
-    n, width = all_rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    asked = written(all_rows.where(queries & (F.col("key") != NO_ID)), "topk-queries")
-    blocks, query_blocks = max(BLOCKS, -(-n // ROWS)), -(-max(1, asked.count()) // QUERIES_IN_BLOCK)
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    part = lambda count: F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")
-    right = all_rows.select("*", part(blocks).alias("b")).select("*", every(query_blocks).alias("a"))
-    left = asked.select("*", part(query_blocks).alias("a")).select("*", every(blocks).alias("b"))
-
-    def of(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        return search(queries, rows, width or 0, k, scale)
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(of, FOUND)
-    return merged(found, k, "long")
+    spark = vectors.sparkSession
+    all_rows = numbered(vectors.where(finite(F.transform(F.col(vector).cast("array<double>"), lambda x: x * scale))), key, vector, "topk")
+    n, width, largest = all_rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0.0)))).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    of_all = scale_of(width, scale, largest)
+    sample = all_rows.where(F.rand(7) < min(1.0, SAMPLE / max(n, 1))).select("v").limit(2 * SAMPLE).toPandas()
+    pivots = pivots_of(of_all.near(of_all.whole(sample)), min(CELLS, max(1, n // CELL_ROWS)))
+
+    rows = written(_celled(all_rows, pivots, of_all), "topk-cells")
+    asked = written(rows.where(queries & F.col("known")), "topk-asked")
+    told = {r["cell"]: r for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.count_if(queries & F.col("known")).alias("asked")).collect()}
+    size = min(ROWS, max(1, -(-n // BLOCKS)))
+    blocks = {c: -(-r["n"] // size) for c, r in told.items()}
+    query_blocks = {c: -(-r["asked"] // QUERIES_IN_BLOCK) for c, r in told.items() if r["asked"]}
+
+    def held(pairs: list[tuple[int, int, int, int]], left: DataFrame, right: DataFrame) -> DataFrame:
+        """The best of each pair (query cell, row cell, first row block, row blocks), in blocks of either."""
+        shape = lambda: F.broadcast(spark.createDataFrame([(a, b, lo, m, query_blocks[a]) for a, b, lo, m in pairs], "a int, b int, lo int, blocks int, query_blocks int"))  # noqa: E731  CELLS^2 rows at most
+        part = lambda c: F.pmod(F.xxhash64("row"), F.col(c)).cast("int")
+        every = lambda lo, m: F.explode(F.sequence(lo, lo + m - 1))
+        total = F.create_map(*[F.lit(x) for c, m in blocks.items() for x in (c, m)])
+        p = right.withColumn("block", F.pmod(F.xxhash64("row"), total[F.col("cell")]).cast("int")).join(shape(), F.col("cell") == F.col("b"))
+        p = p.where((F.col("block") >= F.col("lo")) & (F.col("block") < F.col("lo") + F.col("blocks"))).select("a", "b", "block", every(F.lit(0), F.col("query_blocks")).alias("part"), "row", "key", "known", "v")
+        q = left.join(shape(), F.col("cell") == F.col("a")).select("a", "b", part("query_blocks").alias("part"), every(F.col("lo"), F.col("blocks")).alias("block"), "row", "key", "worst", "v")
+        group = ["a", "b", "part", "block"]
+        return q.groupBy(*group).cogroup(p.groupBy(*group)).applyInPandas(lambda x, y: search(x, y, of_all, k), FOUND)
+
+    first = held([(c, c, c % blocks[c], 1) for c in query_blocks], asked.withColumn("worst", F.lit(float("-inf"))), rows)
+    shape = "row long, worst double"
+    if of_all.wide:
+        least = first.groupBy("query_row").applyInPandas(lambda own: pd.DataFrame({"row": own["query_row"][:1], "worst": of_all.below(min(int.from_bytes(x, "big") for x in own["ordered"]) - _zero(of_all)) if len(own) == k else -np.inf}), shape)
+    else:
+        least = first.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count("*") == k, F.min("score").cast("double")).otherwise(float("-inf")).alias("worst"))
+    seeded = written(asked.join(written(least, "topk-seeds"), "row", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf")))), "topk-queries")
+
+    cells = {r["cell"]: (r["far"], r["worst"]) for r in seeded.groupBy("cell").agg(F.max("far").alias("far"), F.min("worst").alias("worst")).collect()}
+    norm = np.linalg.norm(pivots, axis=1)
+    pairs = []
+    for a, (far, worst) in cells.items():
+        for b, r in told.items():
+            most = float(pivots[a] @ pivots[b]) + norm[a] * r["far"] + norm[b] * far + far * r["far"]
+            if most + 1e-9 * (norm[a] + far) * (norm[b] + r["far"]) + 1e-300 >= worst:
+                pairs.append((a, b, 0, blocks[b]))
+    found = held(pairs, seeded, rows)
+    return merged(found, k, F.col("score"), F.col("ordered") if of_all.wide else None)
+
+
+def _zero(scale: Scale) -> int:
+    """What ``ordered`` adds to a score."""
+    return int.from_bytes(scale.ordered(0), "big")
 
 
 def op8_topk(spark, sf_dir: str) -> DataFrame:

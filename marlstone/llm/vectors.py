@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.session import written
 
-NO_ID = 2**63 - 1  # stands for a null id, which comes last among equals
-FOUND = "query_row long, query_id long, vec_id long, score double"
+FOUND = "query_row long, query_id long, vec_id long, known boolean, score double"
 
 
 def finite(vector: str | Column) -> Column:
@@ -20,9 +19,12 @@ def finite(vector: str | Column) -> Column:
 
 
 def numbered(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(row, key, v): the usable vectors as doubles, each row with a number of its own; written."""
-    usable = vectors.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("key"), F.col(vector).cast("array<double>").alias("v")).where(finite("v"))
-    return written(written(usable, label).select(F.monotonically_increasing_id().alias("row"), "key", "v"), f"{label}-rows")
+    """(row, key, known, v): the usable vectors as doubles, each row with a number of its own; written.
+
+    A null id is 0 with ``known`` false, so that ids stay whole numbers in the workers.
+    """
+    usable = vectors.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.col(key).isNotNull().alias("known"), F.col(vector).cast("array<double>").alias("v")).where(finite("v"))
+    return written(written(usable, label).select(F.monotonically_increasing_id().alias("row"), "key", "known", "v"), f"{label}-rows")
 
 
 def matrix(frame: pd.DataFrame, width: int) -> np.ndarray:
@@ -33,24 +35,18 @@ def matrix(frame: pd.DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def best(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to the smaller id, best first."""
+def best(scores: np.ndarray, names: np.ndarray, known: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, ties to the smaller id (null ids last), best first."""
     if scores.size > k:
         least = np.partition(scores, scores.size - k)[scores.size - k]
         at = np.flatnonzero(scores >= least)
     else:
         at = np.arange(scores.size)
-    return at[np.lexsort((names[at], -scores[at]))[:k]]
-
-
-def framed(rows: np.ndarray, keys: np.ndarray, names: np.ndarray, scores: np.ndarray) -> pd.DataFrame:
-    known = pd.array(names, dtype="Int64")
-    known[names == NO_ID] = pd.NA
-    return pd.DataFrame({"query_row": rows, "query_id": keys, "vec_id": known, "score": scores})
+    return at[np.lexsort((names[at], ~known[at], -scores[at]))[:k]]
 
 
-def merged(found: DataFrame, k: int, kind: str) -> DataFrame:
-    """The k best of each query over all blocks: query_id, rank, vec_id, score."""
-    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    ranked = found.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", F.col("score").try_cast(kind).alias("score"))
+def merged(found: DataFrame, k: int, score: Column, by: Column | None = None) -> DataFrame:
+    """The k best of each query over all blocks, by ``by`` or else the score: query_id, rank, vec_id, score."""
+    order = Window.partitionBy("query_row").orderBy(F.desc("_by"), F.desc("known"), "vec_id")
+    ranked = found.withColumn("_by", score if by is None else by).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.when(F.col("known"), F.col("vec_id")).alias("vec_id"), score.alias("score"))

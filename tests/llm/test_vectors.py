@@ -45,6 +45,45 @@ def test_inner_products(spark, monkeypatch):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == exact(found, whole)
 
 
+@pytest.mark.parametrize("size", [2.0**22, 2.0**60, 2.0**300])
+def test_products_beyond_doubles(spark, size):
+    rng = np.random.default_rng(3)
+    found = [(i, [float(x) for x in size + rng.integers(-900, 900, 6) * size / 2**20]) for i in range(220)]
+    found += [(400 + i, [size + (i + 1) * size / 2**45, *[size] * 5]) for i in range(9)]  # scores that differ in their last bits
+    found += [(600, [1.0, -2.0, 0.5, 0.0, 0.0, 0.0]), (650, [-size] * 6), (None, found[3][1])]
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in found]
+    expected = set()
+    for a, (i, v) in enumerate(whole):
+        if i is not None and i % 50 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j is None, j or 0, b) for b, (j, w) in enumerate(whole) if b != a)
+            expected |= {(i, r + 1, None if none else j, -s if -(1 << 63) <= -s < 1 << 63 else None) for r, (s, none, j, _) in enumerate(scores[:5])}
+    got = topk.exact_top_k(spark.createDataFrame(found, "vec_id long, embedding array<double>"), F.col("key") % 50 == 0).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == expected
+
+
+def test_the_largest_id_is_an_id(spark):
+    most = 2**63 - 1
+    frame = spark.createDataFrame([(most, [1.0, 0.5]), (1, [1.0, 0.25]), (None, [1.0, 0.5])], "vec_id long, embedding array<double>")
+    for search in (topk.exact_top_k, ann.nearest_neighbours):
+        got = {(r.query_id, r["rank"], r.vec_id) for r in search(frame, F.col("key") == most).collect()}
+        assert got == {(most, 1, None), (most, 2, 1)}
+        got = {(r.query_id, r["rank"], r.vec_id) for r in search(frame, F.col("key") == 1).collect()}
+        assert got == {(1, 1, most), (1, 2, None)}
+
+
+def test_many_cells_and_blocks(spark, monkeypatch):
+    """Clustered rows in many cells and blocks, one vector a third of all rows."""
+    for name, value in {"CELL_ROWS": 64, "ROWS": 40, "QUERIES_IN_BLOCK": 3}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(8)
+    centers = 4 * rng.normal(size=(9, 12))
+    found = [(i, [float(x) for x in (centers[i % 9] + 0.2 * rng.normal(size=12)).astype(np.float32)], 0) for i in range(600)]
+    found += [(1000 + i, found[0][1], 0) for i in range(300)]
+    whole = lambda v, w: int(np.floor(256 * v) @ np.floor(256 * w))
+    got = topk.exact_top_k(spark.createDataFrame(found, SCHEMA), F.col("key") % 50 == 0).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == exact(found, whole)
+
+
 def test_tree_invariants():
     points = np.random.default_rng(1).normal(size=(500, 6))
     tree = topk.CoverTree(points, 16)
@@ -57,14 +96,17 @@ def test_tree_invariants():
     assert sorted(tree.order) == list(range(500))
 
 
-@pytest.mark.parametrize("probes_all", [True, False])
+@pytest.mark.parametrize("probes_all", [True, False, "deep"])
 def test_recall_and_exact_scores(spark, monkeypatch, probes_all):
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(12, 16))
     found = [(i, [float(x) for x in (centers[i % 12] + 0.3 * rng.normal(size=16)).astype(np.float32)], 0) for i in range(2400)]
     found += [(3000 + i, found[7][1], 1) for i in range(40)] + [(4000, [0.0] * 16, 0)]
-    if probes_all:
-        monkeypatch.setattr(ann, "AIM", 1.0)
+    monkeypatch.setattr(ann, "AIM", 1.0 if probes_all is True else 0.97)
+    if probes_all == "deep":
+        monkeypatch.setattr(ann, "DEEP", 200)
+        parts, probes = ann.learnt(ann.numbered(spark.createDataFrame(found[:2400], SCHEMA), "vec_id", "embedding", "test"), 2400, 16)
+        assert parts.below and parts.count > 8 and probes < parts.count / 2
     got = ann.nearest_neighbours(spark.createDataFrame(found + odd(16), SCHEMA), F.col("key") % 50 == 0).collect()
     cosine = lambda v, w: float((v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum())))
     pairs = {(r.query_id, r.vec_id) for r in got}
@@ -93,3 +135,21 @@ def test_few_and_none(spark):
         assert search(spark.createDataFrame([(0, [1.0, 0.0], 1)], SCHEMA)).count() == 0
         three = search(spark.createDataFrame([(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (3, [0.0, 1.0], 1)], SCHEMA)).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id) for r in three) == [(0, 1, 0), (0, 1, 0), (0, 2, 3), (0, 2, 3)]
+
+
+def test_layout_does_not_matter(spark):
+    frame = spark.createDataFrame(rows(1500, 16), SCHEMA)
+    ask = F.col("key") % 50 == 0
+    one, other = (sorted(map(tuple, ann.nearest_neighbours(x, ask).collect())) for x in (frame, frame.repartition(5, "label").sortWithinPartitions("vec_id", ascending=False)))
+    assert one == other
+
+
+def test_recall_on_the_supplied_vectors(spark):
+    """At least 0.9 of the five nearest, by brute force; scores as they are."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.op4_ann(spark, "/root/testdata/sf0.1")
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    found = {(r.query_id, r.vec_id) for r in got.collect()}
+    cosine = lambda v, w: float((v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum())))
+    expected = {(q, v) for q, _, v, _ in exact([tuple(r) for r in frame.select("vec_id", "embedding", "label").collect()], cosine, width=64)}
+    assert len(found & expected) >= 0.9 * len(expected)
