@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 
 from marlstone.session import read_table
 
-PER_LANGUAGE = 3000  # labelled rows that the filter is fitted on, expected number per language
-SHARE = 0.01  # of a language's sampled rows must have an n-gram for the filter to take it
+PER_LANGUAGE = 4000  # different labelled texts of a language that the filter is fitted on, at most
+LANGUAGES = 256  # labels that are learnt, at most
+SHARE = 0.01  # of a language's sampled texts must have an n-gram for the filter to take it
 ORDERS = (2, 3, 4)
 SLOT_BITS = 20
+HASH_BITS = 40  # of a text's hash, for the draw
 HASHES = 3
 PIECE = 1 << 18  # code points hashed at once, however long the text
 UNKNOWN = "und"
@@ -82,36 +84,49 @@ def _slots(hashes: np.ndarray) -> list[np.ndarray]:
 
 def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for lang, rows in b.groupby("lang"):
-            own = [(np.unique(np.concatenate(g)), w) for t, w in zip(rows["text"], rows["copies"], strict=True) if (g := list(grams(t)))]
+        for lang, texts in b.groupby("lang")["text"]:
+            own = [np.unique(np.concatenate(g)) for t in texts if (g := list(grams(t)))]
             if own:
-                gram, at = np.unique(np.concatenate([g for g, _ in own]), return_inverse=True)
-                n = np.bincount(at, np.repeat([float(w) for _, w in own], [g.size for g, _ in own])).astype(np.int64)
+                gram, n = np.unique(np.concatenate(own), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": n})
 
 
+def _drawn(labelled: DataFrame, per_language: int) -> dict[str, tuple[int, int]]:
+    """For each language the number of hash bits that a sampled text may have, and how many texts have no more.
+
+    Copies of a text are one row from the start. Only a language's counts by number of bits reach the driver.
+    """
+    counts = labelled.select("lang", "at", "bits").distinct().groupBy("lang").pivot("bits", list(range(1, HASH_BITS + 1))).count()
+    every = sum((F.coalesce(F.col(str(i)), F.lit(0)) for i in range(1, HASH_BITS + 1)), F.lit(0).cast("long"))
+    found = {}
+    for r in counts.orderBy(every.desc(), "lang").limit(LANGUAGES).collect():
+        within = np.cumsum([r[str(i)] or 0 for i in range(1, HASH_BITS + 1)])
+        bits = max(1, int((within <= per_language).sum()))
+        found[r["lang"]] = (bits, int(within[bits - 1]))
+    return found
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Filter:
-    """Fit the filter on about ``per_language`` rows of each language, chosen by a hash of the text.
+    """Fit the filter on up to ``per_language`` different texts of each language, chosen by a hash of the text.
 
-    Copies of a text are in or out together and meet in one row with their number, so the sample
-    stays bounded however often a text is repeated.
+    The hash is cut at a power of two, so between half of that number and all of it are drawn where
+    there are as many; how many were drawn is counted, and an n-gram is judged by its share of them.
     What reaches the driver is the filter's own slots: at most 2^SLOT_BITS for each eight languages.
     """
-    labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("at")).where("lang is not null and text is not null")
-    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(totals)
+    at = F.xxhash64(text)
+    labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), at.alias("at"), F.length(F.bin(F.pmod(at, F.lit(1 << HASH_BITS)))).alias("bits"))
+    labelled = labelled.where("lang is not null and text is not null")
+    drawn = _drawn(labelled, per_language)
+    languages = sorted(drawn)
     width = max(1, -(-len(languages) // 8))
     if not languages:
         return Filter([], np.zeros((1 << SLOT_BITS, width), np.uint8), np.zeros(0))
-    rate = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, per_language / n))])
-    chosen = labelled.where(F.pmod("at", F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
-    sample = chosen.groupBy("lang", "at").agg(F.first("text").alias("text"), F.count("*").alias("copies")).drop("at")
-    taken = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, float(min(n, per_language)))])
-    number = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
+    told = lambda values: F.create_map(*[F.lit(x) for pair in values for x in pair])[F.col("lang")]  # noqa: E731  LANGUAGES entries at most
+    sample = labelled.where(F.col("bits") <= told((k, bits) for k, (bits, _) in drawn.items())).groupBy("lang", "at").agg(F.first("text").alias("text")).drop("at")
     common = (
         sample.mapInPandas(_document_frequencies, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= taken[F.col("lang")] * SHARE)
+        .where(F.col("n") >= told((k, float(n)) for k, (_, n) in drawn.items()) * SHARE)
     )
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,7 +135,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
             bit = b["number"].to_numpy()
             yield pd.DataFrame({"slot": np.concatenate(at), "part": np.tile(bit // 8, len(at)), "bits": np.tile(1 << bit % 8, len(at))})
 
-    bits = common.select("gram", number[F.col("lang")].alias("number")).mapInPandas(placed, "slot long, part int, bits int")
+    bits = common.select("gram", told((k, i) for i, k in enumerate(languages)).alias("number")).mapInPandas(placed, "slot long, part int, bits int")
     rows = bits.groupBy("slot", "part").agg(F.bit_or("bits").alias("bits")).toPandas()
     slots = np.zeros((1 << SLOT_BITS, width), np.uint8)
     slots[rows["slot"].to_numpy(np.int64), rows["part"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)

@@ -2,7 +2,10 @@
 
 import random
 
+import zlib
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from marlstone.llm import langid
 
@@ -39,7 +42,7 @@ def test_lookup_has_every_learnt_gram_and_few_others(spark):
     for r in docs.where("lang is not null").collect():
         for g in np.unique(np.concatenate(list(langid.grams(r.text)))):
             sets[r.lang][int(g)] = sets[r.lang].get(int(g), 0) + 1
-    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    counts = {r.lang: r["n"] for r in docs.groupBy("lang").agg(F.countDistinct("text").alias("n")).collect()}
     text = invented("bb", random.Random(8), 200)
     own = [int(g) for g in np.concatenate(list(langid.grams(text)))]
     found, total = langid.votes(model, text)
@@ -59,3 +62,56 @@ def test_pieces_of_long_texts_add_up(monkeypatch):
     whole = np.sort(np.concatenate(list(langid.grams(text))))
     monkeypatch.setattr(langid, "PIECE", 101)
     assert (np.sort(np.concatenate(list(langid.grams(text)))) == whole).all()
+
+
+def test_a_language_whose_rows_are_mostly_copies(spark):
+    """1,000 different texts beside 300,000 copies of one: each counts once."""
+    rng = random.Random(6)
+    own = {lang: [invented(lang, rng, rng.randrange(4, 30)) for _ in range(n)] for lang, n in (("aa", 2000), ("bb", 1000))}
+    rows = spark.createDataFrame([(t, k) for k, texts in own.items() for t in texts], "text string, lang string")
+    copies = spark.range(300_000).select(F.lit(invented("bb", rng, 12)).alias("text"), F.lit("bb").alias("lang"))
+    model = langid.learn(rows.unionByName(copies), per_language=500)
+    assert model.languages == ["aa", "bb"]
+    for lang, texts in own.items():
+        assert np.mean([langid.decide(model, t)[0] == lang for t in texts]) > 0.99
+
+
+def test_predictions_against_sets(spark):
+    """The query's rows against plain sets of n-grams, learnt from the same documents."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    got = langid.op5_langid(spark, sf_dir)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert len(rows) == len(docs) and all(rows[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _, _ in docs)
+    spaced = lambda t: " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+    cut = lambda t: [s[i : i + n] for s in [spaced(t)] for n in (2, 3, 4) for i in range(len(s) - n + 1)] if spaced(t).strip() else []
+    texts = {}
+    for i, t, lang in docs:
+        if not rows[i].held_out and lang is not None and t is not None:
+            texts.setdefault(lang, set()).add(t)
+    sets = {}
+    for lang, own in texts.items():
+        n = {}
+        for t in own:
+            for g in set(cut(t)):
+                n[g] = n.get(g, 0) + 1
+        sets[lang] = {g for g, c in n.items() if c >= langid.SHARE * len(own)}
+    compared = 0
+    for i, t, _ in docs:
+        grams = cut(t or "")
+        votes = sorted(((sum(g in s for g in grams), lang) for lang, s in sets.items()), reverse=True)
+        if not grams:
+            assert (rows[i].lang_pred, rows[i].score) == ("und", 0.0)
+        elif votes[0][0] - votes[1][0] > 0.02 * len(grams):  # beyond what false positives may add
+            compared += 1
+            assert rows[i].lang_pred == votes[0][1] and abs(rows[i].score - votes[0][0] / sum(v for v, _ in votes)) < 0.02
+    assert compared > 0.9 * len(docs)
+
+
+def test_ties_and_more_labels_than_are_learnt(spark, monkeypatch):
+    same = spark.createDataFrame([(i, "ta ro mi", lang) for i, lang in enumerate("cab")], "doc_id long, text string, lang string")
+    assert {r.found.lang for r in langid.identify(same).collect()} <= {"a", "b", "c"}
+    assert langid.decide(langid.learn(same), "ta ro mi")[0] == "a"  # the first by name
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert langid.learn(same.unionByName(same.withColumn("text", F.lit("zu pfo")).where("lang = 'c'"))).languages == ["a", "c"]
