@@ -4,12 +4,12 @@ Everything is a DataFrame expression inside one scan: no Python worker, no shuff
 patterns below are written so that Java's matcher runs in linear time and constant stack
 on texts of any length: repeated groups are possessive (nothing after them could need a
 character back), and a run is tried from its first character only (``\\G`` lets the next
-match begin where the last one ended).
+match begin where the last one ended). A text with very many spans costs in proportion: offsets
+are summed by blocks of blocks, and a span's surroundings are taken out of short pieces.
 
 Defined results: null text counts as empty; empty text has no spans; repeated rows and
 repeated or null ids are scanned row by row; an empty table gives an empty result; other
-columns pass through, but one named ``pii`` is replaced and names of a kind behind an
-underscore (``_email``, ``_body``) are the scan's own.
+columns pass through, but one named ``pii`` is replaced (the scan's own columns take free names).
 """
 
 from __future__ import annotations
@@ -44,6 +44,38 @@ CONTEXT = {
 KINDS = [*BASE_PATTERNS, *ADDED_PATTERNS]
 
 _SPANS = "array<struct<start:int,stop:int,value:string>>"
+BLOCK = 64  # numbers summed one after the other
+PIECE = 256  # code points in a piece of text that surroundings are taken from
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def sums_before(numbers: Column, levels: int = 2) -> Column:
+    """For each of an array of ints the sum of those ahead of it.
+
+    An array that grows number by number is copied each time, so blocks are summed apart, and
+    the blocks' own sums likewise: about n * BLOCK copies up to millions of numbers.
+    """
+
+    def one_by_one(own: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.expr("cast(array() as array<int>)").alias("all"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+        return F.aggregate(own, start, step, lambda acc: acc["all"])
+
+    def by_blocks(own: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int")), lambda b: F.slice(own, b * BLOCK + 1, BLOCK))
+        return _bound(blocks, summed)
+
+    def summed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(blocks, sums_before(totals, levels - 1), one_by_one))
+
+    if not levels:
+        return one_by_one(numbers, F.lit(0))
+    return _bound(numbers, lambda own: F.when(F.size(own) <= BLOCK, one_by_one(own, F.lit(0))).otherwise(by_blocks(own)))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -55,18 +87,15 @@ def matches(text: Column, pattern: str) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     parts = F.filter(
-        F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("value"))),
+        F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("length"), h.alias("value"))),
         lambda p: p["value"].isNotNull(),
     )
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPANS})").alias("found"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
-        end = begin + F.length(p["value"])
-        found = F.struct(begin.alias("start"), end.alias("stop"), p["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
+    def placed(p: Column, before: Column) -> Column:
+        begin = before + p["gap"]
+        return F.struct(begin.alias("start"), (begin + p["length"]).alias("stop"), p["value"].alias("value"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["found"])
+    return _bound(parts, lambda own: F.zip_with(own, sums_before(F.transform(own, lambda p: p["gap"] + p["length"])), placed))
 
 
 def _digits(value: Column) -> Column:
@@ -119,10 +148,21 @@ def _confirming(kind: str):
     return lambda s: _confirmed(kind, s["value"])
 
 
-def _scoring(kind: str, rank: int, window: int):
+def _around(pieces: Column, s: Column, window: int) -> Column:
+    """A span with ``window`` code points on either side, out of the pieces of its text."""
+
+    def cut(begin: Column, length: int | Column) -> Column:
+        first = F.floor(begin / PIECE).cast("int")
+        own = [F.coalesce(F.get(pieces, first + i), F.lit("")) for i in range(window // PIECE + 2)]
+        return F.substring(F.concat(*own), begin - first * PIECE + 1, length)
+
+    ahead = F.greatest(s["start"] - window, F.lit(0))
+    return F.concat(cut(ahead, s["start"] - ahead), s["value"], cut(s["stop"], F.lit(window)))
+
+
+def _scoring(kind: str, rank: int, window: int, pieces: Column):
     def scored(s: Column) -> Column:
-        near = F.substring(F.col("_body"), F.greatest(s["start"] - window + 1, F.lit(1)), s["stop"] - s["start"] + 2 * window)
-        lift = F.when(F.lower(near).rlike(CONTEXT[kind]), 0.2).otherwise(0.0)
+        lift = F.when(F.lower(_around(pieces, s, window)).rlike(CONTEXT[kind]), 0.2).otherwise(0.0)
         score = F.round(F.lit(PRIOR[kind]) + lift, 2)
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind"), s["value"].alias("value"), score.alias("score"))
 
@@ -133,25 +173,37 @@ def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have yet, upper and lower case alike."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for i in range(len(taken) + 1) if (n := f"_{name}{i or ''}") not in taken)
+
+
 def find_pii(docs: DataFrame, text: str = "text", window: int = 40, least: float = 0.5) -> DataFrame:
     """Add ``pii``: array of (kind, start, stop, value, score), ordered by start, then kind.
 
     A context word within ``window`` code points adds 0.2 to the score. Spans of the base
     kinds always stay; those of the added kinds need a score of ``least``.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_body", body)
-    for i, (kind, pattern) in enumerate([*BASE_PATTERNS.items(), *ADDED_PATTERNS.items()]):
-        b = F.col("_body")
+    body = free_name(docs, "body")
+    found = {k: free_name(docs, k) for k in KINDS}
+    out = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
+    b, none, spans = F.col(body), F.expr(f"cast(array() as {_SPANS})"), {}
+    for kind, pattern in (BASE_PATTERNS | ADDED_PATTERNS).items():
         sign = b.contains(SIGNS[kind]) if kind in SIGNS else b.rlike("[0-9]{2}" if kind == "iban" else "[0-9]")
-        found = F.when(sign, matches(b, pattern)).otherwise(F.expr(f"cast(array() as {_SPANS})"))
-
-        spans = F.transform(F.filter(found, _confirming(kind)), _scoring(kind, i, window))
-        if kind in ADDED_PATTERNS:
-            spans = F.filter(spans, lambda s: s["score"] >= least)
-        out = out.withColumn(f"_{kind}", spans)
-    joined = F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS]))
-    return out.withColumn("pii", joined).drop("_body", *[f"_{k}" for k in KINDS])
+        spans[found[kind]] = F.filter(F.when(sign, matches(b, pattern)).otherwise(none), _confirming(kind))
+    out = out.withColumns(spans)
+    every = [F.col(found[k]) for k in KINDS]
+    cut = F.regexp_extract_all(b, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def scored(pieces: Column) -> Column:
+        own = [F.transform(spans, _scoring(k, i, window, pieces)) for i, (k, spans) in enumerate(zip(KINDS, every, strict=True))]
+        own = [F.filter(x, lambda s: s["score"] >= least) if k in ADDED_PATTERNS else x for k, x in zip(KINDS, own, strict=True)]
+        return F.array_sort(F.concat(*own))
+
+    nothing = F.expr("cast(array() as array<struct<start:int,rank:int,stop:int,kind:string,value:string,score:double>>)")
+    some = sum((F.size(x) for x in every), F.lit(0)) > 0
+    return out.withColumn("pii", F.when(some, _bound(cut, scored)).otherwise(nothing)).drop(body, *found.values())
 
 
 def digest(spans: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from marlstone.llm import pii
 
@@ -52,3 +53,30 @@ def test_checksums_and_context(spark):
     kinds = {r.text: [s.kind for s in r.pii] for r in rows}
     assert "iban" in kinds[texts[0]] and "iban" not in kinds[texts[1]] and "ssn" in kinds[texts[2]] and "ssn" not in kinds[texts[3]]
     assert pii.find_pii(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_very_many_spans(spark):
+    """A hundred thousand spans of each of two kinds in one text: seconds, and exact."""
+    text = "".join(f"email a{i}@b.cd or +1 555 {1000000 + i}; " for i in range(100_000))
+    began = time.time()
+    r = pii.find_pii(spark.createDataFrame([(text,)], "text string")).select("pii").first()
+    assert time.time() - began < 60
+    got = [(s.start, list(BASE).index(s.kind), s.stop, s.kind) for s in r.pii if s.kind in BASE]
+    assert got == brute(text) and len(got) == 200_000
+    assert all(s.score == 1.0 for s in r.pii if s.kind == "email")
+
+
+def test_context_near_the_edges(spark):
+    """Words count within 40 code points, however short the gaps between spans are."""
+    texts = ["call +1 555 1234567", "call" + " " * 36 + "+1 555 1234567", "call" + " " * 37 + "+1 555 1234567", "+1 555 1234567" + " " * 36 + "call", "+1 555 1234567" + " " * 37 + "call", "é" * 500 + " fax a@b.cd a@b.cd +1 555 1234567", "\U0001f600" * 255 + "a@b.cd,+1 555 1234567,+1 555 1234567"]
+    for r in pii.find_pii(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        for s in r.pii:
+            near = r.text[max(s.start - 40, 0) : s.stop + 40].lower()
+            assert s.score == round(pii.PRIOR[s.kind] + (0.2 if re.search(pii.CONTEXT[s.kind], near) else 0), 2)
+
+
+def test_clashing_names_and_nulls(spark):
+    docs = spark.createDataFrame([(None, "a@b.cd", "x", 1, "p"), (None, "a@b.cd", "x", 1, "p"), (1, None, None, None, None)], "doc_id long, text string, _body string, _email int, _EMAIL1 string")
+    out = pii.find_pii(docs)
+    assert out.columns == [*docs.columns, "pii"]
+    assert sorted((r._email or 0, len(r.pii), r._body or "") for r in out.collect()) == [(0, 0, ""), (1, 1, "x"), (1, 1, "x")]
