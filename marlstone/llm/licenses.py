@@ -1,22 +1,32 @@
 """License scans with a positional index of rare words, as DataFrame expressions in one scan.
 
-The index holds, for each word of the licence phrases, the phrases it stands in and where.
-Words are ranked by inverse document frequency over all documents. Of each phrase the two
-rarest words are looked up in a file; their places, less their places in the phrase, are
-intersected, and where both agree the whole phrase is checked word by word. Around a
-confirmed phrase the score says how much of a full licence sentence stands there.
+Templates are key phrases, notices and licence texts. The index holds, for each template, where
+its words stand, rarest first (by document frequency over all documents). In a file, a template's
+words that the file has are looked up, those of highest inverse document frequency first; their
+places in the file, less their places in the template, are intersected, and where two agree, the
+template's mandatory key phrases are verified word by word and the share of its words in place
+is measured.
 
-No Python worker and no shuffle of texts: the frequencies are one small count per phrase word,
-and all else happens within a row. Only files that have a phrase's rarest word are looked into.
+Nothing is lost by looking up few words: a template of n words counts from a share s of them in
+place (all for a key phrase), so at most (1 - s) n of its places differ, and of the (1 - s) n + 2
+places looked up at least two agree. Places whose word the file lacks are among those that
+differ, so a file is looked up in as many places less.
+
+No Python worker and no shuffle of texts: the frequencies are one small count per template word,
+and all else happens within a row. Only files that have all words of a key phrase are looked into.
 
 Defined results: a null text counts as empty; texts without words give no places and score 0;
 repeated rows and null ids give a row each; on an empty table all frequencies are zero and
-the result is empty; other columns pass through, but one named ``license`` is replaced and
-``_words``, ``_any``, ``_hits`` and ``_at_...`` are the scan's own.
+the result is empty; other columns pass through, but one named ``license`` is replaced (the
+scan's own columns take free names).
 """
 
 from __future__ import annotations
 
+import json
+import re
+from math import floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,34 +37,86 @@ BASE_PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "genera
 ADDED_PHRASES = {
     "cc-by-nc": "cc by nc",
     "lgpl": "lesser general public license",
+    "agpl": "affero general public license",
     "mpl": "mozilla public license",
     "bsd": "redistribution and use in source and binary forms",
     "mit-text": "permission is hereby granted free of charge",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose",
     "unlicense": "free and unencumbered software released into the public domain",
     "reserved": "all rights reserved",
 }
 PHRASES = BASE_PHRASES | ADDED_PHRASES
-# Full sentences around a key phrase. None has the letter k: the lower case of the Kelvin sign is one.
-SENTENCES = {
-    "mit": ["released under the mit license", "licensed under the mit license"],
-    "apache": ["licensed under the apache license version 2 0"],
-    "gpl": ["licensed under the gnu general public license version 3", "under the terms of the gnu general public license as published by the free software foundation"],
-    "cc-by-nc": ["licensed under cc by nc 4 0"],
-    "lgpl": ["under the terms of the gnu lesser general public license"],
-    "mpl": ["subject to the terms of the mozilla public license v 2 0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted"],
-    "mit-text": ["permission is hereby granted free of charge to any person obtaining a copy of this software"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
-    "reserved": ["all rights reserved"],
-}
+# Notices and texts by the label of the key phrase that is mandatory in them.
+TEXTS = {
+    "mit": ["Released under the MIT License.", "Licensed under the MIT License."],
+    "apache": [
+        "Licensed under the Apache License, Version 2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+        writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ],
+    "gpl": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    ],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0."],
+    "lgpl": [
+        "under the terms of the GNU Lesser General Public License",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+        as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    ],
+    "agpl": ["under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "mpl": ["""This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+        with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""],
+    "bsd": ["""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution."""],
+    "mit-text": ["""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+        merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+        to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+        or substantial portions of the Software."""],
+    "isc-text": ["""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies."""],
+    "unlicense": ["""This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means."""],
+}
+SHARE = 0.75  # of a text's words in place, from which on it counts
+PHRASE_SCORE = 0.5  # of a key phrase without a text around it
+KELVIN = "\u212a"  # the one character beyond ASCII whose lower case is an ASCII letter
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
-VOCABULARY = sorted({w for p in PHRASES.values() for w in p.split()})
+
+
+def cut(text: str) -> list[str]:
+    return re.findall(r"[0-9a-z]+", text.lower())
+
+
+def templates() -> list[dict]:
+    """Each with its label, words, the mandatory phrase and its place, and how many words may be out of place."""
+    found = [{"label": k, "words": p.split(), "phrase": p.split(), "lead": 0, "off": 0, "text": False} for k, p in PHRASES.items()]
+    for label, texts in TEXTS.items():
+        phrase = PHRASES[label].split()
+        for words in map(cut, texts):
+            lead = next(i for i in range(len(words)) if words[i : i + len(phrase)] == phrase)
+            found.append({"label": label, "words": words, "phrase": phrase, "lead": lead, "off": floor((1 - SHARE) * len(words)), "text": True})
+    return found
+
+
+VOCABULARY = sorted({w for t in templates() for w in t["words"]})
+KEY_WORDS = sorted({w for p in PHRASES.values() for w in p.split()})
 
 
 def words_of(text: str | Column) -> Column:
-    """The lower-case words of a text column."""
-    body = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    return F.array_remove(F.split(body, SEPARATORS), "")
+    """The words of a text column, A to Z in lower case."""
+    body = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    lower = F.lower(F.replace(body, F.lit(KELVIN), F.lit("\u2126")))
+    return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
 def _strings(values: list[str]) -> Column:
@@ -62,103 +124,131 @@ def _strings(values: list[str]) -> Column:
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> dict[str, int]:
-    """In how many documents each word of the phrases stands: a number per phrase word."""
+    """In how many documents each word of the templates stands: a number per template word."""
     found = docs.select(F.explode(F.array_intersect(_strings(VOCABULARY), words_of(text))).alias("word"))
     return dict.fromkeys(VOCABULARY, 0) | {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def anchors(frequencies: dict[str, int]) -> dict[str, list[tuple[str, int]]]:
-    """Of each phrase, its two rarest words and their places in it, the rarest first."""
-    rare = lambda w: (frequencies[w], w)
-    return {label: [(w, own.index(w)) for w in sorted(set(own), key=rare)[:2]] for label, own in ((k, p.split()) for k, p in PHRASES.items())}
+def index(frequencies: dict[str, int]) -> Column:
+    """The templates with their places, the rarest word's first, as one constant."""
+    rows = []
+    for t in templates():
+        order = sorted(range(len(t["words"])), key=lambda i: (frequencies[t["words"][i]], t["words"][i], i))  # noqa: B023
+        rows.append(t | {"places": [{"word": t["words"][i], "at": i} for i in order]})
+    shape = "array<struct<label:string,words:array<string>,phrase:array<string>,lead:int,off:int,text:boolean,places:array<struct<word:string,at:int>>>>"
+    return F.from_json(F.lit(json.dumps(rows)), shape)
 
 
-def _is(word: str):
-    return lambda h: h["word"] == word
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def _less(offset: int):
-    return lambda h: h["at"] - offset
+def _offsets(t: Column, held: Column, hits: Column) -> Column:
+    """Where a template may begin: two of the file's rarest words of it agree."""
 
+    def agreed(asked: Column) -> Column:
+        places = F.transform(asked, lambda p: F.transform(F.filter(hits, lambda h: h["word"] == p["word"]), lambda h: h["at"] - p["at"]))
+        return _bound(F.flatten(places), _twice)
 
-def _starts(found: list[tuple[str, int]], phrase: list[str]) -> Column:
-    """Where a phrase stands, from the hits of its rare words."""
-    (first, a), (second, b) = found
-    agreed = F.array_intersect(*[F.transform(F.filter("_hits", _is(w)), _less(o)) for w, o in ((first, a), (second, b))])
-    whole = lambda s: (s >= 0) & (F.slice("_words", F.greatest(s, F.lit(0)) + 1, len(phrase)) == _strings(phrase))
-    return F.filter(agreed, whole)
+    def looked_up(present: Column) -> Column:
+        absent = F.size(t["places"]) - F.size(present)
+        asked = F.slice(present, 1, F.greatest(t["off"] - absent + 2, F.lit(0)))
+        return F.when(absent > t["off"], F.expr("cast(array() as array<int>)")).otherwise(_bound(asked, agreed))
 
+    return _bound(F.filter(t["places"], lambda p: F.array_contains(held, p["word"])), looked_up)
 
-def _share(label: str) -> Column:
-    """The largest share of a full sentence's words that stand in place around the phrase."""
-    parts = []
-    for sentence in SENTENCES[label]:
-        own, key = sentence.split(), PHRASES[label].split()
-        lead = next(i for i in range(len(own)) if own[i : i + len(key)] == key)
-        parts.append(F.array_max(F.transform(f"_at_{label}", _matched(own, lead))))
-    return F.greatest(*parts) if len(parts) > 1 else parts[0]
 
+def _twice(offsets: Column) -> Column:
+    """The different numbers that stand in an array more than once."""
 
-def _matched(own: list[str], lead: int):
-    def share(start: Column) -> Column:
-        same = [F.when(F.get("_words", start + (i - lead)) == w, 1).otherwise(0) for i, w in enumerate(own)]
-        return sum(same[1:], same[0]) / F.lit(float(len(own)))
+    def again(own: Column) -> Column:
+        return F.array_distinct(F.filter(F.zip_with(own, F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
 
-    return share
+    return _bound(F.array_sort(offsets), again)
+
+
+def _verified(t: Column, words: Column, start: Column) -> Column:
+    """The share of the template's words in place, or 0 without its key phrase or with too few of them."""
+    key = start + t["lead"]
+    whole = (key >= 0) & (F.slice(words, F.greatest(key, F.lit(0)) + 1, F.size(t["phrase"])) == t["phrase"])
+    same = F.aggregate(F.transform(t["words"], lambda w, i: F.when((start + i >= 0) & (F.get(words, start + i) == w), 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    return F.when(whole, _bound(same, lambda n: F.when(n >= F.size(t["words"]) - t["off"], n / F.size(t["words"])).otherwise(0.0))).otherwise(0.0)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have yet, upper and lower case alike."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for i in range(len(taken) + 1) if (n := f"_{name}{i or ''}") not in taken)
 
 
 def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``license``: struct (n_words, places, base_labels, labels, score) to ``docs``.
 
-    ``places`` are (start, label) of every key phrase, starts counted in words.
+    ``places`` are (start, label, share, text) of every key phrase and every text, starts counted in words.
     """
-    rare = anchors(document_frequencies(docs, text))
-    nothing = F.expr("cast(array() as array<int>)")
-    looked_up = sorted({w for found in rare.values() for w, _ in found})
-    rarest = sorted({found[0][0] for found in rare.values()})
-    out = docs.withColumn("_words", words_of(text)).withColumn("_any", F.arrays_overlap("_words", _strings(rarest)))
-    hit = F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("at")))
-    hits = F.filter(hit, lambda h: h["word"].isin(looked_up))
-    out = out.withColumn("_hits", F.when(F.col("_any"), hits))
-    for label, phrase in PHRASES.items():
-        out = out.withColumn(f"_at_{label}", F.when(F.col("_any"), _starts(rare[label], phrase.split())).otherwise(nothing))
-    places = F.array_sort(F.concat(*[F.transform(f"_at_{label}", _labelled(label)) for label in PHRASES]))
-    labels = lambda names: F.array_join(F.filter(F.array(*[F.when(F.size(f"_at_{k}") > 0, k) for k in sorted(names)]), lambda x: x.isNotNull()), ",")
-    score = F.when(F.col("_any"), F.coalesce(F.greatest(*[_share(label) for label in PHRASES]), F.lit(0.0))).otherwise(0.0)
-    found = F.struct(F.size("_words").cast("long").alias("n_words"), places.alias("places"), labels(BASE_PHRASES).alias("base_labels"), labels(PHRASES).alias("labels"), score.alias("score"))
-    return out.withColumn("license", found).drop("_words", "_any", "_hits", *[f"_at_{k}" for k in PHRASES])
-
-
-def _labelled(label: str):
-    return lambda s: F.struct(s.alias("start"), F.lit(label).alias("label"))
+    held, hits, found = (free_name(docs, x) for x in ("words", "hits", "places"))
+    words = F.col(held)
+    out = docs.withColumn(held, words_of(text))
+    have = F.array_intersect(_strings(KEY_WORDS), words)
+    keys = F.from_json(F.lit(json.dumps([p.split() for p in PHRASES.values()])), "array<array<string>>")
+    some = _bound(have, lambda h: F.exists(keys, lambda p: F.size(F.array_except(p, h)) == 0))
+    at = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+    out = out.withColumn(hits, F.when(some, F.filter(at, lambda h: h["word"].isin(VOCABULARY))))
+
+    def of_template(present: Column):
+        def of(t: Column) -> Column:
+            starts = F.transform(_offsets(t, present, F.col(hits)), lambda s: F.struct(s.alias("start"), t["label"].alias("label"), _verified(t, words, s).alias("share"), t["text"].alias("text")))
+            return F.filter(starts, lambda x: x["share"] > 0)
+
+        return of
+
+    table = index(document_frequencies(docs, text))
+    every = _bound(F.array_distinct(F.transform(F.col(hits), lambda h: h["word"])), lambda present: F.array_sort(F.flatten(F.transform(table, of_template(present)))))
+    nothing = F.expr("cast(array() as array<struct<start:int,label:string,share:double,text:boolean>>)")
+    out = out.withColumn(found, F.coalesce(F.when(F.col(hits).isNotNull(), every), nothing))
+    labels = lambda keep: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(found, keep), lambda p: p["label"]))), ",")
+    score = F.coalesce(F.array_max(F.transform(found, lambda p: F.when(p["text"], p["share"]).otherwise(PHRASE_SCORE))), F.lit(0.0))
+    told = F.struct(F.size(words).cast("long").alias("n_words"), F.col(found).alias("places"), labels(_base).alias("base_labels"), labels(lambda p: F.lit(True)).alias("labels"), score.alias("score"))
+    return out.withColumn("license", told).drop(held, hits, found)
+
+
+def _base(place: Column) -> Column:
+    """A key phrase of the base."""
+    return ~place["text"] & place["label"].isin(*BASE_PHRASES)
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
     found = find_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
-    starts = F.transform(F.filter("places", lambda p: p["label"].isin(*BASE_PHRASES)), lambda p: p["start"].cast("long"))
+    starts = F.transform(F.filter("places", _base), lambda p: p["start"].cast("long"))
     based = found.withColumn("starts", starts)
     return based.select("doc_id", "n_words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").alias("first_word"), F.array_max("starts").alias("last_word"), "base_labels", "labels", "score")
 
 
 def _sql() -> str:
+    """Each key phrase at every place, the contract's three written out; each text around its phrase."""
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"} | ADDED_PHRASES
+    name = lambda label: f"at_{label.replace('-', '_')}"
     at, shares = [], []
-    for label, phrase in PHRASES.items():
-        name, own = f"at_{label.replace('-', '_')}", phrase.split()
-        at.append(f"CASE WHEN list_has_all(words, {quoted(own)}) THEN list_filter(range(1, len(words) - {len(own) - 2}), lambda i: words[i:i + {len(own) - 1}] = {quoted(own)}) ELSE [] END AS {name}")
-        for sentence in SENTENCES[label]:
-            full = sentence.split()
+    for label, phrase in phrases.items():
+        own = phrase.split()
+        at.append(f"CASE WHEN list_has_all(words, {quoted(own)}) THEN list_filter(range(1, len(words) - {len(own) - 2}), lambda i: words[i:i + {len(own) - 1}] = {quoted(own)}) ELSE [] END AS {name(label)}")
+        shares.append(f"CASE WHEN len({name(label)}) > 0 THEN {PHRASE_SCORE} END::DOUBLE")
+        for text in TEXTS.get(label, []):
+            full = cut(text)
             lead = next(i for i in range(len(full)) if full[i : i + len(own)] == own)
-            same = " + ".join(f"(coalesce(s > {lead - i} AND words[greatest(s - {lead - i}, 1)] = '{w}', false))::INT" for i, w in enumerate(full))
-            shares.append(f"list_max(list_transform({name}, lambda s: ({same}) / {len(full)}.0::DOUBLE))")
-    label_list = lambda names: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN len(at_{k.replace('-', '_')}) > 0 THEN '{k}' END" for k in sorted(names)) + "], lambda x: x IS NOT NULL), ',')"
-    base = f"list_concat(list_concat({', '.join(f'at_{k}' for k in list(BASE_PHRASES)[:2])}), at_gpl)"
+            same = f"len(list_filter(range({len(full)}), lambda i: s + i > {lead} AND words[greatest(s + i - {lead}, 1)] = {quoted(full)}[i + 1]))"
+            share = f"list_transform({name(label)}, lambda s: {same} / {len(full)}.0::DOUBLE)"
+            shares.append(f"list_max(list_filter({share}, lambda x: x >= {(len(full) - floor((1 - SHARE) * len(full))) / len(full) - 1e-9}))")
+    label_list = lambda names: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN len({name(k)}) > 0 THEN '{k}' END" for k in sorted(names)) + "], lambda x: x IS NOT NULL), ',')"
+    base = "list_concat(list_concat(at_mit, at_apache), at_gpl)"
     return rf"""
     WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
     p AS (SELECT doc_id, words, {", ".join(at)} FROM w)
     SELECT doc_id, len(words)::BIGINT AS n_words, len({base})::BIGINT AS n_base, list_min({base}) - 1 AS first_word, list_max({base}) - 1 AS last_word,
-           {label_list(BASE_PHRASES)} AS base_labels, {label_list(PHRASES)} AS labels, coalesce(greatest({", ".join(shares)}), 0)::DOUBLE AS score
+           {label_list(["mit", "apache", "gpl"])} AS base_labels, {label_list(phrases)} AS labels, coalesce(greatest({", ".join(shares)}), 0)::DOUBLE AS score
     FROM p"""
 
 
