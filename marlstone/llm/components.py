@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import written
+from marlstone.session import scratch, written
 
 
 def _minimum(edges: DataFrame) -> DataFrame:
@@ -39,15 +39,20 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (columns a, b); root is the component's smallest node.
 
-    Loops, repeated and null edges are ignored.
+    Loops, repeated and null edges are ignored; no edges give no rows. A round's tables are removed
+    when the next has been written.
     """
+    spark = edges.sparkSession
     oriented = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    now = written(oriented.distinct(), "star")
-    state = _state(now)
-    while state[0]:
-        now = written(_small_star(written(_large_star(now), "star")), "star")
-        before, state = state, _state(now)
-        if state == before:
-            break
+    with scratch(spark) as own:
+        now = written(oriented.distinct(), "star")
+        state = _state(now)
+        while state[0]:
+            with scratch(spark) as turn:
+                now = turn.keep(written(_small_star(written(_large_star(now), "star")), "star"))
+            before, state = state, _state(now)
+            if state == before:
+                break
+        own.keep(now)
     roots = now.select("lo").distinct()
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots.select(F.col("lo").alias("node"), F.col("lo").alias("root")))

@@ -30,7 +30,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import read_table
+from marlstone.session import free_name, read_table
 
 # Key phrases by label; the first three are the base.
 BASE_PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -176,12 +176,6 @@ def _verified(t: Column, words: Column, start: Column) -> Column:
     return F.when(whole, _bound(same, lambda n: F.when(n >= F.size(t["words"]) - t["off"], n / F.size(t["words"])).otherwise(0.0))).otherwise(0.0)
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have yet, upper and lower case alike."""
-    taken = {c.lower() for c in docs.columns}
-    return next(n for i in range(len(taken) + 1) if (n := f"_{name}{i or ''}") not in taken)
-
-
 def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``license``: struct (n_words, places, base_labels, labels, score) to ``docs``.
 

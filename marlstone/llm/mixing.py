@@ -12,12 +12,14 @@ any stretch of slots is close to the weights. Slots are ranked within their sour
 slot of rank k is joined to the source's block k.
 
 Running sums and ranks are taken in two levels (within hash or slot ranges, then over the
-ranges' totals), so a source with a third of all rows is spread over many tasks.
+ranges' totals), so a source with a third of all rows is spread over many tasks. The number of
+ranges grows with the rows; rows equal in everything that counts are numbered first and dealt by
+that number, so a group of them is spread likewise.
 
 Defined results: null texts have size 0; sizes of 0 take no words; null sources are a source
 of their own, last by name; a source without words has target 0; repeated rows and ids are
 rows of their own (equal rows in any order); an empty table gives an empty result; other
-columns are ignored.
+columns are ignored, and pass through ``mixed`` (the operator's own take free names).
 """
 
 from __future__ import annotations
@@ -27,14 +29,16 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import read_table, written
+from marlstone.session import free_name, read_table, scratch, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
 BLOCK = 1024  # words
 CHUNK = 1 << 14  # slots ranked together
-BINS = 512  # hash ranges a source's documents are dealt to
+BINS = 512  # hash ranges a source's documents are dealt to, at least
+BIN_ROWS = 1 << 13  # rows in a range, about
+BLANK = r"[\x20\x09-\x0D]++"
 
 
 def n_words(text: str | Column) -> Column:
@@ -79,6 +83,15 @@ def _before(df: DataFrame, group: list[str], part: str, order: list, amount: str
     return joined.select(*[own[c] for c in df.columns], (F.col("_offset") + F.col("_within")).alias("before"))
 
 
+def _dealt(sized: DataFrame) -> DataFrame:
+    """Equal rows (column ``at``) numbered, and ``at`` drawn anew from that number; column ``row`` tells rows apart."""
+    repeated = written(sized.groupBy("at").agg(F.count("*").alias("_n")).where("_n > 1").select("at"), "mix-repeated")
+    told = sized.join(repeated, "at").withColumn("_part", F.shiftright("row", 33)).withColumn("_one", F.lit(1).cast("long"))
+    places = _before(told, ["at"], "_part", ["row"], "_one", "mix-equal")
+    places = places.select(*sized.columns, "before").unionByName(sized.join(repeated, "at", "left_anti").withColumn("before", F.lit(0).cast("long")))
+    return written(places.withColumn("at", F.xxhash64("at", "before")).drop("before"), "mix-dealt")
+
+
 def _step(n: int) -> int:
     """The number next to n / golden ratio that is coprime to n."""
     g = max(1, round(n * (5**0.5 - 1) / 2))
@@ -115,17 +128,18 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     the slot holds. Documents: (row, key, source, size, source_size, target). ``row`` is the column
     of that name, or else a number given here.
     """
-    given = [F.col(row).alias("row")] if row else []
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(F.lit("mix"), key, F.crc32(F.coalesce(F.col(text), F.lit("")))).alias("at"), *given)
-    sized = written(sized, "mix-sizes")
+    body = F.coalesce(F.col(text), F.lit(""))
+    given = F.col(row) if row else F.monotonically_increasing_id()
+    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), F.xxhash64(F.lit("mix"), key, F.crc32(body), F.length(body), source).alias("at"), given.alias("row"))
+    sized = _dealt(written(sized, "mix-sizes"))
     aims = targets(sized, weights, share, repeats)
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")  # a row per source
     aims = written(aims.select("*", number.alias("number"), F.ceil(F.floor("target") / block).alias("blocks")), "mix-targets")
 
-    named = sized.join(aims, sized["source"].eqNullSafe(aims["source"])).select("key", sized["source"], "size", "at", "number", "source_size", "target", F.floor("target").alias("words"), *(["row"] if row else []))
-    binned = named.withColumn("bin", F.shiftrightunsigned("at", 64 - BINS.bit_length() + 1))
-    laid = _before(binned, ["number"], "bin", ["at", "key", "size"], "size", "mix-laid")
-    laid = written(laid if row else laid.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    named = sized.join(aims, sized["source"].eqNullSafe(aims["source"])).select("key", sized["source"], "size", "at", "number", "source_size", "target", F.floor("target").alias("words"), "row")
+    bins = max(BINS, 1 << (sized.count() // BIN_ROWS).bit_length())
+    binned = named.withColumn("bin", F.shiftrightunsigned("at", 64 - bins.bit_length() + 1))
+    laid = written(_before(binned, ["number"], "bin", ["at", "key", "size"], "size", "mix-laid"), "mix-rows")
 
     runs = laid.where("size > 0 and source_size > 0").select("row", "key", "number", "words", "size", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("epoch"), "before", "source_size")
     runs = runs.withColumn("start", F.col("before") + F.col("epoch") * F.col("source_size")).withColumn("stop", F.least(F.col("start") + F.col("size"), "words")).where("start < stop")
@@ -145,15 +159,28 @@ def taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each time it takes a document, or the greater part of it.
+    """``docs`` as the mix takes them: a row for each piece of a document that a slot holds.
 
-    Documents without words have nothing to take and go.
+    The words of the rows are those of the mix, so each source meets its target to a word. A document
+    taken whole keeps its text; a piece has its words, one blank between them. Documents without
+    words have nothing to take and go. The mix's order is that of ``mix``'s slots, and isn't kept here.
     """
-    held = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-docs")
-    placed, rows = mix(held, key, text, source, row="_mix_row", **how)
-    words = placed.groupBy("row", "epoch").agg(F.sum("words").alias("words"))
-    times = words.join(rows.select("row", "size"), "row").where(2 * F.col("words") >= F.col("size")).select(F.col("row").alias("_mix_row"))
-    return held.join(times, "_mix_row").drop("_mix_row")
+    number, cuts = free_name(docs, "mix_row"), free_name(docs, "cuts")
+    with scratch(docs.sparkSession) as own:
+        held = own.keep(written(docs.withColumn(number, F.monotonically_increasing_id()), "mix-docs"))
+        placed, rows = mix(held, key, text, source, row=number, **how)
+        placed = placed.join(rows.select("row", "size"), "row")  # a document's cuts are as many as its blocks
+        taken_as = own.keep(written(placed.groupBy(F.col("row").alias(number)).agg(F.collect_list(F.struct("first", "words", (F.col("words") == F.col("size")).alias("whole"))).alias(cuts)), "mix-cuts"))
+    joined = held.join(taken_as.hint("merge"), number)  # the same plan at every size
+
+    def cut(words):
+        return lambda c: F.when(c["whole"], F.col(text)).otherwise(F.array_join(F.slice(words, (c["first"] + 1).cast("int"), c["words"].cast("int")), " "))
+
+    partly = F.exists(cuts, lambda c: ~c["whole"])
+    words = F.when(partly, F.array_remove(F.split(text, BLANK), "")).otherwise(F.array().cast("array<string>"))
+    pieces = F.flatten(F.transform(F.array(words), lambda w: F.transform(cuts, cut(w))))
+    others = [c for c in docs.columns if c != text]
+    return joined.select(*others, F.explode(pieces).alias(text)).select(*docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

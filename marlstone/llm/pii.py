@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import read_table
+from marlstone.session import free_name, read_table
 
 # Kinds in report order, with the patterns that propose them.
 BASE_PATTERNS = {
@@ -173,12 +173,6 @@ def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have yet, upper and lower case alike."""
-    taken = {c.lower() for c in docs.columns}
-    return next(n for i in range(len(taken) + 1) if (n := f"_{name}{i or ''}") not in taken)
-
-
 def find_pii(docs: DataFrame, text: str = "text", window: int = 40, least: float = 0.5) -> DataFrame:
     """Add ``pii``: array of (kind, start, stop, value, score), ordered by start, then kind.
 

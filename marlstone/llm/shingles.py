@@ -1,18 +1,26 @@
-"""Near copies by word shingles: min-hash bands find candidates, exact Jaccard similarity decides.
+"""Near copies by word shingles: SimHash blocks and min-hash bands propose, exact Jaccard similarity decides.
 
 Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-more; groups are the components of these links. (64-bit SimHash can't propose such pairs: at 0.8
-about 10 +- 3 of the bits differ, which leaves no block to look up.)
-
-A text has ``BANDS`` keys of ``ROWS`` minima each, so a pair of similarity s shares a key with
-probability 1 - (1 - s^5)^20: 0.9996 at 0.8, the least similarity that counts. Texts of equal
-sets are one node from the start. Under each key all nodes are first held against the smallest;
-what that links is one component, so afterwards only pairs of different components are compared,
-all of them. No pair is linked unchecked, none under a key is left out.
+more; groups are the components of these links. Texts of equal sets are one node from the start.
+
+Proposals. Every node has a 64-bit SimHash of its shingles; pigeonhole blocks find fingerprints
+within 2 bits, checked by Hamming distance (``simhash.links``), and each group of such
+fingerprints is a key. At a similarity of 0.8 about 10 +- 3 of 64 bits differ, which leaves no
+block to look up, so a node also has ``BANDS`` keys of ``ROWS`` min-hash values each: a pair of
+similarity s shares one with probability 1 - (1 - s^5)^20, 0.9996 at 0.8, the least that counts.
+
+Decision. Under each key all nodes are held against one of them, that which shares the most keys
+with others (the one nearest to all, where a group are near copies of one text); what passes
+becomes components. Under keys that still hold several components, their nodes' sets are joined
+exactly, by prefixes: of two similar sets, each has one of the common shingles among its rarest
+fifth and one more. Only pairs of different components are compared then, all that share one; a
+node whose own fifth nobody else has is in no pair. No pair is linked unchecked, none under a key
+is left out.
 
 Defined results: words are cut and lowered as in ``simhash``; a null text counts as empty; texts
-without words are copies of each other; a text shorter than a shingle is one shingle; an empty
-table gives an empty result; other columns pass through.
+without words are copies of each other; a text shorter than a shingle is one shingle; null ids
+come last when a group's document is chosen; repeated rows are a group; an empty table gives an
+empty result; other columns pass through (the operator's own take free names).
 """
 
 from __future__ import annotations
@@ -25,8 +33,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import simhash
 from marlstone.llm.components import components
-from marlstone.session import written
+from marlstone.session import free_name, scratch, written
 
 SEED = 42
 WORDS = 5
@@ -55,14 +64,25 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return (least * JOINED).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)  # factors differ between bands
 
 
+def majority(found: np.ndarray) -> int:
+    """SimHash of a set: the bits that are set in over half of its hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, found.size, PIECE):
+        ones += np.unpackbits(found[at : at + PIECE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > found.size, bitorder="little").view(np.int64)[0])
+
+
 def sketch(text: str | Column) -> Column:
-    """Hash of a text's set, its size, its keys."""
+    """Hash of a text's set, its size, its fingerprint, its keys."""
 
-    @F.pandas_udf("struct<same: long, n: int, keys: array<long>>")
+    @F.pandas_udf("struct<same: long, n: int, fp: long, keys: array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t) for t in texts]
-        same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"same": same, "n": np.array([s.size for s in sets], np.int32), "keys": [band_keys(s).view(np.int64) for s in sets]})
+        rows = []
+        for t in texts:
+            s = shingles(t)
+            rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), s.size, majority(s), band_keys(s).view(np.int64)))
+        same, n, fp, keys = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pd.DataFrame({"same": np.array(same, np.uint64).view(np.int64), "n": np.array(n, np.int32), "fp": np.array(fp, np.int64), "keys": list(keys)})
 
     return of(text)
 
@@ -90,28 +110,64 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(both.where(_similar(F.col("_a"), F.col("_b"))).select("a", "b"), "shingles-linked")
 
 
-def _sizes_fit() -> Column:
+def _fit(a: Column, b: Column) -> Column:
     """Sets of sizes further apart can't be similar."""
-    return F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * round(SIMILARITY * 100)
+    return F.least(a, b) * 100 >= F.greatest(a, b) * round(SIMILARITY * 100)
 
 
-def _roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of the nodes (node, n, keys) that have a near copy; texts: (node, text) at least of the nodes."""
-    dealt = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = written(dealt.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct("node", "n")).alias("least")).where("rows > 1").drop("rows"), "shingles-keys")
-    held = written(dealt.join(shared, "key"), "shingles-held")
-    sets = written(texts.join(held.select("node").distinct().hint("merge"), "node", "left_semi").select("node", hashes("text").alias("set")), "shingles-sets")
+def _least_common(n: Column) -> Column:
+    """How much of a set of ``n`` at least is in any set similar to it."""
+    return F.floor((n * round(SIMILARITY * 100) + 99) / 100).cast("int")
 
-    stars = held.select(F.col("least.node").alias("a"), F.col("least.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")).where((F.col("a") < F.col("b")) & _sizes_fit())
-    first = _verified(stars.select("a", "b").distinct(), sets)
-    found = written(components(first), "shingles-components")
 
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """(key, node, n, rows): the nodes under each key that several share; ``rows`` says how many."""
+    prints = nodes.select("fp").distinct()
+    named = written(components(simhash.links(prints)), "shingles-prints")
+    by_print = nodes.join(named, nodes["fp"] == named["node"], "left").select(nodes["node"], "n", F.xxhash64(F.lit("print"), F.coalesce("root", "fp")).alias("key"))
+    dealt = nodes.select("node", "n", F.explode("keys").alias("key")).unionByName(by_print)
+    shared = written(dealt.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "shingles-keys")
+    return written(dealt.join(shared, "key").select("key", "node", "n", "rows"), "shingles-held")
+
+
+def _starred(held: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node and the one of its key that shares the most with others."""
+    mass = held.groupBy("node").agg(F.sum("rows").alias("mass"))
+    most = F.max(F.struct("mass", (-F.col("node")).alias("turned"), F.col("n").alias("hub_n")))
+    hubs = written(held.join(mass, "node").groupBy("key").agg(most.alias("hub")).select("key", (-F.col("hub.turned")).alias("hub"), "hub.hub_n"), "shingles-hubs")
+    pairs = held.join(hubs, "key").where((F.col("node") != F.col("hub")) & _fit(F.col("n"), F.col("hub_n")))
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def _across(held: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components, under keys that hold several, that can be similar."""
     told = held.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    apart = written(told.join(mixed, "key"), "shingles-apart")
-    side = lambda x: apart.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "root")])
-    rest = side("a").join(side("b"), "key").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _sizes_fit())
-    second = _verified(rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), sets)
+    several = told.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    apart = written(told.join(several, "key", "left_semi").select("node", "n", "root").distinct(), "shingles-apart")
+    cut = written(apart.join(sets, "node").select("node", "n", "root", F.explode("set").alias("shingle")), "shingles-cut")
+    often = cut.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    common = cut.join(often, "shingle").groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("common"))
+    alone = F.col("n") - F.size("common")  # shingles that only this node has come before
+    first = F.col("n") - _least_common(F.col("n")) + 1 - alone
+    prefix = common.where(first > 0).select("node", "n", "root", F.size("common").alias("c"), alone.alias("alone"), F.posexplode(F.slice("common", 1, F.greatest(first, F.lit(1)))).alias("at", "p"))
+    prefix = written(prefix.select("node", "n", "root", "c", (F.col("alone") + F.col("at")).alias("ahead"), "p.shingle"), "shingles-prefixes")
+    mixed = prefix.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    rest = written(prefix.join(mixed, "shingle"), "shingles-mixed")
+    side = lambda x: rest.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "root", "c", "ahead")])
+    # what must be common at least, of sets that are similar; no more can be than from the first common shingle on
+    least = F.ceil((F.col("a_n") + F.col("b_n")) * round(SIMILARITY * 100) / (100 + round(SIMILARITY * 100)) - 1e-9)
+    most = F.least(F.col("a_c"), F.col("b_c"), F.col("a_n") - F.col("a_ahead"), F.col("b_n") - F.col("b_ahead"))
+    pairs = side("a").join(side("b"), "shingle").where((F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & (most >= least))
+    return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
+def _roots(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, root) of the nodes (node, n, fp, keys) that have a near copy; texts: (node, text) at least of the nodes."""
+    held = _keyed(nodes)
+    sets = written(texts.join(held.select("node").distinct().hint("merge"), "node", "left_semi").select("node", hashes("text").alias("set")), "shingles-sets")
+    first = _verified(_starred(held), sets)
+    found = written(components(first), "shingles-components")
+    second = _verified(_across(held, found, sets), sets)
     return components(first.unionByName(second)) if second.limit(1).count() else found
 
 
@@ -120,11 +176,13 @@ def one_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     It is that with the smallest key (rows without a key come last), then the first by row number.
     """
-    held = written(docs.withColumn("_shingles", sketch(text)).withColumn("_shingles_row", F.monotonically_increasing_id()), "shingles-docs")
-    row = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col("_shingles_row").alias("row"))
-    classes = held.select("_shingles.*", row.alias("row")).groupBy("same").agg(F.min("row").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = written(classes.select(F.col("first.row").alias("node"), "n", "keys", "first"), "shingles-nodes")
-    roots = written(_roots(nodes, held.select(F.col("_shingles_row").alias("node"), F.col(text).alias("text"))), "shingles-roots")
-    rooted = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    kept = written(rooted.select(F.col("first.row").alias("_shingles_row")), "shingles-kept")
-    return held.join(kept.hint("merge"), "_shingles_row", "left_semi").select(*docs.columns)  # the same plan at every size
+    number, drawn = free_name(docs, "row"), free_name(docs, "shingles")
+    with scratch(docs.sparkSession) as own:
+        held = own.keep(written(docs.withColumn(drawn, sketch(text)).withColumn(number, F.monotonically_increasing_id()), "shingles-docs"))
+        row = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col(number).alias("row"))
+        classes = held.select(f"{drawn}.*", row.alias("row")).groupBy("same").agg(F.min("row").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+        nodes = written(classes.select(F.col("first.row").alias("node"), "n", "fp", "keys", "first"), "shingles-nodes")
+        roots = written(_roots(nodes, held.select(F.col(number).alias("node"), F.col(text).alias("text"))), "shingles-roots")
+        rooted = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+        kept = own.keep(written(rooted.select(F.col("first.row").alias(number)), "shingles-kept"))
+    return held.join(kept.hint("merge"), number, "left_semi").select(*docs.columns)  # the same plan at every size

@@ -8,7 +8,8 @@ Equal fingerprints are one node from the start, so copies never make pairs. Wher
 holds more than ``PAIRED`` different fingerprints, pairs give way to an equally exact form:
 two fingerprints are within two bits of each other if and only if they share a variant
 that differs from each in one bit at most, so all holders of a variant are linked to the
-smallest of them, which is linear in the group.
+smallest of them, which is linear in the group, and each such link is verified likewise. The two
+forms give the same components; the count only chooses the cheaper one.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero,
 linked like any other; a text shorter than a shingle is one shingle; repeated rows and ids
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.session import read_table, written
+from marlstone.session import free_name, read_table, scratch, written
 
 SEED = 42
 PIECE = 1 << 15  # hashes in memory at once, however long the text
@@ -90,20 +91,24 @@ def links(fingerprints: DataFrame) -> DataFrame:
     many = held.where(F.col("n") > PAIRED).select("part", "fp", F.explode(flips[F.col("part")]).alias("flip"))
     variants = many.select("part", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
     stars = variants.groupBy("part", "variant").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    return pairs.unionByName(stars.select("a", F.explode("all").alias("b")).where("a <> b")).distinct()
+    return pairs.unionByName(stars.select("a", F.explode("all").alias("b")).where((F.col("a") != F.col("b")) & close)).distinct()
 
 
 def _grouped(marked: DataFrame) -> DataFrame:
     """(fp, root, component_id) for each fingerprint of ``marked`` (columns key, fp)."""
-    classes = written(marked.groupBy("fp").agg(F.min("key").alias("least")), "simhash-classes")
-    roots = written(components(links(classes.select("fp"))), "simhash-roots")
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-smallest")
-    return written(rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"), "simhash-named")
+    with scratch(marked.sparkSession) as own:
+        classes = written(marked.groupBy("fp").agg(F.min("key").alias("least")), "simhash-classes")
+        roots = written(components(links(classes.select("fp"))), "simhash-roots")
+        rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        smallest = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-smallest")
+        return own.keep(written(rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"), "simhash-named"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, component_id), a row per document; component_id is the smallest key reachable."""
+    """(key, fp, component_id), a row per document; component_id is the smallest key reachable.
+
+    The join back to documents is on the fingerprint; where copies make one hot, AQE splits it.
+    """
     marked = written(docs.select(F.col(key).alias("key"), simhash(text).alias("fp")), "simhash")
     return marked.join(_grouped(marked), "fp").select(F.col("key").alias(key), "fp", "component_id")
 
@@ -115,11 +120,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     fingerprint; of rows equal in both, which are copies of each other, any one. Texts are
     shuffled once: the rows that stay are known by their number in the table written here.
     """
-    held = written(docs.withColumn("_simhash", simhash(text)).withColumn("_simhash_row", F.monotonically_increasing_id()), "simhash-docs")
-    marked = held.select(F.col(key).alias("key"), F.col("_simhash").alias("fp"), F.col("_simhash_row").alias("row"))
+    number, drawn = free_name(docs, "row"), free_name(docs, "simhash")
+    held = written(docs.withColumn(drawn, simhash(text)).withColumn(number, F.monotonically_increasing_id()), "simhash-docs")
+    marked = held.select(F.col(key).alias("key"), F.col(drawn).alias("fp"), F.col(number).alias("row"))
     first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "fp", "row")).alias("first")
-    kept = written(marked.join(_grouped(marked), "fp").groupBy("root").agg(first).select(F.col("first.row").alias("_simhash_row")), "simhash-kept")
-    return held.join(kept.hint("merge"), "_simhash_row", "left_semi").select(*docs.columns)  # the same plan at every size
+    kept = written(marked.join(_grouped(marked), "fp").groupBy("root").agg(first).select(F.col("first.row").alias(number)), "simhash-kept")
+    return held.join(kept.hint("merge"), number, "left_semi").select(*docs.columns)  # the same plan at every size
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
