@@ -63,6 +63,12 @@ class Scratch:
                 self.outer.tables.append(own)
         return df
 
+    def drop(self, df: DataFrame) -> None:
+        """Remove a table now, if it is owned here."""
+        for own in [t for t in self.tables if t[0] is df]:
+            remove(self.spark, own[1])
+            self.tables.remove(own)
+
     def clear(self) -> None:
         for _, path in self.tables:
             remove(self.spark, path)
