@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from marlstone.session import new_path, read_table, written
 
 ARCHIVE_BYTES = 64 << 20  # a task begins another file then
+FILES_IN_TASK = 8  # archives that a reading task goes through, where there are many
+PIECE_BYTES = 4 << 20  # of an archive that are dealt together when it is written anew
 READ_BYTES = 1 << 20
 LEAST = 0  # bytes of a payload from which on equal ones are revisits
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -171,7 +173,13 @@ def read_archives(paths: DataFrame) -> DataFrame:
                 yield _framed(rows, names)
 
     files = written(paths.select("path").distinct(), "warc-files")
-    return written(files.repartitionByRange(max(1, files.count()), "path").mapInPandas(read, HEADERS), "warc-headers")
+    n = files.count()
+    tasks = max(1, min(n, max(_partitions(files), -(-n // FILES_IN_TASK))))
+    return written(files.repartitionByRange(tasks, "path").mapInPandas(read, HEADERS), "warc-headers")  # a row per archive
+
+
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _framed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
@@ -213,8 +221,8 @@ def deduplicate(headers: DataFrame, folder: str, least: int = LEAST, date: str |
             source.close()
 
     held = headers.agg(F.sum("length")).first()[0] or 0
-    parts = max(int(headers.sparkSession.conf.get("spark.sql.shuffle.partitions")), held // ARCHIVE_BYTES + 1)
-    dealt = fate.repartitionByRange(parts, "path", "offset").sortWithinPartitions("path", "offset")
+    parts = max(_partitions(headers), -(-held // (FILES_IN_TASK * ARCHIVE_BYTES)))
+    dealt = fate.repartition(parts, "path", F.floor(F.col("offset") / PIECE_BYTES)).sortWithinPartitions("path", "offset")  # pieces of bounded size
     return written(dealt.mapInPandas(rewrite, PLACES), "warc-new-places")
 
 
@@ -225,9 +233,11 @@ def _fresh(record_id: str) -> str:
 
 def resolved(headers: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to): revisits joined to their responses."""
-    responses = headers.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("payload_bytes").alias("full"))
-    joined = headers.join(responses, "refers_to_id", "left")
-    return joined.select("page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    responses = headers.where("record_type = 'response'")
+    originals = responses.select(F.col("record_id").alias("refers_to_id"), F.col("payload_bytes").alias("full"))
+    revisits = headers.where("record_type <> 'response'").join(originals, "refers_to_id", "left")  # one original may have a third of all rows: AQE splits it
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return responses.select(*columns).unionByName(revisits.withColumn("payload_bytes", F.col("full")).select(*columns))
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:

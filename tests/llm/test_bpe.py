@@ -52,3 +52,21 @@ def test_columns(spark):
     assert [r.ids for r in rows] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert rows[0].back == "" and rows[2].back == "hello</w> hello</w>"
     assert docs.limit(0).select(bpe.digests("text", path, spark)).count() == 0
+
+
+def test_query_and_null_ids(spark, tmp_path):
+    """Numbers and digests of the query against the library, null ids and repeated rows among them."""
+    import hashlib
+
+    texts = [None, "", "the the", "Ünïcode 日本 \U0001f600", "x" * 3000, "the the"]
+    rows = [(i if i % 2 else None, t, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, ids_sha256 string").write.parquet(f"{tmp_path}/documents.parquet")
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    expected = []
+    for i, t, _ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        whole = b"".join(x.to_bytes(4, "little") for x in ids)
+        expected.append((i or 0, len(ids), hashlib.sha256(whole).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    got = bpe.op6_bpe(spark, str(tmp_path))
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == sorted(expected)

@@ -93,3 +93,15 @@ def test_empty_nulls_and_repeats(spark):
     kept = simhash.one_of_each(docs).select("text").orderBy("text").collect()
     assert [r.text for r in kept] == ["a b c", "totally other words here", "z y x w"]
     assert simhash.near_duplicates(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == 5
+
+
+def test_query(spark):
+    """Fingerprints and components of the query over the supplied documents, against all pairs."""
+    sf_dir = "/root/testdata/sf0.001"
+    prints = {r.doc_id: brute_print(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = simhash.op1_simhash(spark, sf_dir)
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert {i: r.fingerprint for i, r in rows.items()} == {i: f"{p:016x}" for i, p in prints.items()}
+    assert {i: r.component_id for i, r in rows.items()} == brute_components(prints, near(prints))
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -58,3 +58,19 @@ def test_members_are_whole_records(tmp_path):
     path.write_bytes(b"".join(members)[:-3])
     with pytest.raises(EOFError):
         list(warc._members(system, own))
+
+
+def test_clashing_columns_and_long_uris(spark):
+    rows = [(1, "http://e.org/" + "x" * 200_000, "body", 5, "p", "d"), (2, "http://e.org/é ü", "body", 6, "q", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, offset int, path string, payload_digest string")
+    raw = warc.read_archives(warc.write_archives(pages, new_path(spark, "t")))
+    assert {r.page_id: len(r.uri) for r in raw.collect()} == {1: 200_013, 2: len("http://e.org/%C3%A9%20%C3%BC")}
+    rows = warc.resolved(warc.read_archives(warc.deduplicate(raw, new_path(spark, "t")))).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in rows) == [(1, "revisit", 2), (2, "response", None)]
+
+
+def test_many_revisits_of_one_response(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PIECE_BYTES", 2000)
+    pages = spark.range(900).selectExpr("id as page_id", "cast(null as string) as url", "if(id % 3 = 0, 'hot', concat('b', id)) as html").repartition(4)
+    rows = warc.resolved(warc.read_archives(warc.deduplicate(warc.read_archives(warc.write_archives(pages, new_path(spark, "t"))), new_path(spark, "t")))).collect()
+    assert len(rows) == 900 and sum(r.record_type == "revisit" for r in rows) == 299 and {r.refers_to for r in rows} == {None, 897}
