@@ -154,3 +154,14 @@ def decode_rounds(bits: Column, width: int = 24) -> Column:
     rounds = F.transform(F.sequence(F.lit(0), F.floor(F.length(bits) / width).cast("int") - 1), lambda r: F.substr(bits, r * width + 1, F.lit(width)))
     half = width // 2
     return F.when(F.length(bits) >= width, F.transform(rounds, lambda b: xor_bits(F.substr(b, F.lit(1), F.lit(half)), F.substr(b, F.lit(half + 1), F.lit(half))))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def applies_to(cells: Column, model: Column, language: Column) -> Column:
+    """Whether a grid point holds for a cell: no list of (model, language) is every cell, a null axis excludes nothing."""
+    fits = lambda c: (model.isNull() | (c["model_id"] == model)) & (language.isNull() | (c["language"] == language))
+    return cells.isNull() | F.coalesce(F.exists(cells, fits), F.lit(False))
+
+
+def distance(similarity: Column, same: Column) -> Column:
+    """One less the similarity, to six places, halves to even; none between equal texts."""
+    return F.when(same, 0.0).otherwise(F.bround(1 - similarity, 6))

@@ -17,9 +17,9 @@ def is_empty(text: Column) -> Column:
 
 
 def clean_comment(text: Column) -> Column:
-    """Comment markers off both ends, white space runs as one space."""
-    bare = F.regexp_replace(F.trim(text), r"^(?:[#*;!]+|/{2,}|/\*+|\s+)+", "")
-    bare = F.regexp_replace(bare, r"(?:\*+/|\s+)+$", "")
+    """Comment markers off both ends as long as there are any, white space runs as one space."""
+    bare = F.regexp_replace(text, r"^(?:#++|/{2,}+|/\*++|\s++)++", "")
+    bare = F.regexp_replace(bare, r"(?:\*+/|\s)++$", "")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
@@ -32,10 +32,26 @@ def non_english(text: Column) -> Column:
     return text.rlike(r"[^\x00-\x7F]") | (F.coalesce(letter_share(text), F.lit(0.0)) < 0.6)
 
 
+# What makes a comment no prose.
+LICENSE_SIGNS = r"copyright|\blicen[cs]e|spdx|all rights reserved|permission is hereby granted|\(c\)\s*\d"
+GENERATED_SIGNS = r"@generated|auto-?generated|autogenerated|generated by|do not edit|code generator"
+DIRECTIVE_SIGNS = (
+    r"noqa|\btype:\s|pylint:|pyright:|mypy:|eslint|jshint|jslint|istanbul|prettier-ignore|clang-format|clang-tidy|nolint|\bfmt:\s|@ts-|"
+    r"#\s*pragma|\bpragma\b|#?region\b|nosec|sourcemappingurl|coverage:|iwyu|lgtm|codecov|@flow|@jsx|@license|@preserve"
+)
+CODE_STARTS = (
+    r"^(if|for|while|return|import|from|def|class|var|let|const|int|long|double|float|bool|public|private|protected|static|void|auto|std::|"
+    r"#include|print|console\.|System\.)\b"
+)
+CODE_MARKS = r"[;{}()=<>\[\]]"
+MOST_MARKS = 0.1  # of a text's characters
+
+
 def looks_like_code(text: Column) -> Column:
-    """An end of statement, a call with an assignment, or many marks."""
-    marks = F.regexp_count(text, F.lit(r"[{}();=<>\[\]]")).cast("double")
-    return text.rlike(r"[;{}]\s*$") | text.rlike(r"^\s*\w+\s*=\s*\w+\(") | (F.coalesce(F.try_divide(marks, F.length(text).cast("double")), F.lit(0.0)) > 0.15)
+    """Many marks, the end of a statement or block, or a statement's first word and a mark."""
+    marks = F.regexp_count(text, F.lit(CODE_MARKS))
+    share = F.coalesce(F.try_divide(marks.cast("double"), F.length(text).cast("double")), F.lit(0.0))
+    return (share > MOST_MARKS) | text.rlike(r"[;{}]\z") | (text.rlike(CODE_STARTS) & (marks > 0))
 
 
 def first_reason(*rules: tuple[str, Column]) -> Column:
@@ -43,24 +59,43 @@ def first_reason(*rules: tuple[str, Column]) -> Column:
     return F.coalesce(*[F.when(rule, name) for name, rule in rules])
 
 
-def comment_drop_reason(text: Column, shortest: int = 10, longest: int = 120) -> Column:
-    cleaned = clean_comment(text)
-    return first_reason(
-        ("empty", is_empty(cleaned)), ("short", F.length(cleaned) < shortest), ("long", F.length(cleaned) > longest),
-        ("marker", F.lower(cleaned).rlike(r"\b(?:todo|fixme|xxx|copyright|license)\b")), ("url", cleaned.rlike("https?://")),
-        ("code", looks_like_code(cleaned)), ("non_english", non_english(cleaned)),
-    )
+def _prose_rules(cleaned: Column, shortest: int, longest: int) -> list[tuple[str, Column]]:
+    sign = lambda pattern: cleaned.rlike(f"(?i){pattern}")
+    return [
+        ("length", ~F.length(cleaned).between(shortest, longest)), ("license", sign(LICENSE_SIGNS)), ("generated", sign(GENERATED_SIGNS)),
+        ("directive", sign(DIRECTIVE_SIGNS)), ("code", looks_like_code(cleaned)), ("non_english", non_english(cleaned)),
+    ]
+
+
+def comment_drop_reason(text: Column, shortest: int = 3, longest: int = 120) -> Column:
+    """Why a comment is no one-line English prose; null if it is. A null comment counts as empty."""
+    raw = F.coalesce(text, F.lit(""))
+    inner = F.regexp_replace(F.regexp_replace(raw, r"^\s++", ""), r"\s++$", "")
+    return first_reason(("multiline", inner.contains("\n")), *_prose_rules(clean_comment(raw), shortest, longest))
 
 
 def doc_drop_reason(text: Column, shortest: int = 10, longest: int = 2000) -> Column:
-    cleaned = clean_doc(text)
-    return first_reason(("empty", is_empty(cleaned)), ("short", F.length(cleaned) < shortest), ("long", F.length(cleaned) > longest), ("non_english", non_english(cleaned)))
+    """The same for a whole block of documentation, whose lines are joined."""
+    return first_reason(*_prose_rules(clean_doc(F.coalesce(text, F.lit(""))), shortest, longest))
 
 
 def clean_doc(text: Column) -> Column:
-    """Lines trimmed of white space and leading asterisks, blank ones gone."""
-    lines = F.transform(F.split(newlines(text), "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^\*+\s?", "")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    """A documentation block without its markers, on one line."""
+    opened = lambda x: F.regexp_replace(x, r"^\s*(?:/\*+!?|//+!?|\*+/|\*)\s?", "")
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(opened(x), r"\s*\*+/\s*$", ""))
+    return F.trim(F.regexp_replace(F.array_join(lines, " "), r"\s+", " "))
+
+
+def compatible(language: Column, version: Column) -> Column:
+    """Whether a submission's language version runs: Python 3 or PyPy 3, C++ by GCC or Clang up to C++17, any Java, Node."""
+    told = F.lower(F.trim(version))
+    return (
+        F.when(language == "python", told.rlike(r"(python|pypy)\s*\(?\s*3"))
+        .when(language == "cpp", ~told.rlike(r"msvc|visual|c\+\+\s*20|c\+\+2a"))
+        .when(language == "java", F.lit(True))
+        .when(language == "javascript", told.contains("node") | (told == "javascript"))
+        .otherwise(False)
+    )
 
 
 def fence_tag(info: Column) -> Column:
@@ -116,10 +151,19 @@ def format_free(text: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\n+|\n+$", ""), F.lit("\n"))
 
 
+# A compiler's message, and lines that say nothing.
+ERROR_MESSAGE = r"(?:\berror: |\.java:\[\d+,\d+\] )([^\n]+)"
+ERROR_NOISE = r"^(?:exit \d+: )?(?:\d+ warnings?|Suppressed|Use -header-filter|Error while)"
+ERROR_LONGEST = 160
+
+
 def error_key(message: Column) -> Column:
-    """A message with paths, numbers and quoted names made equal."""
-    out = F.regexp_replace(F.element_at(F.split(F.trim(message), "\n"), -1), r"'[^']*'|\"[^\"]*\"", "'?'")
-    return F.substring(F.regexp_replace(F.regexp_replace(out, r"/[^\s:]+", "<path>"), r"\d+", "N"), 1, 120)
+    """The first message of a compiler, or else the first line that says something, without folders and line numbers; cut."""
+    lines = F.filter(F.transform(F.split(message, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    telling = F.get(F.filter(lines, lambda x: ~x.rlike(ERROR_NOISE)), 0)
+    bare = F.regexp_replace(F.regexp_replace(telling, r"(?<!\S)/\S*/", ""), r":\d+:\d+:", ":")
+    found = F.nullif(F.trim(F.regexp_extract(message, ERROR_MESSAGE, 1)), F.lit(""))
+    return F.substring(F.coalesce(found, bare, F.get(lines, 0), message), 1, ERROR_LONGEST)
 
 
 def share(text: Column) -> Column:

@@ -39,6 +39,11 @@ def first_per(table: DataFrame, keys: list[str], order: list[Column], n: int = 1
     return table.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
+def in_sample_order(samples: DataFrame, problem: str = "problem_key", index: str = "sample_index", ident: str = "sample_id") -> DataFrame:
+    """Adds ``position`` from 1 in the order (problem, index, id), and sorts by it."""
+    return numbered(samples, [], [F.col(problem), F.col(index), F.col(ident)], "position").orderBy("position")
+
+
 def last_per(table: DataFrame, keys: list[str], line: str) -> DataFrame:
     """The row of the largest ``line`` of each key: an aggregate with partial results, no sort."""
     rest = [c for c in table.columns if c not in keys]

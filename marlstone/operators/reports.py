@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.scores import shown
@@ -50,3 +50,15 @@ def parameter_curve(candidates: DataFrame, selected: DataFrame, group: list[str]
     for s in same:
         kept = kept.where(s)
     return kept.select(*candidates.columns, (F.col("tpr_dev") - F.lag("tpr_dev").over(Window.partitionBy(*group).orderBy(param))).alias("gain"))
+
+
+def report_index(written: DataFrame, long: DataFrame) -> DataFrame:
+    """(position, line): the index of a report, a line per file and how many metric rows are at risk of contamination.
+
+    ``written`` has a row per file (column name): a small table.
+    """
+    head = written.sparkSession.createDataFrame([(0, "# Report"), (1, ""), (2, "## Files"), (3, "")], "part int, line string")
+    files = written.select(F.lit(4).alias("part"), F.concat(F.lit("- `"), "name", F.lit("`")).alias("line"))
+    risk = long.agg(F.count_if("contamination_risk").alias("n")).select(F.lit(5).alias("part"), F.concat(F.lit("- metric rows with `contamination_risk`: "), "n").alias("line"))
+    lines = head.unionByName(files).unionByName(risk)
+    return lines.select((F.row_number().over(Window.orderBy("part", "line"))).alias("position"), "line")

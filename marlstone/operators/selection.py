@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.hashing import fingerprint, key_family, seed
-from marlstone.operators.ordered import first_per, numbered
+from marlstone.operators.ordered import first_per, numbered, running_sums
+from marlstone.session import scratch, written
 
 
 def assign_splits(problems: DataFrame, dev: dict[str, int], base: int = 42, key: str = "problem_key") -> DataFrame:
@@ -60,22 +60,30 @@ def distinct_codes(rows: DataFrame, group: list[str], code: str, order: list[str
 def pick_without_reuse(rows: DataFrame, group: list[str], order: str, user: str, duplicate: str, n: int) -> DataFrame:
     """In order, rows whose user and duplicate group are not used yet, up to n of each group.
 
-    The choice depends on earlier ones through two keys, so each (small) group is folded as an
-    array; equal places in the order go by the row's other columns.
+    A row that is the first left both of its user and of its duplicate group is picked whatever else
+    happens, and those sharing either with it go; repeated until none is left, that is the choice made
+    one by one. Each round is aggregates and joins, so no group is gathered. Equal places in the order
+    go by the row's other columns, equal rows by number; a row without a user or duplicate group
+    shares it with none. Of what is picked the first n of each group are kept.
     """
+    spark = rows.sparkSession
     rest = [c for c in rows.columns if c not in (*group, order)]
-    ordered = F.array_sort(F.collect_list(F.struct(order, *rest)))
-    none = F.expr("cast(array() as array<string>)")
-    start = F.struct(none.alias("users"), none.alias("groups"), F.slice("_all", 1, 0).alias("kept"))
-
-    def step(acc: Column, row: Column) -> Column:
-        own, group_of = row[user].cast("string"), row[duplicate].cast("string")
-        used = F.coalesce(F.array_contains(acc["users"], own), F.lit(False)) | F.coalesce(F.array_contains(acc["groups"], group_of), F.lit(False))
-        taken = F.struct(F.array_append(acc["users"], own).alias("users"), F.array_append(acc["groups"], group_of).alias("groups"), F.array_append(acc["kept"], row).alias("kept"))
-        return F.when(~used & (F.size(acc["kept"]) < n), taken).otherwise(acc)
-
-    folded = rows.groupBy(*group).agg(ordered.alias("_all")).select(*group, F.aggregate("_all", start, step)["kept"].alias("_kept"))
-    return folded.select(*group, F.explode("_kept").alias("_row")).select(*group, "_row.*").select(*rows.columns)
+    with scratch(spark) as own:
+        marked = written(rows.withColumn("_row", F.monotonically_increasing_id()), "pick-rows")
+        alone = lambda c, tag: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.concat(F.lit(tag), F.col("_row").cast("string")))
+        left = written(marked.select(*group, F.struct(order, *rest, "_row").alias("_at"), alone(user, "u").alias("_user"), alone(duplicate, "d").alias("_group")), "pick-left")
+        picked, least = None, lambda c: F.min("_at").alias(f"_first{c}")
+        while left.limit(1).count():
+            by_user = left.groupBy(*group, "_user").agg(least("_user"))
+            by_group = left.groupBy(*group, "_group").agg(least("_group"))
+            told = left.join(by_user, [*group, "_user"]).join(by_group, [*group, "_group"])
+            taken = written(told.where((F.col("_at") == F.col("_first_user")) & (F.col("_at") == F.col("_first_group"))).select(*left.columns), "pick-taken")
+            left = written(left.join(taken.select(*group, "_user"), [*group, "_user"], "left_anti").join(taken.select(*group, "_group"), [*group, "_group"], "left_anti"), "pick-left")
+            picked = taken if picked is None else picked.unionByName(taken)
+        if picked is None:
+            return rows.limit(0)
+        kept = own.keep(written(first_per(picked, group, [F.col("_at")], n).select(*group, "_at.*"), "picked"))
+    return kept.select(*rows.columns)
 
 
 def constrained_best(candidates: DataFrame, group: list[str], most: float) -> DataFrame:
@@ -98,51 +106,51 @@ def replay(steps: DataFrame, keys: list[str], step: str, score: str, valid: str,
 
 
 def lanes(cells: DataFrame, key: str, weight: str, n: int) -> DataFrame:
-    """Longest first, each to the lane with the least work: (key, weight, lane). Each step needs the last: one group of cells."""
-
-    def deal(frame: pd.DataFrame) -> pd.DataFrame:
-        load, out = [0.0] * n, []
-        for row in frame.sort_values([weight, key], ascending=[False, True]).itertuples(index=False):
-            lane = min(range(n), key=lambda i: (load[i], i))
-            load[lane] += getattr(row, weight)
-            out.append((getattr(row, key), getattr(row, weight), lane))
-        return pd.DataFrame(out, columns=[key, weight, "lane"])
+    """(key, weight, lane): longest first, dealt to and fro, so that lanes differ by the longest cell at most.
 
-    kinds = dict(cells.dtypes)
-    return cells.select(key, weight).groupBy(F.lit(0).alias("_all")).applyInPandas(deal, f"{key} {kinds[key]}, {weight} {kinds[weight]}, lane int")
+    By rank alone, which is spread over many tasks; no cell waits for the one before.
+    """
+    place = numbered(cells.select(key, weight), [], [-F.col(weight), F.col(key)], "_place").withColumn("_turn", F.pmod(F.col("_place") - 1, F.lit(2 * n)))
+    lane = F.when(F.col("_turn") < n, F.col("_turn")).otherwise(2 * n - 1 - F.col("_turn"))
+    return place.select(key, weight, lane.cast("int").alias("lane"))
 
 
 def packed_jobs(tasks: DataFrame, group: str, key: str, seconds: str, budget: float, startup: float) -> DataFrame:
-    """First fit, longest first: (group, key, seconds, job); each job spends ``startup`` before its tasks."""
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        left, out = [], []
-        for row in frame.sort_values([seconds, key], ascending=[False, True]).to_dict("records"):
-            job = next((i for i, free in enumerate(left) if free >= row[seconds]), None)
-            if job is None:
-                job = len(left)
-                left.append(budget - startup)
-            left[job] -= row[seconds]
-            out.append((row[group], row[key], row[seconds], job))
-        return pd.DataFrame(out, columns=[group, key, seconds, "job"])
+    """(group, key, seconds, job): tasks laid end to end, longest first, and cut into jobs of ``budget`` seconds.
 
-    kinds = dict(tasks.dtypes)
-    return tasks.select(group, key, seconds).groupBy(group).applyInPandas(pack, f"{group} {kinds[group]}, {key} {kinds[key]}, {seconds} {kinds[seconds]}, job int")
+    A job has room for the budget less ``startup``. Tasks over half the room are jobs of their own; of the
+    others a job takes those that begin within its stretch, which is the room less the longest of them, so
+    none is over its room, nor less than half full but the last. From running sums: no group is packed in one task.
+    """
+    room = round((budget - startup) * 1000)
+    exact = F.round(F.col(seconds) * 1000).cast("long")  # whole milliseconds: the same sums in any order
+    large = 2 * exact > room
+    order = F.struct((-F.col(seconds)).alias("s"), F.col(key).alias("k"))
+    amounts = [F.when(large, 0).otherwise(exact).cast("long").alias("_ms"), large.cast("long").alias("_alone")]
+    laid = running_sums(tasks.select(group, key, seconds, order.alias("_order"), *amounts), [group], "_order", ["_ms", "_alone"])
+    told = tasks.groupBy(F.col(group).alias("_g")).agg(F.coalesce(F.max(F.when(~large, exact)), F.lit(0)).alias("_longest"), F.count_if(large).alias("_larges"))
+    among = F.floor((F.col("cum__ms") - F.col("_ms")) / (F.lit(room) - F.col("_longest")))
+    job = F.when(F.col("_alone") == 1, F.col("cum__alone") - 1).otherwise(F.col("_larges") + among)
+    return laid.join(told, laid[group].eqNullSafe(told["_g"])).select(group, key, seconds, job.cast("int").alias("job"))
 
 
 def critical_path(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """(step, finish): earliest end of each step (columns step, seconds) after all it needs (step, needs).
 
-    Levels of the step graph are relaxed one after another; a row per step, lineage cut by the caller.
+    Levels of the step graph are relaxed one after another, a written table each; only the number of
+    steps that moved reaches the driver. Steps on a cycle raise.
     """
-    now = steps.select("step", "seconds", F.col("seconds").cast("double").alias("finish"))
-    for _ in range(steps.count()):
-        ends = edges.join(now.select(F.col("step").alias("needs"), F.col("finish").alias("_end")), "needs").groupBy("step").agg(F.max("_end").alias("_start"))
-        then = now.join(ends, "step", "left").select("step", "seconds", (F.col("seconds") + F.coalesce("_start", F.lit(0.0))).alias("finish"))
-        rows = then.collect()  # a row per step of a plan
-        if {(r["step"], r["finish"]) for r in rows} == {(r["step"], r["finish"]) for r in now.collect()}:
-            break
-        now = steps.sparkSession.createDataFrame(rows, then.schema)
+    with scratch(steps.sparkSession) as own:
+        now = written(steps.select("step", "seconds", F.col("seconds").cast("double").alias("finish"), F.lit(True).alias("moved")), "path")
+        for _ in range(steps.count() + 1):
+            if not now.where("moved").limit(1).count():
+                break
+            ends = edges.join(now.select(F.col("step").alias("needs"), F.col("finish").alias("_end")), "needs").groupBy("step").agg(F.max("_end").alias("_start"))
+            finish = F.col("seconds") + F.coalesce("_start", F.lit(0.0))
+            now = written(now.join(ends, "step", "left").select("step", "seconds", finish.alias("finish"), (finish != F.col("finish")).alias("moved")), "path")
+        else:
+            raise ValueError("steps need each other")
+        own.keep(now)
     return now.select("step", "finish")
 
 

@@ -203,30 +203,19 @@ def a23(spark, sf_dir):
     return reports.efficiency(e, ["phase"]).withColumn("seconds_per_sample", F.round("seconds_per_sample", 6))
 
 
-@query(
-    "a25_cross_and_within_mean",
-    f"""WITH {EXECUTIONS}, e AS (SELECT * FROM ex WHERE l_partkey % 10 = 0), m AS (SELECT row_number() OVER (ORDER BY l_orderkey, sample_index, l_suppkey, loc, elapsed_s) AS id, * FROM e),
-    c AS (SELECT problem_key, avg(d) AS v FROM (SELECT a.problem_key, a.id, avg(abs(a.loc - b.loc)) AS d FROM m a JOIN m b ON a.problem_key = b.problem_key AND a.side = 'F' AND b.side = 'O' GROUP BY ALL) GROUP BY problem_key),
-    w AS (SELECT problem_key, avg(d) AS v FROM (SELECT a.problem_key, a.id, avg(abs(a.loc - b.loc)) AS d FROM m a JOIN m b ON a.problem_key = b.problem_key AND a.side = 'O' AND b.side = 'O' AND a.id <> b.id GROUP BY ALL) GROUP BY problem_key)
-    SELECT problem_key, round(c.v, 6) AS cross_mean, round(w.v, 6) AS within_mean FROM c JOIN w USING (problem_key)""",
-)
-def a25(spark, sf_dir):
-    return _a25(executions(spark, sf_dir).where("l_partkey % 10 = 0"))  # what its SQL asks for; a25_cross_and_within_mean_all has every problem
-
-
 def _a25(e):
     means = metrics.gap_means(e.where("side = 'F'"), e.where("side = 'O'"), "problem_key", "loc")
     return means.where("cross_mean is not null and within_mean is not null").select("problem_key", F.round("cross_mean", 6).alias("cross_mean"), F.round("within_mean", 6).alias("within_mean"))
 
 
 @query(
-    "a25_cross_and_within_mean_all",
+    "a25_cross_and_within_mean",
     f"""WITH {EXECUTIONS}, m AS (SELECT row_number() OVER (ORDER BY l_orderkey, sample_index, l_suppkey, loc, elapsed_s) AS id, * FROM ex),
     c AS (SELECT problem_key, avg(d) AS v FROM (SELECT a.problem_key, a.id, avg(abs(a.loc - b.loc)) AS d FROM m a JOIN m b ON a.problem_key = b.problem_key AND a.side = 'F' AND b.side = 'O' GROUP BY ALL) GROUP BY problem_key),
     w AS (SELECT problem_key, avg(d) AS v FROM (SELECT a.problem_key, a.id, avg(abs(a.loc - b.loc)) AS d FROM m a JOIN m b ON a.problem_key = b.problem_key AND a.side = 'O' AND b.side = 'O' AND a.id <> b.id GROUP BY ALL) GROUP BY problem_key)
     SELECT problem_key, round(c.v, 6) AS cross_mean, round(w.v, 6) AS within_mean FROM c JOIN w USING (problem_key)""",
 )
-def a25_all(spark, sf_dir):
+def a25(spark, sf_dir):
     return _a25(executions(spark, sf_dir))
 
 
@@ -494,19 +483,31 @@ def b15(spark, sf_dir):
     return reports.parameter_curve(c, chosen, ["method", "model_id"], "config_hash", ["pass1_drop_pp"])
 
 
-@query("t9_lanes")
+@query("t9_lanes", f"WITH {PROBLEMS}, c AS (SELECT level, round(sum(seconds), 2) AS seconds FROM pr GROUP BY level), n AS (SELECT *, (row_number() OVER (ORDER BY seconds DESC, level) - 1) % 6 AS t FROM c) SELECT level, seconds, (CASE WHEN t < 3 THEN t ELSE 5 - t END)::INT AS lane FROM n")
 def t9(spark, sf_dir):
     cells = problems(spark, sf_dir).groupBy("level").agg(F.round(F.sum("seconds"), 2).alias("seconds"))
     return selection.lanes(cells, "level", "seconds", 3)
 
 
-@query("t10_packed_jobs")
+@query(
+    "t10_packed_jobs",
+    f"""WITH {PROBLEMS}, c AS (SELECT level, o_custkey, round(sum(seconds), 2) AS seconds FROM pr GROUP BY ALL), m AS (SELECT *, round(seconds * 1000)::BIGINT AS ms FROM c),
+    a AS (SELECT *, 2 * ms > 1999000000 AS alone FROM m),
+    r AS (SELECT *, sum(CASE WHEN alone THEN 0 ELSE ms END) OVER o - CASE WHEN alone THEN 0 ELSE ms END AS begins, sum(alone::INT) OVER o AS place, sum(alone::INT) OVER (PARTITION BY level) AS larges,
+        coalesce(max(CASE WHEN alone THEN NULL ELSE ms END) OVER (PARTITION BY level), 0) AS longest FROM a WINDOW o AS (PARTITION BY level ORDER BY seconds DESC, o_custkey))
+    SELECT level, o_custkey, seconds, (CASE WHEN alone THEN place - 1 ELSE larges + floor(begins::DOUBLE / (1999000000 - longest)) END)::INT AS job FROM r""",
+)
 def t10(spark, sf_dir):
     tasks = problems(spark, sf_dir).groupBy("level", "o_custkey").agg(F.round(F.sum("seconds"), 2).alias("seconds"))
     return selection.packed_jobs(tasks, "level", "o_custkey", "seconds", 2_000_000.0, 1000.0)
 
 
-@query("t15_critical_path")
+@query(
+    "t15_critical_path",
+    """WITH RECURSIVE s(step, seconds) AS (VALUES ('a', 2.0::DOUBLE), ('b', 3.0), ('c', 1.0), ('d', 4.0)), e(step, needs) AS (VALUES ('b', 'a'), ('c', 'a'), ('d', 'b'), ('d', 'c')),
+    p AS (SELECT step, seconds AS finish FROM s UNION ALL SELECT e.step, p.finish + s.seconds FROM p JOIN e ON e.needs = p.step JOIN s ON s.step = e.step)
+    SELECT step, max(finish) AS finish FROM p GROUP BY step""",
+)
 def t15(spark, sf_dir):
     steps = spark.createDataFrame([("a", 2.0), ("b", 3.0), ("c", 1.0), ("d", 4.0)], "step string, seconds double")
     edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c")], "step string, needs string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import code, hashing, scores, text
-from marlstone.operators import metrics, reports, selection, stats
+from marlstone.operators import metrics, ordered, reports, selection, stats
 from marlstone.plans.corpus_queries import _programs
 from marlstone.plans.score_queries import HIT, TAU, _seed_sql
 from marlstone.plans.views import DETECTIONS, EXECUTIONS, PROBLEMS, detections, documents, executions, problems
@@ -217,24 +217,106 @@ def g12(spark, sf_dir):
     return stats.indexed_quantiles(o, ["level"], "o_totalprice")
 
 
-@query("p13_compatible", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN regexp_matches(o_orderpriority, '^[12]') WHEN 'O' THEN regexp_matches(o_orderpriority, 'LOW') ELSE false END AS fits FROM orders")
+_LANGUAGES = ["python", "cpp", "java", "javascript", "rust"]
+_VERSIONS = ["Python (3.8.2)", "PyPy3 (7.3.0)", "Python (2.7.6)", "Python", "C++ (GCC 9.2.1)", "C++20 (GCC 12)", "Visual C++ 2010", "C++ 14 (Clang 10)", "Java8 (OpenJDK)", " JavaScript ", "JavaScript (Node.js 12.16.1)", "JavaScript (V8)", "rust"]
+
+
+@query(
+    "p13_compatible",
+    f"""WITH v AS (SELECT o_orderkey, ({_LANGUAGES!r})[1 + (o_orderkey % 5)::INT] AS l, lower(trim(({_VERSIONS!r})[1 + (o_custkey % 13)::INT])) AS v FROM orders)
+    SELECT o_orderkey, CASE l WHEN 'python' THEN regexp_matches(v, '(python|pypy)\\s*\\(?\\s*3') WHEN 'cpp' THEN NOT regexp_matches(v, 'msvc|visual|c\\+\\+\\s*20|c\\+\\+2a')
+        WHEN 'java' THEN true WHEN 'javascript' THEN contains(v, 'node') OR v = 'javascript' ELSE false END AS fits FROM v""",
+)
 def p13(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority").rlike("^[12]")).when(F.col("o_orderstatus") == "O", F.col("o_orderpriority").rlike("LOW")).otherwise(False).alias("fits"))
+    of = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
+    return o.select("o_orderkey", text.compatible(of(_LANGUAGES, F.col("o_orderkey")), of(_VERSIONS, F.col("o_custkey"))).alias("fits"))
+
+
+@query(
+    "p18_applicable",
+    """WITH p AS (SELECT p_partkey, p_size % 4 AS kind, 'm' || (p_partkey % 3)::VARCHAR AS a, CASE WHEN p_partkey % 2 = 0 THEN 'python' ELSE 'java' END AS b FROM part),
+    n AS (SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE 'm' || (n_nationkey % 3)::VARCHAR END AS model, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE 'java' END AS language FROM nation)
+    SELECT n_nationkey, count(*) AS points FROM p JOIN n ON kind = 0 OR ((model IS NULL OR model = a) AND (language IS NULL OR language = b)) OR (kind = 1 AND (model IS NULL OR model = 'm0') AND (language IS NULL OR language = 'java')) GROUP BY n_nationkey""",
+)
+def p18(spark, sf_dir):
+    """How many grid points hold for each cell: points without a list, with one pair, or with two."""
+    pair = lambda m, lang: F.struct(m.alias("model_id"), lang.alias("language"))
+    own = pair(F.concat(F.lit("m"), F.col("p_partkey") % 3), F.when(F.col("p_partkey") % 2 == 0, "python").otherwise("java"))
+    kind = F.col("p_size") % 4
+    cells = F.when(kind == 0, None).when(kind == 1, F.array(own, pair(F.lit("m0"), F.lit("java")))).otherwise(F.array(own))
+    points = read_table(spark, sf_dir, "part").groupBy(cells.alias("cells")).agg(F.count("*").alias("n"))  # different lists: few
+    n = read_table(spark, sf_dir, "nation")
+    asked = n.select("n_nationkey", F.when(F.col("n_nationkey") % 5 != 0, F.concat(F.lit("m"), F.col("n_nationkey") % 3)).alias("model"), F.when(F.col("n_nationkey") % 7 != 0, "java").alias("language"))
+    return asked.join(points, scores.applies_to(F.col("cells"), F.col("model"), F.col("language"))).groupBy("n_nationkey").agg(F.sum("n").alias("points"))
+
+
+@query("m31_distance", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 0.0::DOUBLE ELSE round_even(1 - l_tax / 3, 6) END AS distance FROM lineitem")
+def m31(spark, sf_dir):
+    i = read_table(spark, sf_dir, "lineitem")
+    return i.select("l_orderkey", "l_linenumber", scores.distance(F.col("l_tax") / 3, F.col("l_discount") == 0).alias("distance"))
+
+
+@query("w10_sample_order", "SELECT l_partkey, l_linenumber, l_orderkey, row_number() OVER (ORDER BY l_partkey, l_linenumber, l_orderkey) AS position FROM lineitem")
+def w10(spark, sf_dir):
+    i = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_orderkey")
+    return ordered.in_sample_order(i, "l_partkey", "l_linenumber", "l_orderkey")
+
+
+@query("k12_report_index", """WITH l AS (SELECT 0 AS part, '# Report' AS line UNION ALL SELECT 1, '' UNION ALL SELECT 2, '## Files' UNION ALL SELECT 3, '' UNION ALL SELECT 4, '- `' || r_name || '`' FROM region
+    UNION ALL SELECT 5, '- metric rows with `contamination_risk`: ' || (SELECT count(*) FILTER (event_type = 'error') FROM events)) SELECT row_number() OVER (ORDER BY part, line)::INT AS position, line FROM l""")
+def k12(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events").select((F.col("event_type") == "error").alias("contamination_risk"))
+    return reports.report_index(read_table(spark, sf_dir, "region").select(F.col("r_name").alias("name")), events)
+
+
+@query("s26_blocks", "SELECT CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 3 END::BIGINT AS groups, count(*) AS files FROM region GROUP BY 1")
+def s26_blocks(spark, sf_dir):
+    """Files with a blank line have one group of two names and more; without, a group for each line of two names."""
+    r = read_table(spark, sf_dir, "region")
+    own = F.when(F.col("r_regionkey") % 2 == 0, F.lit("s1\ns2\n \ns3\n")).otherwise(F.lit("s1 s2\r\ns3\ns4 s5\ns6 s7\n"))
+    found = [readers.groups_of_files(r.where(F.col("r_regionkey") == k).select(own.alias("t")), "t", r"s\d").agg(F.count("*").alias("groups")) for k in range(5)]  # five files
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("groups").agg(F.count("*").alias("files"))
 
 
 # Text
 
 
-@query("f3_clean_comment")
+@query("f3_clean_comment", "SELECT item_id, trim(regexp_replace(CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN text || ' #' ELSE text END, '\\s+', ' ', 'g')) AS cleaned FROM benchmark")
 def f3(spark, sf_dir):
     b = read_table(spark, sf_dir, "benchmark")
-    return b.select("item_id", text.clean_comment(F.concat(F.lit("/* # "), "text", F.lit(" */"))).alias("cleaned"))
+    marked = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("/* # "), "text", F.lit(" **/ */ "))).when(F.col("item_id") % 3 == 1, F.concat(F.lit("### // "), "text", F.lit(" #"))).otherwise(F.concat(F.lit("//"), "text"))
+    return b.select("item_id", text.clean_comment(marked).alias("cleaned"))
+
+
+_DOC_SQL = """trim(regexp_replace(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x:
+    regexp_replace(regexp_replace(x, '^\\s*(?:/\\*+!?|//+!?|\\*+/|\\*)\\s?', ''), '\\s*\\*+/\\s*$', '')), ' '), '\\s+', ' ', 'g'))"""
 
 
-@query("f6_clean_doc", "SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(trim(x), '^\\*+\\s?', ''))), lambda x: x <> ''), chr(10))) AS digest FROM documents")
+@query("f6_clean_doc", f"SELECT doc_id, md5({_DOC_SQL}) AS digest FROM documents")
 def f6(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.md5(text.clean_doc(F.col("text"))).alias("digest"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(text.clean_doc(F.coalesce("text", F.lit("")))).alias("digest"))
+
+
+def _reason_sql(t: str, shortest: int, longest: int) -> str:
+    sign = lambda pattern: f"regexp_matches({t}, '(?i){pattern}')"
+    marks = f"length(regexp_replace({t}, '[^;{{}}()=<>\\[\\]]', '', 'g'))"
+    return f"""CASE WHEN length({t}) < {shortest} OR length({t}) > {longest} THEN 'length' WHEN {sign(text.LICENSE_SIGNS)} THEN 'license' WHEN {sign(text.GENERATED_SIGNS)} THEN 'generated'
+        WHEN {sign(text.DIRECTIVE_SIGNS)} THEN 'directive' WHEN {marks}::DOUBLE / length({t}) > 0.1 OR regexp_matches({t}, '[;{{}}]$') OR (regexp_matches({t}, '{text.CODE_STARTS}') AND {marks} > 0) THEN 'code'
+        WHEN regexp_matches({t}, '[^\\x00-\\x7F]') OR length(regexp_replace({t}, '[^A-Za-z]', '', 'g'))::DOUBLE / length({t}) < 0.6 THEN 'non_english' END"""
+
+
+@query(
+    "p10_doc_drop_reasons",
+    f"""WITH c AS (SELECT doc_id, {_DOC_SQL} AS d, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS raw,
+        trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^(?:#+|/{{2,}}|/\\*+|\\s+)+', ''), '(?:\\*+/|\\s)+$', ''), '\\s+', ' ', 'g')) AS m FROM documents)
+    SELECT doc_id, {_reason_sql("d", 10, 2000)} AS doc_reason, CASE WHEN contains(raw, chr(10)) THEN 'multiline' ELSE {_reason_sql("m", 3, 120)} END AS comment_reason FROM c""",
+)
+def p10(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.doc_drop_reason(F.col("text")).alias("doc_reason"), text.comment_drop_reason(F.col("text")).alias("comment_reason"))
 
 
 @query("f27_code_lines", "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(trim(x), '^(#|//|/\\*|\\*)')))::INT AS code_lines FROM documents")

@@ -72,6 +72,14 @@ def groups_of_ids(lines: DataFrame, line: str, pattern: str) -> DataFrame:
     return lines.select(ids.alias("ids")).where(F.size("ids") > 1).select(F.md5(F.array_join("ids", ",")).alias("group"), "ids")
 
 
+def groups_of_files(files: DataFrame, content: str, pattern: str) -> DataFrame:
+    """(group, ids) of whole files: a group is a block where blank lines part them, else a line."""
+    whole = F.trim(F.regexp_replace(content, "\r\n", "\n"), F.lit(" \n\t"))
+    blank = r"\n[ \t]*\n"
+    chunks = F.when(whole.rlike(blank), F.split(whole, blank)).otherwise(F.split(whole, "\n"))
+    return groups_of_ids(files.select(F.explode(chunks).alias("chunk")), "chunk", pattern)
+
+
 def group_index(groups: DataFrame) -> DataFrame:
     """(id, group, place): a row per id of each group."""
     return groups.select("group", F.posexplode("ids").alias("place", "id")).select("id", "group", "place")

@@ -71,6 +71,39 @@ def test_lanes_and_jobs(spark):
     assert load == {0: 9.0, 1: 9.0, 2: 9.0}
     jobs = {r.job: r.total for r in selection.packed_jobs(frame, "g", "k", "w", 10.0, 1.0).groupBy("job").agg(F.sum("w").alias("total")).collect()}
     assert all(v <= 9.0 for v in jobs.values()) and sum(jobs.values()) == 27
+    rng = random.Random(2)
+    many = spark.createDataFrame([(g, i, rng.randrange(1, 400) / 100) for g in "ab" for i in range(300)], "g string, k int, w double")
+    loads = [r.total for r in selection.packed_jobs(many, "g", "k", "w", 20.0, 1.0).groupBy("g", "job").agg(F.sum("w").alias("total")).collect()]
+    assert max(loads) <= 19.0 and len(loads) < 1.4 * sum(loads) / 19.0
+    large = selection.packed_jobs(many.withColumn("w", F.col("w") * 8), "g", "k", "w", 20.0, 1.0).groupBy("g", "job").agg(F.sum("w").alias("total"), F.count("*").alias("n")).collect()
+    assert all(r.total <= 19.0 or r.n == 1 for r in large) and {r.job for r in large if r.g == "a"} == set(range(sum(r.g == "a" for r in large)))
+    spread = sorted(r.total for r in selection.lanes(many, "k", "w", 7).groupBy("lane").agg(F.sum("w").alias("total")).collect())
+    assert spread[-1] - spread[0] <= 4.0
+
+
+def test_critical_path(spark):
+    steps = spark.createDataFrame([(c, float(i + 1)) for i, c in enumerate("abcde")], "step string, seconds double")
+    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c")], "step string, needs string")
+    assert {(r.step, r.finish) for r in selection.critical_path(steps, edges).collect()} == {("a", 1.0), ("b", 3.0), ("c", 4.0), ("d", 8.0), ("e", 5.0)}
+    with pytest.raises(ValueError, match="need each other"):
+        selection.critical_path(steps, edges.union(spark.createDataFrame([("a", "d")], edges.schema)))
+
+
+def test_pick_without_reuse_in_a_hot_group(spark):
+    """One group of all rows, nulls and equal places among them, against the plain loop."""
+    rng = random.Random(7)
+    rows = [("g" if i % 3 else None, rng.randrange(40), rng.choice([None, *range(60)]), rng.choice([None, *range(80)])) for i in range(500)]
+    schema = "g string, o int, u int, d int"
+    got = selection.pick_without_reuse(spark.createDataFrame([r for r in rows if r[0]], schema), ["g"], "o", "u", "d", 1000).collect()
+    users, groups, expected = set(), set(), []
+    for r in sorted((r for r in rows if r[0]), key=lambda r: (r[1], (r[2] is not None, r[2] or 0), (r[3] is not None, r[3] or 0))):
+        if r[2] in users or r[3] in groups:
+            continue
+        users |= {r[2]} - {None}
+        groups |= {r[3]} - {None}
+        expected.append(r)
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
+    assert selection.pick_without_reuse(spark.createDataFrame([], schema), ["g"], "o", "u", "d", 2).count() == 0
 
 
 def test_splits_and_gates(spark):

@@ -65,6 +65,42 @@ def test_store(spark, tmp_path):
         store.path("t", "../x")
 
 
+def test_store_overwrites(spark, tmp_path, monkeypatch):
+    """A failed write leaves no artifact, a good one replaces it; readers keep what they have; damage is seen."""
+    store = Store(spark, str(tmp_path / "s"))
+    store.write("t", "a", spark.range(5))
+    held = store.read("t", "a")
+    with pytest.raises(ValueError, match="7 rows written, 6 expected"):
+        store.write("t", "a", spark.range(7), expected=6)
+    assert not store.exists("t", "a") and held.count() == 5
+    with pytest.raises(FileNotFoundError):
+        store.read("t", "a")
+    store.write("t", "a", spark.range(7))
+    assert store.count("t", "a") == 7 and store.verify("t", "a")
+    store.write("t", "a", store.read("t", "a").where("id < 3"))  # from itself
+    assert store.count("t", "a") == 3 and store.manifests.where("path = 'a'").first().version == 3
+    store.clean("t", "a")
+    folder = tmp_path / "s" / "t" / "a"
+    assert len(list(folder.iterdir())) == 1
+    part = next(p for p in folder.rglob("part-*.parquet") if p.stat().st_size > 100)
+    data = part.read_bytes()
+    part.write_bytes(data[:60] + bytes([data[60] ^ 255]) + data[61:])
+    assert store.exists("t", "a") and not store.verify("t", "a")
+    part.write_bytes(data + b"garbage")
+    assert not store.exists("t", "a")
+    store.write("t", "a", spark.range(2))
+    monkeypatch.setattr(Store, "_hash", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.write_document("d", "x", {})
+    assert not store.exists("d", "x")
+
+
+def test_groups_of_files(spark):
+    files = spark.createDataFrame([("s1 s2\r\ns3\n\n s4\ns5\n",), ("s6,s7\ns8\ns9 s0",), ("",), (None,)], "t string")
+    got = sorted(sorted(r.ids) for r in readers.groups_of_files(files, "t", r"s\d").collect())
+    assert got == [["s0", "s9"], ["s1", "s2", "s3"], ["s4", "s5"], ["s6", "s7"]]
+
+
 def test_latex(spark):
     out = latex(spark.createDataFrame([("a_b", 5)], "n string, v int"), "50 %")
     assert r"a\_b & 5 \\" in out and r"50 \%" in out

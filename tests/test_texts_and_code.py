@@ -78,16 +78,25 @@ def test_fences(spark):
 
 
 def test_text_rules(spark):
-    row = spark.createDataFrame([("/* keep   this\tnote */", "a  \n\n\n\nb\t\n", "x '/tmp/a' failed at 12\nError: '/q' line 99")], "c string, l string, e string").select(
+    row = spark.createDataFrame([("/* keep   this\tnote */", "a  \n\n\n\nb\t\n", "3 warnings\n/tmp/x/b:12:3: failed")], "c string, l string, e string").select(
         text.clean_comment(F.col("c")).alias("c"), text.format_free(F.col("l")).alias("l"), text.normal_output(F.col("l")).alias("o"), text.error_key(F.col("e")).alias("e"), text.initial(F.lit("_1Éa")).alias("i"), text.task_number(F.lit("T/7"), "T").alias("t"), text.task_number(F.lit("T/x"), "T").alias("u"),
     ).first()
-    assert row.c == "keep this note" and row.l == "a\n\nb\n" and row.o == "a\n\n\n\nb" and row.e == "Error: '?' line N" and row.i == "é" and (row.t, row.u) == (7, None)
+    assert row.c == "keep this note" and row.l == "a\n\nb\n" and row.o == "a\n\n\n\nb" and row.e == "b: failed" and row.i == "é" and (row.t, row.u) == (7, None)
 
 
 def test_drop_reasons_are_in_order(spark):
-    rows = ["", "# ab", "x" * 200, "# TODO write this down soon", "see https://e.org for the rest", "value = call(x);", "это не английский текст", "a plain and useful comment"]
-    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string").select("i", text.comment_drop_reason(F.col("r")).alias("d")).orderBy("i").collect()
-    assert [r.d for r in got] == ["empty", "short", "long", "marker", "url", "code", "non_english", None]
+    rows = ["", "# ab", "x" * 200, "a line\nanother", "Copyright 2020 by someone", "Generated by a tool", "noqa for this line", "value = call(x);", "return the value (of it)", "это не английский текст", "12 34 56 7 ab", "a plain and useful comment", "/* # // kept text **/ */", None]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string").select("i", text.comment_drop_reason(F.col("r")).alias("d"), text.doc_drop_reason(F.col("r")).alias("b")).orderBy("i").collect()
+    assert [r.d for r in got] == ["length", "length", "length", "multiline", "license", "generated", "directive", "code", "code", "non_english", "non_english", None, None, "length"]
+    assert got[3].b is None and got[2].b is None and got[13].b == "length"
+    doc = spark.createDataFrame([("/** The first line.\n   * and more\n   *\n   **/",)], "t string").select(text.clean_doc(F.col("t"))).first()[0]
+    assert doc == "The first line. and more"
+
+
+def test_versions(spark):
+    rows = [("python", "Python (3.8)", True), ("python", "PyPy3", True), ("python", "Python (2.7)", False), ("python", "Python", False), ("cpp", "C++ (GCC)", True), ("cpp", "C++ 20", False), ("cpp", "MSVC", False), ("java", "any", True), ("javascript", "Node.js", True), ("javascript", " JavaScript", True), ("javascript", "JavaScript (V8)", False), ("rust", "1.0", False)]
+    got = spark.createDataFrame(rows, "l string, v string, e boolean").select("e", text.compatible(F.col("l"), F.col("v")).alias("f")).collect()
+    assert all(r.e == r.f for r in got)
 
 
 @settings(deadline=None, max_examples=200)
