@@ -21,6 +21,11 @@ def test_import_without_the_subpackage():
     subprocess.run([sys.executable, "-c", program], check=True, cwd=entry.__file__.rpartition("/")[0])
 
 
+def test_another_missing_module_is_an_error():
+    program = "import sys; sys.modules['marlstone.llm.bpe'] = None; import __spark_entry__"
+    assert subprocess.run([sys.executable, "-c", program], capture_output=True, cwd=entry.__file__.rpartition("/")[0]).returncode
+
+
 def test_nothing_else_imports_the_subpackage():
     found = subprocess.run(["grep", "-rln", "--include=*.py", "marlstone.llm", "marlstone"], capture_output=True, text=True, cwd=entry.__file__.rpartition("/")[0]).stdout.split()
     assert all(x.startswith("marlstone/llm/") for x in found)
