@@ -153,3 +153,14 @@ def test_recall_on_the_supplied_vectors(spark):
     cosine = lambda v, w: float((v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum())))
     expected = {(q, v) for q, _, v, _ in exact([tuple(r) for r in frame.select("vec_id", "embedding", "label").collect()], cosine, width=64)}
     assert len(found & expected) >= 0.9 * len(expected)
+
+
+def test_empty_vectors_and_clashing_columns(spark):
+    """Vectors without components score 0 with each other; columns named as the search's own are ignored."""
+    schema, ask = "vec_id long, embedding array<float>, row int, v string, cell int, part int, known string", F.col("key") % 50 == 0
+    more = (1, "a", 2, 3, "x")
+    empty = spark.createDataFrame([(0, [], *more), (50, [], *more), (3, [], *more)], schema)
+    assert sorted(map(tuple, topk.exact_top_k(empty, ask).collect())) == [(0, 1, 3, 0), (0, 2, 50, 0), (50, 1, 0, 0), (50, 2, 3, 0)]
+    assert ann.nearest_neighbours(empty, ask).count() == 0
+    nulls = spark.createDataFrame([(0, None, *more), (None, None, *more)], schema)
+    assert topk.exact_top_k(nulls, ask).count() == ann.nearest_neighbours(nulls, ask).count() == 0
