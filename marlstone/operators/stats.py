@@ -150,14 +150,31 @@ def _with(point: DataFrame, bounds: DataFrame, group: list[str]) -> DataFrame:
     return _beside(point, bounds, group)
 
 
-def group_folds(table: DataFrame, group: str, label: str, folds: int = 5, base: int = 42) -> DataFrame:
-    """Adds ``fold``: all rows of a group in one fold, classes balanced by dealing groups of each majority label in turn."""
+def _dealt_groups(table: DataFrame, group: str, label: str, base: int) -> DataFrame:
+    """(group, _place): groups of each majority label numbered by seed rank, from 1."""
     groups = table.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("ones"), F.count("*").alias("rows"))
     kind = groups.withColumn("_kind", 2 * F.col("ones") >= F.col("rows"))
-    placed = numbered(kind, ["_kind"], [seed(F.lit("fold"), F.lit(base), F.col(group)), F.col(group)], "_place")
+    return numbered(kind, ["_kind"], [seed(F.lit("fold"), F.lit(base), F.col(group)), F.col(group)], "_place").select(group, "_place")
+
+
+def group_folds(table: DataFrame, group: str, label: str, folds: int = 5, base: int = 42) -> DataFrame:
+    """Adds ``fold``: all rows of a group in one fold, classes balanced by dealing groups of each majority label in turn."""
+    placed = _dealt_groups(table, group, label, base)
     return table.join(placed.select(group, F.pmod(F.col("_place") - 1, F.lit(folds)).cast("int").alias("fold")), group)
 
 
+def nested_folds(table: DataFrame, group: str, label: str, folds: int = 5, inner: int = 3, base: int = 42) -> DataFrame:
+    """Adds ``fold`` as ``group_folds`` and ``inner``: for each fold left out, the inner fold among the other groups (-1 in the fold itself).
+
+    Inner folds deal the groups that remain in turn, in the same order, so one numbering gives all. A null group is one group.
+    """
+    place = (F.col("_place") - 1).cast("int")
+    rank = [place - F.floor((place + folds - 1 - f) / folds).cast("int") for f in range(folds)]  # without those of fold f ahead
+    within = F.array(*[F.when(F.pmod(place, F.lit(folds)) == f, -1).otherwise(F.pmod(r, F.lit(inner))).cast("int") for f, r in enumerate(rank)])
+    placed = _dealt_groups(table, group, label, base).select(F.col(group).alias("_group"), F.pmod(place, F.lit(folds)).cast("int").alias("fold"), within.alias("inner"))
+    return table.join(placed, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
 def fold_violations(table: DataFrame, group: str) -> DataFrame:
     """Groups that are in more than one fold; empty if the folds are sound."""
     return table.groupBy(group).agg(F.countDistinct("fold").alias("folds")).where("folds > 1")

@@ -22,7 +22,7 @@ def test_import_without_the_subpackage():
 
 
 def test_another_missing_module_is_an_error():
-    program = "import sys; sys.modules['marlstone.llm.bpe'] = None; import __spark_entry__"
+    program = "import sys, types; made = types.ModuleType('marlstone.llm'); made.__path__ = []; sys.modules |= {'corpus_pipeline': types.ModuleType('corpus_pipeline'), 'marlstone.llm': made}; import __spark_entry__"
     assert subprocess.run([sys.executable, "-c", program], capture_output=True, cwd=entry.__file__.rpartition("/")[0]).returncode
 
 
