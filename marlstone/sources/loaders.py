@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.braces import cpp_functions
 from marlstone.functions.code import functions_of, valid_python
 from marlstone.functions.hashing import problem_key
-from marlstone.functions.text import doc_drop_reason, newlines
+from marlstone.functions.text import GENERATED_SIGNS, doc_drop_reason, newlines
 
 PROBLEM = ("problem_key", "dataset", "level", "language", "split", "prompt_text", "entry_point", "canonical_solution", "test_ref", "contamination_risk", "loc_to_generate")
 
@@ -55,3 +56,16 @@ def file_functions(files: DataFrame, content: str, bucket: str, wanted: list[str
     """A row per function of the files in the wanted buckets."""
     kept = files.where(F.col(bucket).isin(*wanted))
     return kept.withColumn("function", F.explode(functions_of(F.col(content)))).select(*[c for c in files.columns if c != content], "function.name", "function.code", "function.loc")
+
+
+def cpp_corpus(files: DataFrame, dataset: str, level: str, ident: str, content: str, repo: str, bucket: str, wanted: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """C++ files of the wanted buckets: (problems, negatives, counts).
+
+    Problems are functions whose documentation is English prose, with prompt and body lines; negatives (problem_key, code, loc, repo)
+    are all sound functions; counts (reason, n) say why functions make no problem (``kept``: they do). A file is read once.
+    """
+    found = files.where(F.col(bucket).isin(*wanted)).select(F.col(ident).alias("_file"), F.col(repo).alias("repo"), F.explode(cpp_functions(newlines(F.col(content)), GENERATED_SIGNS)).alias("f"))
+    found = found.select("repo", F.concat_ws(":", "_file", "f.start_line").alias("id"), "f.*").withColumn("reason", F.coalesce("reason", F.concat(F.lit("doc_"), doc_drop_reason(F.col("doc")))))
+    problems = as_problems(found.where("reason is null"), dataset, level, F.lit("cpp"), F.col("id"), F.col("prompt"), F.col("entry_point"), F.col("code"), True, F.col("loc"))
+    negatives = found.where("sound").select(problem_key(F.lit(dataset), F.col("id")).alias("problem_key"), F.col("human").alias("code"), F.col("human_loc").alias("loc"), "repo")
+    return problems, negatives, found.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
