@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marlstone.functions import braces
+from marlstone.functions.similarity import profile, similarity
+from marlstone.operators import metrics
 from marlstone.session import read_table
 from marlstone.sources import loaders
 
@@ -148,3 +150,20 @@ def s22(spark, sf_dir):
 @query("s22_cpp_counts", f"{_FILES} SELECT unnest(['kept', 'no_doc']) AS reason, count(*) AS n FROM p GROUP BY 1")
 def s22_counts(spark, sf_dir):
     return _corpus(spark, sf_dir)[2]
+
+
+def similar_programs(spark, sf_dir):
+    """(marked, reference): Python programs, eight to a problem, of which one in three is marked; one in seven does not parse."""
+    p = read_table(spark, sf_dir, "part")
+    step = F.when(F.col("p_size") % 2 == 0, "total += i * %d\n").otherwise("total = total + i\n        last = total - %d\n")
+    body = F.concat(F.format_string('def part_%d(a, b):\n    """%s"""\n    total = a\n    for i in range(b):\n        ', F.col("p_partkey") % 5, F.col("p_name")), F.replace(step, F.lit("%d"), F.col("p_size").cast("string")), F.lit("    return total\n"))
+    code = F.when(F.col("p_partkey") % 7 == 0, F.concat(body, F.lit(")"))).otherwise(body)
+    rows = p.select(F.floor(F.col("p_partkey") / 8).alias("problem_key"), F.col("p_partkey").alias("sample_id"), code.alias("code"), (F.col("p_partkey") % 3 == 0).alias("marked"))
+    return rows.where("marked"), rows.where("not marked")
+
+
+@query("m30_cross_similarity")
+def m30(spark, sf_dir):
+    """Per problem, how much of the reference programs is in the marked ones: profiles are made once a program, pairs by built-ins."""
+    marked, reference = (t.select("problem_key", "sample_id", profile(F.col("code"), F.lit("python")).alias("profile")) for t in similar_programs(spark, sf_dir))
+    return metrics.cross_mean(marked, reference, "problem_key", "sample_id", similarity(F.col("r.profile"), F.col("m.profile")))
