@@ -109,9 +109,22 @@ def test_predictions_against_sets(spark):
     assert compared > 0.9 * len(docs)
 
 
-def test_ties_and_more_labels_than_are_learnt(spark, monkeypatch):
+def test_ties(spark):
     same = spark.createDataFrame([(i, "ta ro mi", lang) for i, lang in enumerate("cab")], "doc_id long, text string, lang string")
     assert {r.found.lang for r in langid.identify(same).collect()} <= {"a", "b", "c"}
     assert langid.decide(langid.learn(same), "ta ro mi")[0] == "a"  # the first by name
-    monkeypatch.setattr(langid, "LANGUAGES", 2)
-    assert langid.learn(same.unionByName(same.withColumn("text", F.lit("zu pfo")).where("lang = 'c'"))).languages == ["a", "c"]
+
+
+def test_all_labels_are_learnt_in_several_filters(spark, monkeypatch):
+    """300 languages of their own letters: as one filter, and as filters of 16 that a task has one at a time."""
+    rng = random.Random(9)
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + rng.randrange(12)) for _ in range(3))
+    rows = [(3 * i + j, " ".join(word(i) for _ in range(12)), f"l{i:03}") for i in range(300) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {r.doc_id: r.found for r in langid.identify(docs).collect()}
+    monkeypatch.setattr(langid, "TOGETHER", 16)
+    found = list(langid.filters(docs))
+    assert [len(f.languages) for f in found] == [16] * 18 + [12] and sorted(k for f in found for k in f.languages) == sorted({r[2] for r in rows})
+    assert {r.doc_id: r.found for r in langid.identify(docs).collect()} == whole
+    known = {r.lang for r in docs.where(~langid.held_out()).select("lang").distinct().collect()}
+    assert len(known) > 280 and np.mean([whole[i].lang == lang for i, _, lang in rows if lang in known]) > 0.98
