@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.scores import detected
-from marlstone.operators.ordered import running_sums
+from marlstone.operators.ordered import exact_quantiles, running_sums
 
 STATUSES = ("PASSED", "FAILED", "SYNTAX_ERROR", "COMPILE_ERROR", "RUNTIME_ERROR", "TIMEOUT", "NO_TESTS", "EXTRACTION_FAILED", "SANDBOX_ERROR")
 
@@ -136,7 +136,7 @@ def median_with_fallback(table: DataFrame, levels: list[list[str]], value: str,
     """Median of ``value`` for each wanted row at the first level of keys that has measurements."""
     out, found = wanted, []
     for i, keys in enumerate(levels):
-        medians = table.groupBy(*keys).agg(F.median(value).alias(f"_m{i}")) if keys else table.agg(F.median(value).alias(f"_m{i}"))
+        medians = exact_quantiles(table, keys, value, {f"_m{i}": 0.5})
         out = out.join(medians, keys, "left") if keys else out.crossJoin(medians)
         found.append(f"_m{i}")
     level = F.coalesce(*[F.when(F.col(m).isNotNull(), i) for i, m in enumerate(found)])

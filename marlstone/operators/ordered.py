@@ -76,10 +76,29 @@ def bin_of(value: Column, edges: Column) -> Column:
     return F.least(F.size(F.filter(edges, lambda e: e < value)), F.size(edges) - 1)
 
 
+def exact_quantiles(table: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, a column for each share): quantiles with linear interpolation between neighbours, null without values.
+
+    From counts per value and running sums, whose ranges split a hot group: no group's values meet in one task.
+    """
+    counts = table.groupBy(*group, value).agg(F.count(value).alias("n"))  # a group without values has one row that counts nothing
+    sizes = counts.groupBy(*group).agg(F.sum("n").alias("_n")).select(*[F.col(g).alias(f"_of_{g}") for g in group], "_n")
+    laid = running_sums(counts, group, value, ["n"])
+    low = laid.join(sizes, [laid[g].eqNullSafe(sizes[f"_of_{g}"]) for g in group]) if group else laid.crossJoin(sizes)  # one row
+    columns = []
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("_n") - 1)
+        at = lambda index: F.min(F.when(F.col("cum_n") > index, F.col(value))).cast("double")
+        weight = F.max(place - F.floor(place))  # the same in all of a group's rows
+        columns.append(F.when(F.max("_n") > 0, at(F.floor(place)) * (1 - weight) + at(F.ceil(place)) * weight).alias(name))
+    return low.groupBy(*group).agg(*columns)
+
+
 def quantile_edges(table: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """One row with the distinct quantile edges of a column, the maximum last."""
-    shares = [i / bins for i in range(1, bins)]
-    return table.agg(F.array_sort(F.array_distinct(F.concat(F.percentile(value, F.array(*[F.lit(s) for s in shares])), F.array(F.max(value).cast("double"))))).alias("edges"))
+    names = {f"q{i}": i / bins for i in range(1, bins)}
+    found = exact_quantiles(table, [], value, names).crossJoin(table.agg(F.max(value).cast("double").alias("most")))  # one row each
+    return found.select(F.array_sort(F.array_distinct(F.array(*names, "most"))).alias("edges"))
 
 
 def stratified(reference: DataFrame, candidates: DataFrame, value: str, n: int, rank: Column, bins: int = 10) -> DataFrame:

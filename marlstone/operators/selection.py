@@ -62,7 +62,9 @@ def pick_without_reuse(rows: DataFrame, group: list[str], order: str, user: str,
 
     A row that is the first left both of its user and of its duplicate group is picked whatever else
     happens, and those sharing either with it go; repeated until none is left, that is the choice made
-    one by one. Each round is aggregates and joins, so no group is gathered. Equal places in the order
+    one by one. Each round is aggregates and joins, so no group is gathered. A round picks at least the first row that
+    a group has left, and what comes behind a group's n-th pick is dropped: so there are n rounds at
+    most, whatever chains the rows form. Equal places in the order
     go by the row's other columns, equal rows by number; a row without a user or duplicate group
     shares it with none. Of what is picked the first n of each group are kept.
     """
@@ -72,28 +74,29 @@ def pick_without_reuse(rows: DataFrame, group: list[str], order: str, user: str,
         marked = written(rows.withColumn("_row", F.monotonically_increasing_id()), "pick-rows")
         alone = lambda c, tag: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.concat(F.lit(tag), F.col("_row").cast("string")))
         left = written(marked.select(*group, F.struct(order, *rest, "_row").alias("_at"), alone(user, "u").alias("_user"), alone(duplicate, "d").alias("_group")), "pick-left")
-        picked, least = None, lambda c: F.min("_at").alias(f"_first{c}")
+        picked, least = left.limit(0), lambda c: F.min("_at").alias(f"_first{c}")
         while left.limit(1).count():
             by_user = left.groupBy(*group, "_user").agg(least("_user"))
             by_group = left.groupBy(*group, "_group").agg(least("_group"))
             told = left.join(by_user, [*group, "_user"]).join(by_group, [*group, "_group"])
             taken = written(told.where((F.col("_at") == F.col("_first_user")) & (F.col("_at") == F.col("_first_group"))).select(*left.columns), "pick-taken")
-            left = written(left.join(taken.select(*group, "_user"), [*group, "_user"], "left_anti").join(taken.select(*group, "_group"), [*group, "_group"], "left_anti"), "pick-left")
-            picked = taken if picked is None else picked.unionByName(taken)
-        if picked is None:
-            return rows.limit(0)
-        kept = own.keep(written(first_per(picked, group, [F.col("_at")], n).select(*group, "_at.*"), "picked"))
-    return kept.select(*rows.columns)
+            picked = written(first_per(picked.unionByName(taken), group, [F.col("_at")], n), "picked")  # n rows of a group at most
+            full = picked.groupBy(*group).agg(F.count("*").alias("_n"), F.max("_at").alias("_last")).where(F.col("_n") >= n)
+            left = left.join(taken.select(*group, "_user"), [*group, "_user"], "left_anti").join(taken.select(*group, "_group"), [*group, "_group"], "left_anti")
+            left = written(left.join(full, group, "left").where("_last is null or _at < _last").select(*taken.columns), "pick-left")
+        own.keep(picked)
+    return picked.select(*group, "_at.*").select(*rows.columns)
 
 
 def constrained_best(candidates: DataFrame, group: list[str], most: float) -> DataFrame:
     """Per group, of the candidates whose drop is at most ``most`` that with the largest tpr, then smallest drop, then
     hash; if none is admissible, that with the smallest drop. Adds n_candidates and n_admissible."""
     fits = F.col("pass1_drop_pp") <= most
-    order = [F.when(fits, 0).otherwise(1), F.when(fits, -F.col("tpr_dev")), F.col("pass1_drop_pp"), F.col("config_hash")]
-    within = Window.partitionBy(*group)
-    counted = candidates.withColumn("constraint_satisfied", fits).withColumn("n_candidates", F.count("*").over(within)).withColumn("n_admissible", F.count_if(fits).over(within))
-    return first_per(counted, group, order)
+    order = F.struct(F.when(fits, 0).otherwise(1), F.when(fits, -F.col("tpr_dev")), F.col("pass1_drop_pp"), F.col("config_hash"))
+    own = [*[c for c in candidates.columns if c not in group], "constraint_satisfied"]
+    marked = candidates.withColumn("constraint_satisfied", fits)
+    best = marked.groupBy(*group).agg(F.min_by(F.struct(*own), order).alias("_best"), F.count("*").alias("n_candidates"), F.count_if(fits).alias("n_admissible"))
+    return best.select(*group, "_best.*", "n_candidates", "n_admissible").select(*candidates.columns, "constraint_satisfied", "n_candidates", "n_admissible")
 
 
 def replay(steps: DataFrame, keys: list[str], step: str, score: str, valid: str, cap: int, z: float) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.hashing import seed
 from marlstone.functions.scores import HIGHEST
-from marlstone.operators.ordered import numbered, running_sums
+from marlstone.operators.ordered import exact_quantiles, numbered, running_sums
 from marlstone.session import written
 
 LEAST_NEGATIVES = 1000  # below, a 1 % threshold rests on too few rows
@@ -102,32 +106,125 @@ def _drawn(clusters: DataFrame, group: list[str], cluster: str, n: int, label: s
     return _beside(draws, placed, [*group, "_pick"])
 
 
+BLOCK = 1 << 10  # clusters whose draws are told apart together
+
+
+def _split(label: str, n_draws: int, clusters: int, block: int, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For n replicates of ``n_draws`` draws from so many clusters: how many fall ahead of a block of them, and how many on it.
+
+    The blocks are the leaves of a binary tree. At a node, each replicate's draws are split by a binomial of
+    the two sides' shares of clusters, from a generator named after the node: every block that passes the node
+    finds the same split, so the blocks' counts add up without being seen together.
+    """
+    lo, hi = 0, -(-clusters // width)
+    ahead, here = np.zeros(n, np.int64), np.full(n, n_draws, np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left, whole = mid * width - lo * width, min(hi * width, clusters) - lo * width
+        first = _generator(label, lo, hi).binomial(here, left / whole)
+        if block < mid:
+            hi, here = mid, first
+        else:
+            lo, ahead, here = mid, ahead + first, here - first
+    return ahead, here
+
+
+def _generator(label: str, *node: int) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.sha256("|".join(map(str, (label, *node))).encode()).digest()[:16], "big")))
+
+
+def _block_draws(label: str, clusters: int, block: int, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(draws ahead of a block for each replicate, how often each replicate draws each of the block's clusters)."""
+    ahead, here = _split(label, clusters, clusters, block, n, width)
+    size = min(width, clusters - block * width)
+    return ahead, _generator(label, "block", block).multinomial(here, np.full(size, 1 / size))
+
+
+def _blocks(clusters: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Clusters numbered in their group, with its size, its name and their block."""
+    placed = _beside(numbered(clusters, group, order, "_at"), clusters.groupBy(*group).agg(F.count("*").alias("_k")), group)
+    named = F.to_json(F.struct(F.lit(0).alias("_"), *group))
+    return placed.withColumn("_name", named).withColumn("_block", F.floor((F.col("_at") - 1) / BLOCK))
+
+
+def split_replicates(clusters: DataFrame, group: list[str], cluster: str, amounts: list[str], n: int, label: str, base: int = 42) -> DataFrame:
+    """As ``replicates``, by exact multinomial counts: no row is made for a draw.
+
+    Each block of clusters counts its own draws and gives n rows of sums, so rows are as many as blocks times replicates.
+    """
+    seed_, width = f"{label}|{base}", BLOCK
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at")
+        _, counts = _block_draws(f"{seed_}|{rows['_name'].iloc[0]}", int(rows["_k"].iloc[0]), int(rows["_block"].iloc[0]), n, width)
+        sums = counts @ np.nan_to_num(rows[amounts].to_numpy(float))  # a missing amount adds nothing
+        return pd.DataFrame({"_name": rows["_name"].iloc[0], "replicate": np.arange(n)} | {a: sums[:, i] for i, a in enumerate(amounts)})
+
+    blocks = _blocks(clusters, group, [F.col(cluster)])
+    shape = ", ".join(["_name string", "replicate int", *[f"`{a}` double" for a in amounts]])
+    sums = blocks.select("_name", "_block", "_at", "_k", *amounts).groupBy("_name", "_block").applyInPandas(summed, shape)
+    sums = sums.groupBy("_name", "replicate").agg(*[F.sum(a).alias(a) for a in amounts])
+    names = blocks.where("_at = 1").select("_name", *group)
+    return sums.join(names, "_name").select(*group, "replicate", *amounts)
+
+
+def split_medians(clusters: DataFrame, group: list[str], cluster: str, value: str, n: int, label: str, base: int = 42) -> DataFrame:
+    """(group, replicate, median): the median of ``value`` over resampled clusters.
+
+    Clusters are numbered by value, so a block knows which ranks of a replicate's draws are its own,
+    and only the block that holds a middle rank answers for it.
+    """
+    seed_, width = f"{label}|{base}", BLOCK
+
+    def middle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at")
+        k, values = int(rows["_k"].iloc[0]), rows[value].to_numpy(float)
+        ahead, counts = _block_draws(f"{seed_}|{rows['_name'].iloc[0]}", k, int(rows["_block"].iloc[0]), n, width)
+        until, out = ahead[:, None] + counts.cumsum(axis=1), np.zeros(n)
+        found = np.zeros(n, bool)
+        for rank in ((k - 1) // 2, k // 2):
+            own = (ahead <= rank) & (rank < until[:, -1])
+            out[own] += values[(until[own] <= rank).sum(axis=1)] / 2
+            found |= own
+        return pd.DataFrame({"_name": rows["_name"].iloc[0], "replicate": np.flatnonzero(found), "median": out[found]})
+
+    blocks = _blocks(clusters.where(F.col(value).isNotNull()), group, [F.col(value), F.col(cluster)])
+    found = blocks.select("_name", "_block", "_at", "_k", value).groupBy("_name", "_block").applyInPandas(middle, "_name string, replicate int, median double")
+    halves = found.groupBy("_name", "replicate").agg(F.sum("median").alias("median"))
+    return halves.join(blocks.where("_at = 1").select("_name", *group), "_name").select(*group, "replicate", "median")
+
+
 def percentile_interval(samples: DataFrame, group: list[str], value: Column, alpha: float = 0.05) -> DataFrame:
     bounds = F.percentile(value, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     return samples.groupBy(*group).agg(bounds.alias("_b")).select(*group, F.col("_b")[0].alias("ci_low"), F.col("_b")[1].alias("ci_high"))
 
 
-def ratio_interval(table: DataFrame, group: list[str], cluster: str, hit: Column, n: int = 2000, label: str = "ratio", alpha: float = 0.05) -> DataFrame:
+def ratio_interval(table: DataFrame, group: list[str], cluster: str, hit: Column, n: int = 2000, label: str = "ratio", alpha: float = 0.05, resampled=split_replicates) -> DataFrame:
     """Micro mean of ``hit`` per group with a cluster-bootstrap interval."""
     sums = table.groupBy(*group, cluster).agg(F.sum(hit.cast("double")).alias("hits"), F.count("*").alias("rows"))
     point = sums.groupBy(*group).agg((F.sum("hits") / F.sum("rows")).alias("value"), F.sum("rows").alias("n"))
-    bounds = percentile_interval(replicates(sums, group, cluster, ["hits", "rows"], n, label), group, F.col("hits") / F.col("rows"), alpha)
+    bounds = percentile_interval(resampled(sums, group, cluster, ["hits", "rows"], n, label), group, F.col("hits") / F.col("rows"), alpha)
     return _with(point, bounds, group)
 
 
-def mean_interval(table: DataFrame, group: list[str], cluster: str, value: Column, n: int = 2000, label: str = "mean", alpha: float = 0.05) -> DataFrame:
+def mean_interval(table: DataFrame, group: list[str], cluster: str, value: Column, n: int = 2000, label: str = "mean", alpha: float = 0.05, resampled=split_replicates) -> DataFrame:
     """Macro mean: the mean over clusters of their means, with its bootstrap interval."""
     means = table.groupBy(*group, cluster).agg(F.avg(value).alias("mean"), F.lit(1).alias("one"))
     point = means.groupBy(*group).agg(F.avg("mean").alias("value"), F.count("*").alias("n"))
-    bounds = percentile_interval(replicates(means, group, cluster, ["mean", "one"], n, label), group, F.col("mean") / F.col("one"), alpha)
+    bounds = percentile_interval(resampled(means, group, cluster, ["mean", "one"], n, label), group, F.col("mean") / F.col("one"), alpha)
     return _with(point, bounds, group)
 
 
-def statistic_interval(table: DataFrame, group: list[str], cluster: str, value: str, n: int = 1000, label: str = "median", alpha: float = 0.05) -> DataFrame:
-    """Median over per-cluster means, with its bootstrap interval: each replicate's draws are kept as values."""
+def drawn_medians(clusters: DataFrame, group: list[str], cluster: str, value: str, n: int, label: str, base: int = 42) -> DataFrame:
+    """As ``split_medians``, with the draws of ``replicates``: a row for each."""
+    return _drawn(clusters, group, cluster, n, label, base).groupBy(*group, "replicate").agg(F.median(value).alias("median"))
+
+
+def statistic_interval(table: DataFrame, group: list[str], cluster: str, value: str, n: int = 1000, label: str = "median", alpha: float = 0.05, resampled=split_medians) -> DataFrame:
+    """Median over per-cluster means, with its bootstrap interval."""
     means = table.groupBy(*group, cluster).agg(F.avg(value).alias("mean"))
-    medians = _drawn(means, group, cluster, n, label, 42).groupBy(*group, "replicate").agg(F.median("mean").alias("median"))
-    return _with(means.groupBy(*group).agg(F.median("mean").alias("value"), F.count("*").alias("n")), percentile_interval(medians, group, F.col("median"), alpha), group)
+    point = _beside(exact_quantiles(means, group, "mean", {"value": 0.5}), means.groupBy(*group).agg(F.count("*").alias("n")), group)
+    return _with(point, percentile_interval(resampled(means, group, cluster, "mean", n, label), group, F.col("median"), alpha), group)
 
 
 def auroc_interval(table: DataFrame, group: list[str], cluster: str, score: str, positive: Column, n: int = 200, label: str = "auroc") -> DataFrame:

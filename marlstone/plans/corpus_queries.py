@@ -222,8 +222,7 @@ def t7(spark, sf_dir):
 
 @query("t16_deciles", "SELECT lang, quantile_cont(n_chars, 0.1) AS p10, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.9) AS p90 FROM documents GROUP BY lang")
 def t16(spark, sf_dir):
-    p = F.percentile("n_chars", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return documents(spark, sf_dir).groupBy("lang").agg(p.alias("p")).select("lang", *[F.col("p")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+    return ordered.exact_quantiles(documents(spark, sf_dir), ["lang"], "n_chars", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
 
 
 # Joins

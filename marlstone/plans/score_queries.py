@@ -281,7 +281,7 @@ def _seed_sql(text: str) -> str:
     SELECT dataset, round(value, 9) AS value, n, round(lo, 9) AS ci_low, round(hi, 9) AS ci_high FROM p JOIN b USING (dataset)""",
 )
 def m6(spark, sf_dir):
-    return _m6(spark, sf_dir, n=200)  # the replicates of its SQL
+    return _m6(spark, sf_dir, n=200, resampled=stats.replicates)  # the replicates of its SQL
 
 
 @query("m6_ratio_interval_2000")
@@ -303,7 +303,7 @@ def _m6(spark, sf_dir, **replicates):
     SELECT dataset, round(any_value(p.value), 6) AS value, any_value(p.n) AS n, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high FROM v JOIN (SELECT dataset, median(m) AS value, count(*) AS n FROM s GROUP BY dataset) p USING (dataset) GROUP BY dataset""",
 )
 def m9(spark, sf_dir):
-    return _m9(spark, sf_dir, n=100)  # the replicates of its SQL
+    return _m9(spark, sf_dir, n=100, resampled=stats.drawn_medians)  # the replicates of its SQL
 
 
 @query("m9_median_interval_1000")

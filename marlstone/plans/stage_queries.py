@@ -123,7 +123,7 @@ def b2(spark, sf_dir):
     SELECT side, round(any_value(p.value), 9) AS value, any_value(p.n) AS n, round(quantile_cont(v, 0.025), 9) AS ci_low, round(quantile_cont(v, 0.975), 9) AS ci_high FROM v JOIN (SELECT side, avg(m) AS value, count(*) AS n FROM s GROUP BY side) p USING (side) GROUP BY side""",
 )
 def m8(spark, sf_dir):
-    return _m8(spark, sf_dir, n=100)  # the replicates of its SQL
+    return _m8(spark, sf_dir, n=100, resampled=stats.replicates)  # the replicates of its SQL
 
 
 @query("m8_mean_interval_2000")

@@ -2,6 +2,9 @@
 
 import math
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +83,67 @@ def test_seed_and_ids(spark):
     expected = int.from_bytes(hashlib.sha256(b"split|a|None|3").digest()[:8], "big") % (2**31 - 1)
     row = frame.select(hashing.seed(F.lit("split"), "a" and F.col("x"), F.col("y"), F.col("z")).alias("s"), hashing.sample_id(source=F.col("x"), sample_index=F.col("z")).alias("i"), hashing.fingerprint(F.lit(" a\t b\n")).alias("f"), hashing.fingerprint(F.lit("a b")).alias("g")).first()
     assert row.s == expected and row.i == hashlib.md5(b"a|||||||3|||").hexdigest() and row.f == row.g
+
+
+def test_split_draws_add_up_and_are_even():
+    """Every replicate draws as many as there are; the counts' mean and spread are those of a multinomial, in blocks of any size."""
+    n = 4000
+    for clusters in (1, 6, 7, 8, 50, 61):
+        blocks = [stats._block_draws("x", clusters, b, n, 7) for b in range(-(-clusters // 7))]
+        counts = np.hstack([c for _, c in blocks])
+        assert counts.shape == (n, clusters) and (counts.sum(axis=1) == clusters).all()
+        ahead = np.zeros(n, int)
+        for before, own in blocks:
+            assert (before == ahead).all()
+            ahead += own.sum(axis=1)
+        assert abs(counts.mean(axis=0) - 1).max() < 0.1
+        if clusters > 1:
+            assert abs(counts.var(axis=0) - (1 - 1 / clusters)).max() < 0.15
+            off = np.corrcoef(counts.T)[~np.eye(clusters, dtype=bool)]
+            assert abs(off.mean() + 1 / (clusters - 1)) < 0.02
+
+
+@pytest.mark.parametrize("block", [4, 1 << 10])
+def test_split_replicates_and_medians(spark, monkeypatch, block):
+    """Sums and medians of the same draws, put together by hand."""
+    monkeypatch.setattr(stats, "BLOCK", block)
+    rng = random.Random(8)
+    rows = [(g, f"c{i:03}", rng.randrange(9) / 2) for g, k in (("a", 23), (None, 8), ("one", 1)) for i in range(k)]
+    frame = spark.createDataFrame(rows, "g string, c string, v double")
+    sums = {(r.g, r.replicate): r.v for r in stats.split_replicates(frame, ["g"], "c", ["v"], 50, "t").collect()}
+    medians = {(r.g, r.replicate): r.median for r in stats.split_medians(frame, ["g"], "c", "v", 50, "t").collect()}
+    for g in ("a", None, "one"):
+        own = [r for r in rows if r[0] == g]
+        name = "t|42|" + ('{"_":0}' if g is None else f'{{"_":0,"g":"{g}"}}')
+        counts = np.hstack([stats._block_draws(name, len(own), b, 50, block)[1] for b in range(-(-len(own) // block))])
+        by_name = np.array([v for _, _, v in sorted(own, key=lambda r: r[1])])
+        by_value = np.array([v for _, _, v in sorted(own, key=lambda r: (r[2], r[1]))])
+        for k in range(50):
+            assert sums[g, k] == pytest.approx(counts[k] @ by_name)
+            assert medians[g, k] == pytest.approx(np.median(np.repeat(by_value, counts[k])))
+    assert len(sums) == len(medians) == 150
+
+
+def test_split_intervals_agree_with_drawn_ones(spark):
+    rng = random.Random(5)
+    rows = [(f"c{i}", rng.gauss(3, 1) + j / 10) for i in range(300) for j in range(3)]
+    frame = spark.createDataFrame(rows, "cluster string, v double")
+    for interval, plain in ((stats.mean_interval, stats.replicates), (stats.statistic_interval, stats.drawn_medians)):
+        value = F.col("v") if interval is stats.mean_interval else "v"
+        a, b = (interval(frame, [], "cluster", value, n=400, **how).first() for how in ({}, {"resampled": plain}))
+        assert a.value == b.value and a.n == b.n == 300
+        assert abs(a.ci_low - b.ci_low) < 0.05 and abs(a.ci_high - b.ci_high) < 0.05 and a.ci_low < a.value < a.ci_high
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, *range(40)])) for g, n in (("a", 300), (None, 7), ("one", 1)) for _ in range(n)] + [("none", None)]
+    frame = spark.createDataFrame(rows, "g string, v int")
+    shares = {"low": 0.1, "mid": 0.5, "high": 0.975, "least": 0.0, "most": 1.0}
+    found = {r.g: r for r in stats.exact_quantiles(frame, ["g"], "v", shares).collect()}
+    assert set(found) == {"a", None, "one", "none"}
+    for g in found:
+        held = [v for h, v in rows if h == g and v is not None]
+        for name, share in shares.items():
+            assert found[g][name] == (pytest.approx(np.quantile(held, share)) if held else None)
+    assert stats.exact_quantiles(frame, [], "v", {"mid": 0.5}).first().mid == pytest.approx(np.median([v for _, v in rows if v is not None]))

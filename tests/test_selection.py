@@ -142,3 +142,27 @@ def test_reports(spark):
     assert rows == {"a": ("0.500 [0.400, 0.600]", ""), "b": ("0.250", None)}
     parts = reports.per_dataset(spark.createDataFrame([("tpr|x|y", 1.0), ("tpr", 2.0)], "metric string, value double")).collect()
     assert [(r.metric, r.dataset) for r in parts] == [("tpr", "x|y")]
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    """10,000 rows, each sharing its user with the next and its duplicate group with the one before: one pick blocks the next row only."""
+    rows = [("g", i, (i + 1) // 2, i // 2) for i in range(10_000)]
+    written, counted = selection.written, []
+    monkeypatch.setattr(selection, "written", lambda df, label: counted.append(label) or written(df, label))
+    got = selection.pick_without_reuse(spark.createDataFrame(rows, "g string, o int, u int, d int"), ["g"], "o", "u", "d", 5).collect()
+    users, groups, expected = set(), set(), []
+    for r in rows:
+        if r[2] not in users and r[3] not in groups:
+            users.add(r[2])
+            groups.add(r[3])
+            expected.append(r)
+    assert sorted(map(tuple, got)) == expected[:5] and counted.count("pick-taken") <= 5
+
+
+def test_constrained_best_keeps_nulls_and_whole_rows(spark):
+    rows = [(None, "h1", 0.9, 1.0, "x"), (None, "h2", None, 1.0, "y"), ("n", "h1", None, None, None), ("n", "h0", 0.1, 9.0, "z")]
+    got = selection.constrained_best(spark.createDataFrame(rows, "method string, config_hash string, tpr_dev double, pass1_drop_pp double, other string"), ["method"], 3.0)
+    assert got.columns == ["method", "config_hash", "tpr_dev", "pass1_drop_pp", "other", "constraint_satisfied", "n_candidates", "n_admissible"]
+    assert {(r.method, r.other, r.n_candidates, r.n_admissible) for r in got.collect()} == {(None, "y", 2, 2), ("n", None, 2, 0)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
