@@ -1,16 +1,15 @@
 """License scans with a positional index of rare words, as DataFrame expressions in one scan.
 
-Templates are key phrases, notices and licence texts. The index holds, for each template, where
-its words stand, rarest first (by document frequency over all documents). In a file, a template's
-words that the file has are looked up, those of highest inverse document frequency first; their
-places in the file, less their places in the template, are intersected, and where two agree, the
-template's mandatory key phrases are verified word by word and the share of its words in place
-is measured.
-
-Nothing is lost by looking up few words: a template of n words counts from a share s of them in
+Templates are key phrases, notices and licence texts. The index is one posting list for each of
+their rare words: the templates and places where it stands. Of each template it has the places of
+the words with the highest inverse document frequency over all documents. A file's words that the
+index has are looked up once each, whatever the number of templates; a posting gives (template,
+place in the file less place in the template), and where two postings agree, the template's
+mandatory key phrase is verified word by word and the share of its words in place is measured.
+
+Nothing is lost by indexing few words: a template of n words counts from a share s of them in
 place (all for a key phrase), so at most (1 - s) n of its places differ, and of the (1 - s) n + 2
-places looked up at least two agree. Places whose word the file lacks are among those that
-differ, so a file is looked up in as many places less.
+places in the index at least two agree.
 
 No Python worker and no shuffle of texts: the frequencies are one small count per template word,
 and all else happens within a row. Only files that have all words of a key phrase are looked into.
@@ -72,17 +71,49 @@ TEXTS = {
     "agpl": ["under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
     "mpl": ["""This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
         with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""],
-    "bsd": ["""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+    "bsd": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
         conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
         disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
-        disclaimer in the documentation and/or other materials provided with the distribution."""],
-    "mit-text": ["""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        disclaimer in the documentation and/or other materials provided with the distribution.""",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder
+        nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+        DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+        EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
+        OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+        (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+        DAMAGE.""",
+    ],
+    "mit-text": [
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
         files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
         merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
         to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
-        or substantial portions of the Software."""],
-    "isc-text": ["""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
-        provided that the above copyright notice and this permission notice appear in all copies."""],
+        or substantial portions of the Software.""",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+        merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+        to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+        or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+        OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ],
+    "isc-text": [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies.""",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+        AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+        EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+        LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+        WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ],
     "unlicense": ["""This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
         compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
         non-commercial, and by any means."""],
@@ -90,6 +121,7 @@ TEXTS = {
 SHARE = 0.75  # of a text's words in place, from which on it counts
 PHRASE_SCORE = 0.5  # of a key phrase without a text around it
 KELVIN = "\u212a"  # the one character beyond ASCII whose lower case is an ASCII letter
+WIDE = 1 << 40  # more than any place in a file: a template's number and where it begins are one number
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 
 
@@ -144,19 +176,14 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _offsets(t: Column, held: Column, hits: Column) -> Column:
-    """Where a template may begin: two of the file's rarest words of it agree."""
-
-    def agreed(asked: Column) -> Column:
-        places = F.transform(asked, lambda p: F.transform(F.filter(hits, lambda h: h["word"] == p["word"]), lambda h: h["at"] - p["at"]))
-        return _bound(F.flatten(places), _twice)
-
-    def looked_up(present: Column) -> Column:
-        absent = F.size(t["places"]) - F.size(present)
-        asked = F.slice(present, 1, F.greatest(t["off"] - absent + 2, F.lit(0)))
-        return F.when(absent > t["off"], F.expr("cast(array() as array<int>)")).otherwise(_bound(asked, agreed))
-
-    return _bound(F.filter(t["places"], lambda p: F.array_contains(held, p["word"])), looked_up)
+def postings(frequencies: dict[str, int]) -> tuple[list[str], Column]:
+    """The words of the index, and word -> array of (template, place) as one number each: a template's rarest places, so many that two must be right."""
+    found: dict[str, list[int]] = {}
+    for number, t in enumerate(templates()):
+        order = sorted(range(len(t["words"])), key=lambda i: (frequencies[t["words"][i]], t["words"][i], i))  # noqa: B023
+        for i in order[: t["off"] + 2]:
+            found.setdefault(t["words"][i], []).append(number * WIDE - i)
+    return sorted(found), F.from_json(F.lit(json.dumps(found)), "map<string,array<bigint>>")
 
 
 def _twice(offsets: Column) -> Column:
@@ -187,18 +214,21 @@ def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     have = F.array_intersect(_strings(KEY_WORDS), words)
     keys = F.from_json(F.lit(json.dumps([p.split() for p in PHRASES.values()])), "array<array<string>>")
     some = _bound(have, lambda h: F.exists(keys, lambda p: F.size(F.array_except(p, h)) == 0))
+    frequencies = document_frequencies(docs, text)
+    rare, places = postings(frequencies)
     at = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))
-    out = out.withColumn(hits, F.when(some, F.filter(at, lambda h: h["word"].isin(VOCABULARY))))
+    out = out.withColumn(hits, F.when(some, F.filter(at, lambda h: h["word"].isin(rare))))
+    table = index(frequencies)
 
-    def of_template(present: Column):
-        def of(t: Column) -> Column:
-            starts = F.transform(_offsets(t, present, F.col(hits)), lambda s: F.struct(s.alias("start"), t["label"].alias("label"), _verified(t, words, s).alias("share"), t["text"].alias("text")))
-            return F.filter(starts, lambda x: x["share"] > 0)
+    def begun(h: Column) -> Column:
+        return F.transform(places[h["word"]], lambda p: p + h["at"])
 
-        return of
+    def placed(code: Column) -> Column:
+        number = F.floor((code + WIDE // 2) / WIDE).cast("int")
+        return _bound(F.get(table, number), lambda t: _bound((code - number * F.lit(WIDE)).cast("int"), lambda s: F.struct(s.alias("start"), t["label"].alias("label"), _verified(t, words, s).alias("share"), t["text"].alias("text"))))
 
-    table = index(document_frequencies(docs, text))
-    every = _bound(F.array_distinct(F.transform(F.col(hits), lambda h: h["word"])), lambda present: F.array_sort(F.flatten(F.transform(table, of_template(present)))))
+    codes = _bound(F.flatten(F.transform(F.col(hits), begun)), _twice)
+    every = F.array_sort(F.filter(F.transform(codes, placed), lambda x: x["share"] > 0))
     nothing = F.expr("cast(array() as array<struct<start:int,label:string,share:double,text:boolean>>)")
     out = out.withColumn(found, F.coalesce(F.when(F.col(hits).isNotNull(), every), nothing))
     labels = lambda keep: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(found, keep), lambda p: p["label"]))), ",")
