@@ -10,7 +10,9 @@ queries under the query node.
 
 A first pass holds each query block against one block of its own cell. The kth scores found are
 lower bounds: pairs of cells that can't reach them are never brought together, and in the second
-pass no tree node is opened below them. The k best of each block are then merged.
+pass no tree node is opened below them. There, queries of several cells share a block as far as
+they fit, so that a row is sent once to each block of queries that may reach its cell, and its
+tree is built once for all of them. The k best of each block are then merged.
 
 A node's children are the centre and further points taken farthest first, so they lie at
 least as far apart as the radius they cover (separation), each point is under its nearest
@@ -245,7 +247,8 @@ def exact_top_k(vectors: DataFrame, queries: Column, key: str = "vec_id", vector
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     of_all = scale_of(width, scale, largest)
-    sample = all_rows.where(F.rand(7) < min(1.0, SAMPLE / max(n, 1))).select("v").limit(2 * SAMPLE).toPandas()
+    drawn = F.pmod(F.xxhash64(F.lit("topk"), "key", "v"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
+    sample = all_rows.where(drawn).select("v").limit(2 * SAMPLE).toPandas()  # of a row's content, however rows are dealt
     pivots = pivots_of(of_all.near(of_all.whole(sample)), min(CELLS, max(1, n // CELL_ROWS)))
 
     rows = written(_celled(all_rows, pivots, of_all), "topk-cells")
@@ -283,10 +286,27 @@ def exact_top_k(vectors: DataFrame, queries: Column, key: str = "vec_id", vector
             most = float(pivots[a] @ pivots[b]) + norm[a] * r["far"] + norm[b] * far + far * r["far"]
             if most + 1e-9 * (norm[a] + far) * (norm[b] + r["far"]) + 1e-300 >= worst:
                 pairs.append((a, b, 0, blocks[b]))
-    found = held(pairs, seeded, rows)
+    group_of = _packed({c: r["asked"] for c, r in told.items() if r["asked"]})
+    for c, g in group_of.items():
+        query_blocks[g] = query_blocks.get(g, 0) + told[c]["asked"]
+    query_blocks |= {g: -(-query_blocks[g] // QUERIES_IN_BLOCK) for g in set(group_of.values())}
+    reached = sorted({(group_of[a], b, lo, m) for a, b, lo, m in pairs})
+    grouped = seeded.withColumn("cell", F.create_map(*[F.lit(x) for pair in group_of.items() for x in pair])[F.col("cell")]) if group_of else seeded
+    found = held(reached, grouped, rows)
     return merged(found, k, F.col("score"), F.col("ordered") if of_all.wide else None)
 
 
+def _packed(asked: dict[int, int]) -> dict[int, int]:
+    """A group for each cell with queries, numbered below zero: cells share one while their queries fit a block."""
+    out, group, held = {}, -1, 0
+    for cell in sorted(asked):
+        if held and held + asked[cell] > QUERIES_IN_BLOCK:
+            group, held = group - 1, 0
+        out[cell] = group
+        held += asked[cell]
+    return out
+
+
 def _zero(scale: Scale) -> int:
     """What ``ordered`` adds to a score."""
     return int.from_bytes(scale.ordered(0), "big")

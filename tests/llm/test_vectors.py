@@ -164,3 +164,12 @@ def test_empty_vectors_and_clashing_columns(spark):
     assert ann.nearest_neighbours(empty, ask).count() == 0
     nulls = spark.createDataFrame([(0, None, *more), (None, None, *more)], schema)
     assert topk.exact_top_k(nulls, ask).count() == ann.nearest_neighbours(nulls, ask).count() == 0
+
+
+def test_query_cells_share_blocks(monkeypatch):
+    """Cells are packed in order while their queries fit, so rows are sent once to as few blocks as queries need."""
+    monkeypatch.setattr(topk, "QUERIES_IN_BLOCK", 10)
+    assert topk._packed({3: 4, 1: 4, 2: 2, 7: 1, 9: 25, 11: 1}) == {1: -1, 2: -1, 3: -1, 7: -2, 9: -3, 11: -4}
+    assert topk._packed({}) == {}
+    monkeypatch.setattr(topk, "QUERIES_IN_BLOCK", 1 << 15)
+    assert set(topk._packed(dict.fromkeys(range(256), 100)).values()) == {-1}
