@@ -20,6 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 from typing import NamedTuple
@@ -33,10 +36,12 @@ from tokenizers import Tokenizer
 
 from marlstone.session import read_table
 
-MEMORY = 1 << 17  # words whose ids a worker keeps, and half the pairs it has tested
+MEMORY = 1 << 17  # words whose ids a worker keeps, beginnings of words, and half the pairs it has tested
+BEGIN = (6, 3)  # bytes of a word's beginnings whose prefixes' last tokens are kept
 SHORT = 48  # bytes; longer words are encoded each time
 # Fixed value: the pattern of the file's pre-tokenizer, for texts below PLAIN.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# There the letters, numbers and others of that pattern are these classes.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
 # Above these code points, Unicode versions and normal forms may matter: the file's own rules cut such texts into words.
 EXOTIC = regex.compile(r"[\x1c-\x1fɐ-\U0010ffff]")
 
@@ -59,7 +64,7 @@ class SuffixAutomaton:
                 last = self._extended(last, c)
             if wanted[number]:
                 self.token[last] = number
-        self.nearest = self._nearest()
+        self.tokens = self._tokens()
 
     def _state(self, length: int, link: int, step: dict[int, int]) -> int:
         self.step.append(step)
@@ -90,11 +95,12 @@ class SuffixAutomaton:
             self.link[new] = self._split(p, c, self.step[p][c])
         return new
 
-    def _nearest(self) -> list[int]:
-        """For each state the first state on its suffix links, itself included, that is a token."""
-        found = [-1] * len(self.link)
+    def _tokens(self) -> list[tuple[tuple[int, int], ...]]:
+        """For each state the tokens on its suffix links, itself included, and their lengths; the longest first."""
+        found: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
         for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            found[s] = s if self.token[s] >= 0 else found[self.link[s]]
+            behind = found[self.link[s]]
+            found[s] = ((self.token[s], self.length[s]), *behind) if self.token[s] >= 0 else behind
         return found
 
 
@@ -165,6 +171,8 @@ class Encoder:
         self.rules = Tokenizer.from_str(json.dumps(found | {"added_tokens": []}))
         self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers: an eighth of a list's size
         self.pairs: dict[int, bool] = {}
+        self.begun: dict[bytes, tuple[tuple[int, ...], int, int]] = {}
+        self.lengths = list(map(len, self.words.symbols))
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.words.special)) + ")") if self.words.special else None
 
     def _reachable(self) -> list[bool]:
@@ -182,35 +190,46 @@ class Encoder:
         return found
 
     def word(self, data: bytes) -> bytes:
-        """Ids of one word, as little-endian 32-bit numbers."""
-        step, link, token, nearest, length = self.automaton.step, self.automaton.link, self.automaton.token, self.automaton.nearest, self.automaton.length
+        """Ids of one word, as little-endian 32-bit numbers. What has been found for a beginning of some BEGIN bytes is kept."""
+        step, link, tokens, length = self.automaton.step, self.automaton.link, self.automaton.tokens, self.automaton.length
         known, fits, n = self.pairs, self.fits, len(self.words.parts)
-        symbols = [*data[:-1], data[-1] + 256]
+        state = matched = begin = 0
         last: list[int] = []
-        state = matched = 0
-        for i, c in enumerate(symbols):
-            while c not in step[state]:  # every symbol is a token, so the root has them all
-                state = link[state]
+        for size in BEGIN:
+            if len(data) > size and (found := self.begun.get(data[:size])):
+                last, state, matched = list(found[0]), found[1], found[2]
+                begin = size
+                break
+        symbols = [*data[begin:-1], data[-1] + 256]
+        for i, c in enumerate(symbols, begin):
+            to = step[state].get(c)
+            if to is None:
+                while to is None:  # every symbol is a token, so the root has them all
+                    state = link[state]
+                    to = step[state].get(c)
                 matched = length[state]
-            state = step[state][c]
+            state = to
             matched += 1
-            at = nearest[state] if matched == length[state] else nearest[link[state]]  # a state's longest string may not be here whole
-            while True:
-                t, before = token[at], i - length[at]
-                if before < 0:
+            t = -1
+            for t, size in tokens[state] if matched == length[state] else tokens[link[state]]:  # a state's longest string may not be here whole
+                if size > i:
                     break
-                a = last[before]
+                a = last[i - size]
                 fit = known.get(a * n + t)
                 if fits(a, t) if fit is None else fit:
                     break
-                at = nearest[link[at]]
             last.append(t)
-        out, i = [], len(symbols)
+            if i + 1 in BEGIN and i + 1 < len(data):
+                if len(self.begun) >= MEMORY:
+                    self.begun.clear()
+                self.begun[data[: i + 1]] = tuple(last), state, matched
+        out, i, ids, lengths = [], len(last), self.words.ids, self.lengths
         while i:
             t = last[i - 1]
-            out.append(self.words.ids[t])
-            i -= len(self.words.symbols[t])
-        return np.array(out[::-1], "<u4").tobytes()
+            out.append(ids[t])
+            i -= lengths[t]
+        out.reverse()
+        return array("I", out).tobytes() if sys.byteorder == "little" else np.array(out, "<u4").tobytes()
 
     def _pieces(self, text: str) -> list[str]:
         if not EXOTIC.search(text):
@@ -219,6 +238,17 @@ class Encoder:
         cut = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))
         return [bytes(name[c] for c in piece).decode("utf-8") for piece, _ in cut]
 
+    def _learnt(self, piece: str) -> bytes:
+        """A piece's ids, kept if it is short."""
+        found = self.known.get(piece)
+        if found is None:
+            found = self.word(data := piece.encode("utf-8"))
+            if len(data) <= SHORT:
+                if len(self.known) >= MEMORY:
+                    self.known.clear()
+                self.known[piece] = found
+        return found
+
     def packed(self, text: str | None) -> bytes:
         """Ids of a text, as little-endian 32-bit numbers."""
         out: list[bytes] = []
@@ -228,15 +258,11 @@ class Encoder:
             if i % 2:
                 out.append(self.words.special[part].to_bytes(4, "little"))
                 continue
-            for piece in self._pieces(part):
-                found = known.get(piece)
-                if found is None:
-                    found = self.word(data := piece.encode("utf-8"))
-                    if len(data) <= SHORT:
-                        if len(known) >= MEMORY:
-                            known.clear()
-                        known[piece] = found
-                out.append(found)
+            pieces = self._pieces(part)
+            found = list(map(known.get, pieces))
+            if None in found:
+                found = [self._learnt(p) if f is None else f for p, f in zip(pieces, found)]
+            out += found
         return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
