@@ -445,10 +445,9 @@ def _programs(spark, sf_dir):
 
 @query("q6_transforms", "SELECT name, CASE WHEN p_partkey % 5 = 0 THEN 'NOT_APPLICABLE' WHEN p_partkey % 7 = 0 THEN CASE WHEN name = 'drop_comments' THEN 'TOOL_ERROR' ELSE 'TOOL_ERROR' END ELSE 'APPLIED' END AS status, count(*) AS n FROM part, (SELECT unnest(['refactor', 'rename', 'drop_comments', 'add_comments', 'local_edits', 'truncate', 'keep_functions']) AS name) GROUP BY ALL")
 def q6(spark, sf_dir):
-    p, out = _programs(spark, sf_dir), None
-    for name, intensity in (("refactor", 5.0), ("rename", 1.0), ("drop_comments", 1.0), ("add_comments", 0.5), ("local_edits", 2.0), ("truncate", 0.5), ("keep_functions", 1.0)):
-        one = p.select(F.lit(name).alias("name"), code.transformed(name, F.col("code"), F.col("language"), F.col("sample_id"), intensity)["status"].alias("status"))
-        out = one if out is None else out.unionByName(one)
+    wanted = {"refactor": 5.0, "rename": 1.0, "drop_comments": 1.0, "add_comments": 0.5, "local_edits": 2.0, "truncate": 0.5, "keep_functions": 1.0}
+    p = _programs(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "sample_id")  # small rows, much work each
+    out = p.select(F.explode(code.all_transformed(wanted, F.col("code"), F.col("language"), F.col("sample_id"))).alias("t")).select("t.name", "t.status")
     return out.groupBy("name", "status").agg(F.count("*").alias("n"))
 
 
