@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions import users
 from marlstone.plans.views import EXECUTIONS, executions
 from marlstone.session import new_path, read_table
 from marlstone.sources.artifacts import Artifact
@@ -63,3 +64,37 @@ def r8(spark, sf_dir):
 
     changes.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     return keyed.settled(spark.read.parquet(out)).drop("first_status")
+
+
+class Drafts(users.PromptFunction):
+    """Drafts of a part's name, each a word longer; a name of a certain size fails at its second."""
+
+    def rows_of(self, item_id, prompt, n):
+        words = prompt.split(" ")
+        for i in range(n):
+            if len(words) == 2 and i == 1 and int(item_id) % 2:
+                raise ValueError("no second draft")
+            yield " ".join(words[: i + 1])
+
+
+@query(
+    "x6_prompt_rows",
+    """WITH p AS (SELECT p_partkey, p_brand, string_split(p_name, ' ') AS w, 1 + p_partkey % 3 AS n FROM part),
+    r AS (SELECT p_partkey, p_brand, w, unnest(range(0, CASE WHEN len(w) = 2 AND p_partkey % 2 = 1 THEN least(n, 2) ELSE n END))::INT AS sample_index FROM p)
+    SELECT p_brand AS partition_key, p_partkey::VARCHAR AS item_id, sample_index, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey, sample_index) - 1 AS position,
+        CASE WHEN len(w) = 2 AND p_partkey % 2 = 1 AND sample_index = 1 THEN 'no second draft' ELSE array_to_string(w[1:sample_index + 1], ' ') END AS text,
+        CASE WHEN len(w) = 2 AND p_partkey % 2 = 1 AND sample_index = 1 THEN 'FAILED' ELSE 'OK' END AS status FROM r""",
+)
+def x6(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part").withColumn("n", 1 + F.col("p_partkey") % 3)
+    return users.prompted(p, Drafts, "p_brand", "p_partkey", "p_partkey", "p_name", "n")
+
+
+@query(
+    "x10_mean_interval",
+    """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(avg(value) - 1.959963984540054 * stddev_samp(value) / sqrt(count(value)), 6) AS ci_low,
+       round(avg(value) + 1.959963984540054 * stddev_samp(value) / sqrt(count(value)), 6) AS ci_high FROM events GROUP BY event_type""",
+)
+def x10(spark, sf_dir):
+    found = users.estimated(read_table(spark, sf_dir, "events"), ["event_type"], users.MeanInterval("value"))
+    return found.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")])
