@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.functions import braces
+from marlstone.functions import braces, rewrites
 from marlstone.functions.similarity import profile, similarity
 from marlstone.operators import metrics
 from marlstone.session import read_table
@@ -124,6 +124,20 @@ def f39(spark, sf_dir):
     return found.select("p_partkey", "x.prompt", "x.entry_point", "x.loc", "x.doc_kind")
 
 
+@query(
+    "q6_brace_rewrites",
+    """WITH p AS (SELECT p_partkey, p_partkey % 3 AS g, p_partkey % 11 = 0 AS broken FROM part), r AS (SELECT unnest(['add_comments', 'counted_to_while', 'drop_comments', 'local_edits']) AS name)
+    SELECT name, CASE WHEN broken THEN 'TOOL_ERROR' ELSE 'APPLIED' END AS status, count(*) AS n FROM p, r GROUP BY ALL""",
+)
+def q6_braces(spark, sf_dir):
+    """Rewrites of each program with a counted loop added; a rewrite that would not close is refused."""
+    p = programs(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    loop = F.when(F.col("language") == "javascript", "\nfunction loop(n) { for (let i = 0; i < n; i++) { g(i); } /* } */ }\n").otherwise("\nclass L { void loop(int n) { for (int i = 0; i < n; i++) { g(i); } /* } */ } };\n")
+    whole, key = F.concat("code", loop), F.col("p_partkey").cast("string")
+    made = [F.struct(F.lit(name).alias("name"), rewrites.rewritten(name, whole, F.col("language"), key, x)["status"].alias("status")) for name, x in (("counted_to_while", 9.0), ("drop_comments", 1.0), ("add_comments", 0.5), ("local_edits", 2.0))]
+    return p.select(F.explode(F.array(*made)).alias("r")).groupBy("r.name", "r.status").agg(F.count("*").alias("n"))
+
+
 _FILES = "WITH p AS (SELECT p_partkey, p_size % 4 AS w, p_name, p_brand, 'part_' || p_partkey::VARCHAR AS own FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 11 <> 0 AND p_size % 2 = 0)"
 
 
