@@ -117,3 +117,58 @@ def test_workers_isolate_failures(spark):
     items = spark.createDataFrame([("a", "x", 2), ("b", "please fail", 2), ("c", None, 1), ("d", "y", 0)], "item_id string, code string, n int").coalesce(1)
     rows = workers.run_workers(items, workers.Echo, {}).collect()
     assert sorted((r.item_id, r.sample_index, r.status) for r in rows) == [("a", 0, "OK"), ("a", 1, "OK"), ("b", 0, "FAILED"), ("b", 1, "FAILED"), ("c", 0, "OK")]
+
+
+def _ran(program):
+    space = {}
+    exec(program, space)  # noqa: S102  programs of this test
+    return space["f"]()
+
+
+def _looped(rng, depth=0):
+    """Statements with counted while loops, of which some may be turned."""
+    out = []
+    for _ in range(rng.randint(1, 2)):
+        v, n = "ijk"[depth] + str(rng.randint(0, 2)), rng.choice(["3", "0", "limit", "len(out)"])
+        body = [rng.choice([f"out.append({v})", f"out.append({v} * 2)", "out.append(7)", f"if {v} == 1:\n    break", "pass", f"out.append([{v} + x for x in (1, 2)])"]) for _ in range(rng.randint(0, 2))]
+        if depth < 2 and rng.random() < 0.4:
+            body.append(_looped(rng, depth + 1))
+        if rng.random() < 0.1:
+            body.append(f"{v} += 1")
+        lines = "\n".join(body).split("\n") if body else []
+        guard = "if len(out) > 200:\n    return out"
+        out.append(f"{v} = {rng.choice([0, 1, -2])}\nwhile {v} < {n}:\n" + "\n".join("    " + x for x in [*guard.split("\n"), *lines, f"{v} += 1"]))
+        if rng.random() < 0.15:
+            out.append(f"out.append({v})")
+    return "\n".join(out)
+
+
+def test_while_loops_that_are_turned_do_the_same():
+    import ast
+    import random
+
+    from marlstone.functions import code
+
+    rng, turned = random.Random(12), 0
+    for _ in range(300):
+        text = "def f():\n    out = [5]\n    limit = 2\n" + "\n".join("    " + x for x in _looped(rng).split("\n")) + "\n    return out\n"
+        rule = code._WhileToFor()
+        new = ast.unparse(ast.fix_missing_locations(rule.visit(ast.parse(text))))
+        assert _ran(new) == _ran(text), (text, new)
+        turned += rule.n
+    assert turned > 100
+
+
+def test_while_loops_that_stay():
+    import ast
+
+    from marlstone.functions import code
+
+    loop = "i = 0\n    while i < 3:\n        {}\n        i += 1"
+    stay = [loop.format("continue"), loop.format("i = i"), loop.format("g(lambda: i)"), loop.format("g(x + i for x in y)"), loop.format("pass") + "\n    return i", "i = 0.0\n    while i < 3:\n        i += 1", "i = 0\n    while i < n:\n        i += 1", "i = 0\n    while i < 3:\n        pass\n        i += 2", "global i\n    " + loop.format("pass"), "i = 0\n    while i <= 3:\n        i += 1"]
+    for body in stay:
+        rule = code._WhileToFor()
+        rule.visit(ast.parse(f"def f(n, y):\n    {body}\n"))
+        assert rule.n == 0, body
+    rule = code._WhileToFor()
+    assert "for i in range(0, 3)" in ast.unparse(ast.fix_missing_locations(rule.visit(ast.parse(f"def f():\n    {loop.format('g(i)')}\n"))))
