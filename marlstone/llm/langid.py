@@ -29,6 +29,7 @@ from marlstone.session import read_table, scratch, written
 
 PER_LANGUAGE = 4000  # different labelled texts of a language that the filter is fitted on, at most
 TOGETHER = 256  # languages of one filter: a megabyte for each eight
+SENT = 1 << 16  # languages whose names and numbers are sent to all tasks
 BLOCK = 16  # bits of a slot's number within a packed block
 SHARE = 0.01  # of a language's sampled texts must have an n-gram for the filter to take it
 ORDERS = (2, 3, 4)
@@ -137,6 +138,7 @@ def filters(docs: DataFrame, text: str = "text", lang: str = "lang", per_languag
     if not drawn:
         return
     told = spark.createDataFrame(drawn, "lang string, most int, sampled long, number int")  # a row for each language
+    told = F.broadcast(told) if len(drawn) <= SENT else told  # beyond, Spark joins as it sees fit, and splits a large language
     sample = labelled.join(told, "lang").where("bits <= most").groupBy("lang", "at").agg(F.first("text").alias("text")).drop("at")
     common = sample.mapInPandas(_document_frequencies, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     common = common.join(told, "lang").where(F.col("n") >= F.col("sampled") * SHARE)
