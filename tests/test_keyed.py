@@ -6,7 +6,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.plans import io_queries
 from marlstone.streaming import jobs, keyed
+from tests.oracles import SMALL
 
 START = datetime(2024, 1, 1)
 SHAPE = "item_id string, sample_index long, line long, status string, score double, ts timestamp"
@@ -50,6 +52,22 @@ def test_state_expires(spark, tmp_path):
     assert keyed.settled(changes).count() == 3
 
 
+def test_events_at_and_before_1970_count(spark, tmp_path):
+    at = lambda item, line, ts: (item, 0, line, "PASSED", float(line), ts)
+    epoch, old = datetime(1970, 1, 1), datetime(1965, 5, 1)
+    changes = run(spark, tmp_path, [[at("a", 1, epoch), at("b", 1, old), at("b", 2, old)], [at("a", 2, epoch), at("c", 1, epoch - timedelta(seconds=1))]])
+    assert {(r.item_id, r.score) for r in keyed.settled(changes).collect()} == {("a", 2.0), ("b", 2.0), ("c", 1.0)}
+
+
+def test_first_of_one_line_and_event_times_from_zero(spark, tmp_path):
+    item = spark.read.parquet(f"{SMALL}/lineitem.parquet").limit(1).collect()[0].asDict()
+    keys = [item | {"l_orderkey": 1 + n // 2, "l_partkey": 1 + n // 20, "l_suppkey": 3, "l_linenumber": 1, "l_extendedprice": float(-n), "l_returnflag": "ARN"[n % 3]} for n in range(2400)]  # lines in pairs
+    spark.createDataFrame(keys, spark.read.parquet(f"{SMALL}/lineitem.parquet").schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = io_queries.QUERIES["r8_keyed_results"](spark, str(tmp_path)).collect()
+    status = {"A": "FAILED", "R": "PASSED", "N": "TIMEOUT"}
+    assert {tuple(r) for r in found} == {(str(1 + n // 20), 0, status["ARN"[n % 3]], float(-n)) for n in range(18, 2400, 20)}
+
+
 def test_store_of_the_caller_is_kept(spark):
     before = spark.conf.get(keyed.PROVIDER)
     assert before == keyed.ROCKS or pytest.skip("this session was not streamed yet")
