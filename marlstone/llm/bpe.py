@@ -38,6 +38,7 @@ from marlstone.session import read_table
 
 MEMORY = 1 << 17  # words whose ids a worker keeps, beginnings of words, and half the pairs it has tested
 BEGIN = (6, 3)  # bytes of a word's beginnings whose prefixes' last tokens are kept
+PART = 1 << 18  # characters of texts whose ids and decoded texts a worker holds together, a longer text alone
 SHORT = 48  # bytes; longer words are encoded each time
 # Fixed value: the pattern of the file's pre-tokenizer, for texts below PLAIN.
 # There the letters, numbers and others of that pattern are these classes.
@@ -327,6 +328,21 @@ def digests(text: str | Column, path: str, spark) -> Column:
     return of(text)
 
 
+def coded_parts(own: Encoder, texts: pd.Series) -> Iterator[pd.DataFrame]:
+    """Ids and decoded texts in order, a frame for each PART characters: the output of a whole batch is never held."""
+    ids, decoded, size = [], [], 0
+    for t in texts:
+        found = own.encode(t)
+        ids.append(found.astype(np.int32))
+        decoded.append(own.decode(found))
+        size += len(t or "")
+        if size >= PART:
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+            ids, decoded, size = [], [], 0
+    if ids:
+        yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+
+
 def coded(text: str | Column, path: str, spark) -> Column:
     """Struct (ids, decoded) of a text column, in one pass."""
     spec = spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
@@ -335,8 +351,7 @@ def coded(text: str | Column, path: str, spark) -> Column:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = encoder(spec.value)
         for s in texts:
-            ids = [own.encode(t) for t in s]
-            yield pd.DataFrame({"ids": pd.Series([x.astype(np.int32) for x in ids], dtype=object), "decoded": pd.Series([own.decode(x) for x in ids], dtype=object)})
+            yield from coded_parts(own, s)
 
     return of.asNondeterministic()(text)  # one pass, however many columns use it
 

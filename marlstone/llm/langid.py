@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,7 +138,8 @@ def filters(docs: DataFrame, text: str = "text", lang: str = "lang", per_languag
     drawn = _drawn(labelled, per_language)
     if not drawn:
         return
-    told = spark.createDataFrame(drawn, "lang string, most int, sampled long, number int")  # a row for each language
+    # A row for each language. By Arrow: rows of Python objects would start workers of another kind in each executor, which stay.
+    told = spark.createDataFrame(pa.table(dict(zip(("lang", "most", "sampled", "number"), map(list, zip(*drawn))))), "lang string, most int, sampled long, number int")
     told = F.broadcast(told) if len(drawn) <= SENT else told  # beyond, Spark joins as it sees fit, and splits a large language
     sample = labelled.join(told, "lang").where("bits <= most").groupBy("lang", "at").agg(F.first("text").alias("text")).drop("at")
     common = sample.mapInPandas(_document_frequencies, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,3 +71,15 @@ def test_query_and_null_ids(spark, tmp_path):
     got = bpe.op6_bpe(spark, str(tmp_path))
     assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == sorted(expected)
+
+
+def test_coding_holds_a_part_of_a_batch(spark):
+    own = bpe.encoder(Path(bpe.default_path()).read_text(encoding="utf-8"))
+    texts = [None, "", *[f"word {n} of a text " * (n % 50) for n in range(3000)], "long " * (bpe.PART // 2), "last"]
+    parts = list(bpe.coded_parts(own, pd.Series(texts, dtype=object)))
+    assert [x.tolist() for p in parts for x in p["ids"]] == [own.encode(t).tolist() for t in texts]
+    assert [x for p in parts for x in p["decoded"]] == [own.decode(own.encode(t)) for t in texts]
+    assert len(parts) > 4 and not list(bpe.coded_parts(own, pd.Series([], dtype=object)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = docs.coalesce(1).withColumn("c", bpe.coded("text", bpe.default_path(), spark)).orderBy("doc_id").collect()
+    assert [(r.c.ids, r.c.decoded) for r in found] == [(own.encode(t).tolist(), own.decode(own.encode(t))) for t in texts]

@@ -129,3 +129,14 @@ def test_all_labels_are_learnt_in_several_filters(spark, monkeypatch):
     assert {r.doc_id: r.found for r in langid.identify(docs).collect()} == whole
     known = {r.lang for r in docs.where(~langid.held_out()).select("lang").distinct().collect()}
     assert len(known) > 280 and np.mean([whole[i].lang == lang for i, _, lang in rows if lang in known]) > 0.98
+
+
+def test_no_workers_of_another_kind(spark, monkeypatch):
+    docs = spark.createDataFrame([(n, f"{'some plain words' if n % 2 else 'andere kurze saetze'} {n}", "en" if n % 2 else "de") for n in range(40)], "doc_id long, text string, lang string")
+
+    def refused(*_, **__):
+        raise AssertionError("rows of Python objects start workers that stay in each executor")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    found = langid.identify(docs, out="found").select("lang", "found.lang").collect()
+    assert len(found) == 40 and all(a == b for a, b in found)
