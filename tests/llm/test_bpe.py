@@ -83,3 +83,43 @@ def test_coding_holds_a_part_of_a_batch(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = docs.coalesce(1).withColumn("c", bpe.coded("text", bpe.default_path(), spark)).orderBy("doc_id").collect()
     assert [(r.c.ids, r.c.decoded) for r in found] == [(own.encode(t).tolist(), own.decode(own.encode(t))) for t in texts]
+
+
+def made_up(rng, n):
+    parts = ["an", "th", "ere", "tion", "ou", "é", "ción", "schw", "x", "9", "ß", "lich", "'s", "_", "Q", "ñ"]
+    return ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(n)]
+
+
+def test_new_words_are_encoded_together(both, monkeypatch):
+    """Words that no worker has met, most of made-up text, are not encoded one by one; long words only are."""
+    mine, library = both
+    words = made_up(random.Random(2), 20_000)
+    texts = [None, "", *[" ".join(words[i : i + 500]) for i in range(0, len(words), 500)], "a" * 300 + " <|endoftext|> 日本 the," + "?" * 60, " ".join(words[:900])]
+    alone = []
+    one = bpe.Encoder.word
+    monkeypatch.setattr(bpe.Encoder, "word", lambda self, data: alone.append(data) or one(self, data))
+    ids = [mine.encode(t) for t in texts[:2]] + [x for x in mine.encode_all(texts[2:])]
+    assert all(len(data) > bpe.SHORT for data in alone) and b"a" * 300 in alone
+    for t, x in zip(texts, ids):
+        assert x.tolist() == library.encode(t or "", add_special_tokens=False).ids
+        assert mine.decode(x) == library.decode(x.tolist(), skip_special_tokens=False)
+
+
+def test_tables_that_are_dropped_and_windows(both, monkeypatch):
+    """Texts of more runs than a window, tables that are full at once, few places for tests, small groups."""
+    mine, library = both
+    for name, value in (("MEMORY", 50), ("WINDOW", 70), ("GROUP", 9), ("TESTED", 3)):
+        monkeypatch.setattr(bpe, name, value)
+    monkeypatch.setattr(mine.together, "tested", mine.together.tested[:8] * 0 - 1)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(made_up(rng, 40), k=rng.choice([0, 5, 200]))) for _ in range(60)]
+    assert [x.tolist() for x in mine.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(mine.known) <= 50 + 70 and len(mine.older) <= 50 + 70
+
+
+def test_lookup():
+    rng = random.Random(4)
+    found = {rng.randrange(1 << 39): rng.randrange(1 << 24) for _ in range(5000)}
+    keys = [*found, *[rng.randrange(1 << 39) for _ in range(5000)], 0]
+    assert bpe.Lookup(found)(pd.Series(keys).to_numpy()).tolist() == [found.get(k, -1) for k in keys]
+    assert bpe.Lookup({})(pd.Series([0, 5]).to_numpy()).tolist() == [-1, -1]
