@@ -40,8 +40,8 @@ from marlstone.session import read_table
 
 MEMORY = 1 << 17  # runs whose ids a worker keeps in each of two tables, and half the pairs of tokens in long words
 TESTED = 19  # bits of the number of pairs of tokens in short words whose test is kept
-WINDOW = 1 << 17  # runs, of one text or several, that are looked up together
-GROUP = 1 << 15  # short words that are encoded together
+WINDOW = 1 << 16  # runs, of one text or several, that are looked up together
+GROUP = 1 << 14  # short words that are encoded together
 PART = 1 << 18  # characters of texts whose ids and decoded texts a worker holds together, a longer text alone
 SHORT = 48  # bytes; longer words are encoded one by one, and runs of more characters each time
 # Fixed value: the pattern of the file's pre-tokenizer, for texts below PLAIN.
@@ -54,60 +54,57 @@ EXOTIC = regex.compile(r"[\x1c-\x1fɐ-\U0010ffff]")
 class SuffixAutomaton:
     """All substrings of a set of symbol sequences.
 
-    ``token[s]`` is the sequence that is the longest string of state s, if any: a whole
-    sequence is the longest string with its end positions, so a state has one at most.
+    ``step[s << 9 | c]``: the state after state s and symbol c; ``link`` and ``length`` of a state's longest string.
+    A whole sequence is the longest string with its end positions, so a state has one at most. ``first[s]``: the longest
+    wanted sequence on the suffix links of state s, itself included; ``next[t]``: the next shorter one after sequence t; -1 for none.
     """
 
     def __init__(self, sequences: list[list[int]], wanted: list[bool]) -> None:
-        self.step: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
-        self.token = [-1]
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        steps: list[dict[int, int]] = [{}]
+        token = {}
         for number, symbols in enumerate(sequences):
             last = 0
             for c in symbols:
-                last = self._extended(last, c)
+                last = self._extended(steps, last, c)
             if wanted[number]:
-                self.token[last] = number
-        self.tokens = self._tokens()
-
-    def _state(self, length: int, link: int, step: dict[int, int]) -> int:
-        self.step.append(step)
+                token[last] = number
+        self.first, self.next = array("i", [-1]) * len(steps), array("i", [-1]) * len(sequences)
+        for s in sorted(range(1, len(steps)), key=self.length.__getitem__):
+            self.first[s] = behind = self.first[self.link[s]]
+            if s in token:
+                self.first[s] = token[s]
+                self.next[token[s]] = behind
+        self.step = {s << 9 | c: to for s, own in enumerate(steps) for c, to in own.items()}
+
+    def _state(self, steps: list[dict[int, int]], length: int, link: int, step: dict[int, int]) -> int:
+        steps.append(step)
         self.link.append(link)
         self.length.append(length)
-        self.token.append(-1)
-        return len(self.step) - 1
+        return len(steps) - 1
 
-    def _split(self, p: int, c: int, q: int) -> int:
+    def _split(self, steps: list[dict[int, int]], p: int, c: int, q: int) -> int:
         """The state of p's longest string and c; cut off from q if q also holds longer ones."""
         if self.length[q] == self.length[p] + 1:
             return q
-        own = self._state(self.length[p] + 1, self.link[q], dict(self.step[q]))
+        own = self._state(steps, self.length[p] + 1, self.link[q], dict(steps[q]))
         self.link[q] = own
-        while p >= 0 and self.step[p].get(c) == q:
-            self.step[p][c] = own
+        while p >= 0 and steps[p].get(c) == q:
+            steps[p][c] = own
             p = self.link[p]
         return own
 
-    def _extended(self, last: int, c: int) -> int:
-        if c in self.step[last]:
-            return self._split(last, c, self.step[last][c])
-        new, p = self._state(self.length[last] + 1, 0, {}), last
-        while p >= 0 and c not in self.step[p]:
-            self.step[p][c] = new
+    def _extended(self, steps: list[dict[int, int]], last: int, c: int) -> int:
+        if c in steps[last]:
+            return self._split(steps, last, c, steps[last][c])
+        new, p = self._state(steps, self.length[last] + 1, 0, {}), last
+        while p >= 0 and c not in steps[p]:
+            steps[p][c] = new
             p = self.link[p]
         if p >= 0:
-            self.link[new] = self._split(p, c, self.step[p][c])
+            self.link[new] = self._split(steps, p, c, steps[p][c])
         return new
 
-    def _tokens(self) -> list[tuple[tuple[int, int], ...]]:
-        """For each state the tokens on its suffix links, itself included, and their lengths; the longest first."""
-        found: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
-        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            behind = found[self.link[s]]
-            found[s] = ((self.token[s], self.length[s]), *behind) if self.token[s] >= 0 else behind
-        return found
-
 
 class Vocabulary(NamedTuple):
     """``symbols[t]``: token t's symbols; ``parts[t]``: the two tokens merged into it (itself twice if none); ``made``: the reverse."""
@@ -205,13 +202,8 @@ class Together:
     """Encodes many words at once: the same automaton, candidates and pair test as ``Encoder.word``, on arrays."""
 
     def __init__(self, words: Vocabulary, automaton: SuffixAutomaton) -> None:
-        self.step = Lookup({s << 9 | c: to for s, steps in enumerate(automaton.step) for c, to in steps.items()})
-        self.link, self.length = np.array(automaton.link), np.array(automaton.length)
-        self.first = np.array([x[0][0] if x else -1 for x in automaton.tokens])  # of a state's tokens the longest
-        self.next = np.full(len(words.symbols), -1)  # after a token the next shorter one that ends there
-        for s, t in enumerate(automaton.token):
-            if t >= 0:
-                self.next[t] = self.first[automaton.link[s]]
+        self.step = Lookup(automaton.step)
+        self.link, self.length, self.first, self.next = (np.array(x, np.int64) for x in (automaton.link, automaton.length, automaton.first, automaton.next))
         self.size, self.ids = np.array(list(map(len, words.symbols))), np.array(words.ids, "<u4")
         self.n, (self.left, self.right) = len(words.parts), np.array(words.parts).T
         self.whole = self.left == np.arange(self.n)
@@ -333,29 +325,29 @@ class Encoder:
 
     def word(self, data: bytes) -> bytes:
         """Ids of one word, as little-endian 32-bit numbers."""
-        step, link, tokens, length = self.automaton.step, self.automaton.link, self.automaton.tokens, self.automaton.length
+        step, link, length = self.automaton.step, self.automaton.link, self.automaton.length
+        first, shorter, lengths = self.automaton.first, self.automaton.next, self.lengths
         known, fits, n = self.pairs, self.fits, len(self.words.parts)
         state = matched = 0
         last: list[int] = []
         for i, c in enumerate([*data[:-1], data[-1] + 256]):
-            to = step[state].get(c)
+            to = step.get(state << 9 | c)
             if to is None:
                 while to is None:  # every symbol is a token, so the root has them all
                     state = link[state]
-                    to = step[state].get(c)
+                    to = step.get(state << 9 | c)
                 matched = length[state]
             state = to
             matched += 1
-            t = -1
-            for t, size in tokens[state] if matched == length[state] else tokens[link[state]]:  # a state's longest string may not be here whole
-                if size > i:
-                    break
+            t = first[state if matched == length[state] else link[state]]  # a state's longest string may not be here whole
+            while (size := lengths[t]) <= i and shorter[t] >= 0:
                 a = last[i - size]
                 fit = known.get(a * n + t)
                 if fits(a, t) if fit is None else fit:
                     break
+                t = shorter[t]
             last.append(t)
-        out, i, ids, lengths = [], len(last), self.words.ids, self.lengths
+        out, i, ids = [], len(last), self.words.ids
         while i:
             t = last[i - 1]
             out.append(ids[t])
