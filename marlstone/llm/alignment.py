@@ -2,14 +2,15 @@
 
 A byte-level BPE (A) encodes a space and the text, a piece BPE with byte fallback (B) the text, to
 which it adds that space. Each byte gets a label: no token ends here, one of A, one of B, or one of
-both. A regular expression scans the labels for spans up to each ``both``; the labels inside count a group's tokens on either side. Tokens whose bytes overlap are linked: a link for each place where
+both. A group reaches up to a ``both``. Tokens whose bytes overlap are linked: a link for each place where
 a token ends, between the tokens that hold the byte there.
 
 Both encoders treat what begins with a space behind a non-blank character apart from what is
 before it (A's rules never join a non-blank to a following blank; no piece of B has a space mark
-behind another character, which is checked). So texts are cut there, a worker keeps the
-alignment of the cuts it has met in a table that is emptied when full, and a text is the
-concatenation of its cuts.
+behind another character, which is checked). So texts are cut there, both sides' tokens end at a
+cut's end, and a text's groups and links are those of its cuts, joined. A worker keeps the written groups and the links
+of the cuts that it has met, in two tables of which the older is dropped when the younger is full. New cuts of several texts
+are aligned together, as arrays.
 
 How often an id pair is linked in the corpus is an aggregate with partial results. The pairs with more than
 1 of 2^16 of all links are fewer than 2^16 whatever the data, and are broadcast; each of the others
@@ -27,10 +28,9 @@ import base64
 import hashlib
 import json
 import re
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 from pathlib import Path
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -43,14 +43,17 @@ from pyspark.sql import functions as F
 from marlstone.llm.bpe import byte_names
 from marlstone.session import bounded_batches, free_name, read_table, scratch, written
 
-KEPT = 1 << 17  # cuts whose ids a worker keeps
+KEPT = 1 << 17  # cuts whose alignment a worker keeps in each of two tables
+SHORT = 48  # characters; longer cuts are aligned each time
+WINDOW = 1 << 15  # cuts, of one text or several, that are looked up together
+PART = 1 << 15  # characters of new cuts that are aligned together, a longer cut alone
 HEAVY = 1 << 16  # pairs with more than one in so many of all links are broadcast
 # Fixed value: the file's pre-tokenizer, by its published pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CUT = re.compile(r" \s*+\S*+(?:[^\S ]\s*+\S++)*+(?:[^\S ]\s*+)?+")
+CUT = re.compile(r" (?<=\S )")  # a space behind a non-blank; no text begins with it
+AMID = re.compile(r"\s ")  # a text without it is cut at every space but one at its beginning
 MARK = "▁"
 A_END, B_END = 1, 2  # labels; both: 3
-GROUP = re.compile(rb"[\x01\x02]*\x03")  # of a label string without its ``none`` labels, which count nothing
 
 
 def byte_level(spec: str) -> tuple[tiktoken.Encoding, list[bytes]]:
@@ -87,13 +90,9 @@ class Pieces:
         return self.model.encode(text) if text else self.model.encode("a ")[self.lead :]
 
 
-class Aligned(NamedTuple):
-    """A text's tokens, the labels of its groups (no ``none`` among them), and its links as packed pairs of ids."""
-
-    a: np.ndarray
-    b: np.ndarray
-    spans: list[bytes]
-    links: np.ndarray
+# What is known of a cut: its groups as they are written, its links as packed pairs of ids (64-bit), n_a, n_b; of one
+# that a side's joined bytes differ from, nothing. A plain tuple, as Python's collector leaves those of plain values out.
+Known = tuple[str, bytes, int, int] | tuple[()]
 
 
 class Aligner:
@@ -104,96 +103,137 @@ class Aligner:
         self.pieces = Pieces(model)
         self.width = len(self.pieces.entries)
         self.lengths = tuple(np.array([len(x) for x in own], np.int64) for own in (self.entries, self.pieces.entries))
-        self.kept: dict[str, tuple[bytes, bytes] | None] = {}
-        self.names = [f"{i}{mark}" for i in range(max(len(self.entries), self.width)) for mark in (",", "|", ";", "")]
+        self.kept: dict[str, Known] = {}
+        self.older: dict[str, Known] = {}
+        self.names = [f"{i}{mark}" for i in range(max(len(self.entries), self.width)) for mark in ",|;"]
+        self.sizes = np.array([len(x) for x in self.names])
 
     def _both(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a string that begins with a space; none if either side's joined bytes differ from it."""
         data = text.encode()
         a, b = self.coder.encode_ordinary(text), self.pieces.encode(text[1:])
-        same = all(b"".join([own[i] for i in ids]) == data for ids, own in ((a, self.entries), (b, self.pieces.entries)))
-        return (np.array(a, "<u4"), np.array(b, "<u4")) if same else None
-
-    def _learnt(self, cuts: list[str]) -> None:
-        """Keeps the ids of a text's cuts: those that end in a non-blank are encoded in one go, as they would be apart."""
-        if len(self.kept) + len(cuts) > KEPT:
-            self.kept.clear()
-        new = [c for c in dict.fromkeys(cuts) if c not in self.kept]
-        last = [new.pop()] if new and new[-1][-1].isspace() else []  # nothing but a text's end
-        found = self._both("".join(new)) if new else None
-        if found:
-            ends = np.cumsum([len(c.encode()) for c in new])
-            packed = []
-            for ids, lengths in zip(found, self.lengths):
-                stops = (4 * (np.searchsorted(np.cumsum(lengths[ids]), ends) + 1)).tolist()
-                whole = ids.tobytes()
-                packed.append([whole[i:j] for i, j in zip([0, *stops], stops)])
-            self.kept.update(zip(new, zip(*packed)))
-        for c in [*([] if found else new), *last]:
-            own = self._both(c)
-            self.kept[c] = own and (own[0].tobytes(), own[1].tobytes())
-
-    def cuts(self, text: str) -> list[str]:
-        """What is encoded apart, joined a space and the text."""
-        return CUT.findall(" " + text) if self.pieces.apart else [" " + text]
-
-    def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        cuts = self.cuts(text)
-        if len(cuts) == 1:
-            return self._both(cuts[0])
-        found = list(map(self.kept.get, cuts, repeat(self)))
-        if self in found:
-            self._learnt(cuts)
-            found = list(map(self.kept.__getitem__, cuts))
-        if None in found:
-            return None
-        a, b = zip(*found)
-        return np.frombuffer(b"".join(a), "<u4"), np.frombuffer(b"".join(b), "<u4")
-
-    def align(self, text: str | None) -> Aligned | None:
-        """Of a space and ``text``; none for a null or empty text, or if a side's joined bytes differ."""
-        found = self._encoded(text) if text else None
+        same = all(b"".join(map(own.__getitem__, ids)) == data for ids, own in ((a, self.entries), (b, self.pieces.entries)))
+        return (np.array(a, np.int64), np.array(b, np.int64)) if same else None
+
+    def _together(self, cuts: list[str]) -> list[Known]:
+        """The alignment of some cuts, encoded in one go; if bytes differ, in ever fewer. All but a last one end in a non-blank."""
+        found = self._both(" " + " ".join(cuts))
         if found is None:
-            return None
+            step = max(1, len(cuts) // 64)
+            return [x for i in range(0, len(cuts), step) for x in self._together(cuts[i : i + step])] if len(cuts) > 1 else [()]
         a, b = found
         ends_a, ends_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
         labels = np.zeros(ends_a[-1], np.uint8)
         labels[ends_a - 1] = A_END
         labels[ends_b - 1] |= B_END
-        ends = labels[labels > 0]
-        of_a, of_b = (ends & A_END) > 0, (ends & B_END) > 0
-        links = a.astype(np.int64)[np.cumsum(of_a) - of_a] * self.width + b[np.cumsum(of_b) - of_b]
-        return Aligned(a, b, GROUP.findall(ends.tobytes()), links)
-
-    def _sizes(self, found: Aligned) -> tuple[np.ndarray, np.ndarray]:
-        """How many tokens of either side each group has: the labels of its span, counted."""
-        starts = np.cumsum([0, *map(len, found.spans[:-1])])
-        labels = np.frombuffer(b"".join(found.spans), np.uint8)
-        return np.add.reduceat(labels & A_END, starts, dtype=np.int64), np.add.reduceat(labels >> 1, starts, dtype=np.int64)
+        at = np.flatnonzero(labels)
+        ends = labels[at]
+        of_a, of_b, of_both = (ends & A_END) > 0, (ends & B_END) > 0, ends == A_END | B_END
+        upto_a, upto_b = np.cumsum(of_a), np.cumsum(of_b)
+        group = np.cumsum(of_both) - of_both
+        links = (a[upto_a - of_a] * self.width + b[upto_b - of_b]).tobytes()
+        last_a, last_b = upto_a[of_both], upto_b[of_both]  # tokens of either side up to each group's end
+        at_a = np.arange(len(a)) + np.concatenate([[0], last_b])[group[of_a]]  # all of a group's A ids, then all of its B ids
+        at_b = np.arange(len(b)) + last_a[group[of_b]]
+        names = np.empty(len(a) + len(b), np.int64)
+        names[at_a], names[at_b] = 3 * a, 3 * b
+        names[at_a[last_a - 1]] += 1
+        names[at_b[last_b - 1]] += 2
+        written = "".join(map(self.names.__getitem__, names.tolist()))
+        last = np.searchsorted(at, np.cumsum([len(c.encode()) + 1 for c in cuts]) - 1)  # the end that is a cut's end
+        n_a, n_b = upto_a[last], upto_b[last]
+        stops = np.cumsum(self.sizes[names])[n_a + n_b - 1].tolist()
+        ats = (8 * (last + 1)).tolist()
+        counts = zip(np.diff(n_a, prepend=0).tolist(), np.diff(n_b, prepend=0).tolist())
+        return [(written[i : j - 1], links[k:m], *n) for i, j, k, m, n in zip([0, *stops], stops, [0, *ats], ats, counts)]
+
+    def _learnt(self, cuts: list[str]) -> dict[str, Known]:
+        """Sees to it that ``kept`` has all of some cuts; gives those of them that are too long to be kept."""
+        if len(self.kept) >= KEPT:
+            self.older, self.kept = self.kept, {}
+        older, kept, long = self.older, self.kept, {}
+        some: list[str] = []
+        size = 0
+
+        def learn() -> None:
+            for c, found in zip(some, self._together(some)):
+                (kept if len(c) <= SHORT else long)[c] = found
+
+        for c in set(cuts).difference(kept):
+            found = older.get(c)
+            if found is not None:
+                kept[c] = found
+            elif not self.pieces.apart or not c or c[-1].isspace():  # a whole text, or one's end
+                (kept if len(c) <= SHORT else long)[c] = self._together([c])[0]
+            else:
+                if some and size + len(c) > PART:
+                    learn()
+                    some, size = [], 0
+                some.append(c)
+                size += len(c) + 1
+        if some:
+            learn()
+        return long
+
+    def cuts(self, text: str | None) -> list[str]:
+        """What is encoded apart, joined by spaces the text. None for a null or empty text."""
+        if not text:
+            return []
+        if not self.pieces.apart:
+            return [text]
+        return CUT.split(text) if text[0] == " " or AMID.search(text) else text.split(" ")
+
+    def _joined(self, texts: list[list[str]]) -> Iterator[Known]:
+        flat, found = list(chain.from_iterable(texts)), []
+        for i in range(0, len(flat), WINDOW):
+            some = flat[i : i + WINDOW]
+            long = self._learnt(some)
+            found += map(self.kept.__getitem__, some) if not long else [long[c] if c in long else self.kept[c] for c in some]
+        of = iter(found)
+        for cuts in texts:
+            own = list(islice(of, len(cuts)))
+            if own and all(own):
+                written, links, n_a, n_b = zip(*own)
+                yield ";".join(written), b"".join(links), sum(n_a), sum(n_b)
+            else:
+                yield ()
+
+    def align(self, texts: Iterable[str | None]) -> Iterator[Known]:
+        """Of a space and each text; nothing for a null or empty text, or if a side's joined bytes differ. Texts of WINDOW cuts are held together."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(self.cuts(text))
+            size += len(held[-1]) + 1
+            if size >= WINDOW:
+                yield from self._joined(held)
+                held, size = [], 0
+        yield from self._joined(held)
 
     def groups(self, text: str | None) -> list[tuple[list[int], list[int]]]:
         """The token groups of a text, each the ids of either side."""
-        found = self.align(text)
-        if found is None:
-            return []
-        cut = [np.split(ids, np.cumsum(n)[:-1]) for ids, n in zip((found.a, found.b), self._sizes(found))]
-        return [(a.tolist(), b.tolist()) for a, b in zip(*cut)]
+        return next(self.groups_all([text]))
+
+    def groups_all(self, texts: Iterable[str | None]) -> Iterator[list[tuple[list[int], list[int]]]]:
+        for found in self.align(texts):
+            yield [tuple([int(i) for i in side.split(",")] for side in group.split("|")) for group in found[0].split(";")] if found else []
 
     def told(self, text: str | None) -> tuple:
         """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times): pairs are the different links, packed."""
-        found = self.align(text)
-        if found is None:
-            return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32)
-        n_a, n_b = self._sizes(found)
-        at_a = np.arange(len(found.a)) + np.repeat(np.cumsum(n_b) - n_b, n_a)  # all of a group's A ids, then all of its B ids
-        at_b = np.arange(len(found.b)) + np.repeat(np.cumsum(n_a), n_b)
-        names = np.empty(len(found.a) + len(found.b), np.int64)
-        names[at_a], names[at_b] = 4 * found.a.astype(np.int64), 4 * found.b.astype(np.int64)
-        names[at_a[np.cumsum(n_a) - 1]] += 1
-        names[at_b[np.cumsum(n_b) - 1]] += 2
-        written = "".join(map(self.names.__getitem__, names.tolist()))[:-1]
-        pairs, times = np.unique(found.links, return_counts=True)
-        return len(found.a), len(found.b), len(n_a), found.links.size, hashlib.sha256(written.encode()).hexdigest(), pairs, times.astype(np.int32)
+        return next(self.told_all([text]))
+
+    def told_all(self, texts: Iterable[str | None]) -> Iterator[tuple]:
+        for found in self.align(texts):
+            if not found:
+                yield 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32)
+                continue
+            written, links, n_a, n_b = found
+            n_links = len(links) // 8
+            pairs = np.sort(np.frombuffer(links, np.int64))
+            first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+            times = np.diff(first, append=n_links).astype(np.int32)
+            # A group of n tokens has n - 1 places where one ends.
+            yield n_a, n_b, n_a + n_b - n_links, n_links, hashlib.sha256(written.encode()).hexdigest(), pairs[first], times
 
 
 _ALIGNERS: dict[tuple[str, bytes], Aligner] = {}
@@ -226,7 +266,7 @@ def aligned(docs: DataFrame, text: str = "text", out: str = "groups", paths: tup
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = aligner(files.value[0], base64.b64decode(files.value[1]))
         for s in texts:
-            yield pd.Series([[{"a": a, "b": b} for a, b in own.groups(t)] for t in s], dtype=object)
+            yield pd.Series([[{"a": a, "b": b} for a, b in groups] for groups in own.groups_all(s)], dtype=object)
 
     return docs.withColumn(out, of(text))
 
@@ -236,7 +276,7 @@ def _digests(text: str | Column, files) -> Column:
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = aligner(files.value[0], base64.b64decode(files.value[1]))
         for s in texts:
-            yield pd.DataFrame([own.told(t) for t in s], columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+            yield pd.DataFrame(list(own.told_all(s)), columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
     return of.asNondeterministic()(text)  # one pass, however many columns use it
 

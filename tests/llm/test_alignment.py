@@ -122,6 +122,66 @@ def test_table_of_cuts_is_emptied_and_long_cuts_hold(aligner, libraries, monkeyp
         assert aligner.groups(text) == libraries.groups(text)
 
 
+def of_libraries(libraries, text):
+    """What ``told`` gives of a text, its pairs counted."""
+    groups, links = libraries.groups(text), libraries.links(text)
+    digest = hashlib.sha256(as_text(groups).encode()).hexdigest() if groups else ""
+    return *(sum(len(g[side]) for g in groups) for side in (0, 1)), len(groups), len(links), digest, Counter(a << 32 | b for a, b in links)
+
+
+def counted(aligner, found):
+    *plain, pairs, times = found
+    a, b = pairs // aligner.width, pairs % aligner.width
+    return *plain, Counter(dict(zip((a << 32 | b).tolist(), times.tolist())))
+
+
+def encodings(aligner, monkeypatch):
+    """The strings that an aligner has encoded since, both tables empty."""
+    said, both = [], aligner._both
+    monkeypatch.setattr(aligner, "kept", {})
+    monkeypatch.setattr(aligner, "older", {}, raising=False)
+    monkeypatch.setattr(aligner, "_both", lambda text: said.append(text) or both(text))
+    return said
+
+
+def test_cuts_met_are_not_encoded_again(aligner, monkeypatch):
+    said = encodings(aligner, monkeypatch)
+    monkeypatch.setattr(alignment, "KEPT", 4)
+    first = [str(x) for x in aligner.told("one two three four")]
+    aligner.told("five six seven")
+    n = len(said)
+    assert [str(x) for x in aligner.told("one two three four")] == first and len(said) == n
+
+
+def test_new_cuts_of_many_texts_are_encoded_together(aligner, libraries, monkeypatch):
+    said = encodings(aligner, monkeypatch)
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("aeinrst") for _ in range(9)) for _ in range(20)) for _ in range(100)]
+    assert [counted(aligner, x) for x in aligner.told_all(texts)] == [of_libraries(libraries, t) for t in texts]
+    assert len(said) <= sum(map(len, texts)) // alignment.PART + 1
+
+
+def test_texts_together(aligner, libraries, monkeypatch):
+    """Odd cuts and long ones among others, and cuts of which one side's bytes differ."""
+    rng = random.Random(9)
+    texts = [None, "", " ", "a▁b c", "x" * 200 + " end ", *("".join(rng.choice(PARTS) for _ in range(rng.randint(0, 30))) for _ in range(400))]
+    wanted = [of_libraries(libraries, t) for t in texts]
+    for part, window in [(1 << 15, 1 << 15), (40, 7)]:
+        encodings(aligner, monkeypatch)
+        monkeypatch.setattr(alignment, "PART", part)
+        monkeypatch.setattr(alignment, "WINDOW", window)
+        assert [counted(aligner, x) for x in aligner.told_all(texts)] == wanted
+        assert max(map(len, aligner.kept)) <= alignment.SHORT
+
+
+def test_texts_are_encoded_apart_if_pieces_hold_spaces(aligner, libraries, monkeypatch):
+    said = encodings(aligner, monkeypatch)
+    monkeypatch.setattr(aligner.pieces, "apart", False)
+    texts = ["one two", "three", "two  three\n", "four five"]
+    assert [counted(aligner, x) for x in aligner.told_all(texts)] == [of_libraries(libraries, t) for t in texts]
+    assert sorted(said) == sorted(" " + t for t in texts)
+
+
 def test_query(spark, libraries):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     found = alignment.op11_alignment(spark, SMALL)
@@ -145,6 +205,31 @@ def test_odd_rows(spark, libraries):
     assert all([(a, b) for a, b in r.g] == libraries.groups(r.text) for r in rows)
 
 
+def test_empty_table(spark):
+    found = alignment.told(spark.createDataFrame([], "doc_id long, text string"))
+    assert found.columns == COLUMNS and found.count() == 0
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    found = alignment.op11_alignment(spark, SMALL)
+    assert found.columns == COLUMNS
+    assert sorted(map(tuple, found.collect()), key=str) == expected(libraries, docs)
+
+
+def test_seldom_pairs_are_joined(spark, libraries, monkeypatch):
+    monkeypatch.setattr(alignment, "HEAVY", 50)  # so that most pairs are seldom
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").limit(60).collect()]
+    found = alignment.told(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect()), key=str) == expected(libraries, docs)
+
+
+def test_odd_rows(spark, libraries):
+    texts = [None, "", " ", "a▁b", "one two", "one two", "<|endoftext|> <s>", "word " * 3000 + "x" * 3000]
+    docs = [(i if i != 4 else None, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in docs], "doc_id long, text string, pair int, row int, groups string")
+    assert sorted(map(tuple, alignment.told(table).collect()), key=str) == expected(libraries, docs)
+    rows = alignment.aligned(table.drop("groups")).select("text", F.transform("groups", lambda g: F.array(g["a"], g["b"])).alias("g")).collect()
+    assert all([(a, b) for a, b in r.g] == libraries.groups(r.text) for r in rows)
+
+
 def test_empty_table(spark):
     found = alignment.told(spark.createDataFrame([], "doc_id long, text string"))
     assert found.columns == COLUMNS and found.count() == 0
