@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from statistics import NormalDist
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOWEST, HIGHEST = float("-inf"), float("inf")
+NEGLIGIBLE = 1e-25  # a term beside the largest one of a sum
 
 
 def clean(x: Column) -> Column:
@@ -74,25 +76,35 @@ def wilson(successes: Column, n: Column, alpha: float = 0.05) -> Column:
 
 
 def _tail(k: int, n: int, p: float) -> float:
-    """P(X >= k) for n trials of probability p, summed from the larger terms' side in logs."""
+    """P(X >= k) for n trials of probability p, summed in logs from the largest term both ways, until terms no longer count."""
     if k <= 0:
         return 1.0
     if p in (0.0, 1.0):
         return p
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    whole, yes, no = math.lgamma(n + 1), math.log(p), math.log1p(-p)
+    log = lambda i: whole - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * yes + (n - i) * no
+    first = min(n, max(k, int((n + 1) * p)))
+    top, total = log(first), 0.0
+    for side in (range(first, n + 1), range(first - 1, k - 1, -1)):
+        for i in side:
+            total += (x := math.exp(log(i) - top))
+            if x < NEGLIGIBLE:
+                break
+    return min(1.0, math.exp(top) * total)
 
 
 def _solved(test, low: float = 0.0, high: float = 1.0) -> float:
     for _ in range(100):
         mid = (low + high) / 2
+        if mid in (low, high):
+            break  # neighbours
         low, high = (mid, high) if test(mid) else (low, mid)
     return (low + high) / 2
 
 
+@lru_cache(maxsize=1 << 16)
 def exact_bounds(k: int, n: int, alpha: float) -> tuple[float, float]:
-    """Clopper and Pearson's interval, by bisection on the exact tails."""
+    """Clopper and Pearson's interval, by bisection on the exact tails; many cells share few pairs (k, n), so a worker keeps them."""
     low = 0.0 if k == 0 else _solved(lambda p: _tail(k, n, p) < alpha / 2)
     high = 1.0 if k == n else _solved(lambda p: 1 - _tail(k + 1, n, p) > alpha / 2)
     return low, high

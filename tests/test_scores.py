@@ -1,8 +1,8 @@
 """Predicates, views and closed-form statistics, with the known values of the reference's own cases."""
 
 import math
-
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -50,6 +50,23 @@ def test_intervals(spark):
     assert rows[2].w is None and rows[2].c.low is None
 
 
+def test_exact_intervals_of_many_cells(monkeypatch):
+    """A pair (k, n) is solved once a worker, and a tail of many trials takes the terms that count only."""
+    calls, tail = [], scores._tail
+    monkeypatch.setattr(scores, "_tail", lambda *x: calls.append(x) or tail(*x))
+    first = scores.exact_bounds(7, 33, 0.05)
+    once = len(calls)
+    assert scores.exact_bounds(7, 33, 0.05) == first and 0 < once == len(calls)
+    for k, n in ((7, 33), (2, 150), (90, 100)):
+        low, high = scores.exact_bounds(k, n, 0.05)
+        pmf = lambda i, p: math.comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i)  # noqa: E731, B023
+        assert float(1 - sum(pmf(i, low) for i in range(k)) if k < n / 2 else sum(pmf(i, low) for i in range(k, n + 1))) == pytest.approx(0.025)
+        assert float(sum(pmf(i, high) for i in range(k + 1)) if k < n / 2 else 1 - sum(pmf(i, high) for i in range(k + 1, n + 1))) == pytest.approx(0.025)
+    terms, log = [], math.lgamma
+    monkeypatch.setattr(scores.math, "lgamma", lambda x: terms.append(x) or log(x))
+    assert tail(100, 1_000_000, 0.0001) == pytest.approx(0.5133, abs=2e-4) and len(terms) < 2000
+
+
 def test_auroc_and_ks(spark):
     rows = [("a", 1.0, True), ("a", 0.5, True), ("a", 0.5, False), ("a", 0.0, False), ("a", 1.0, False), ("b", -math.inf, True), ("b", math.inf, False)]
     frame = spark.createDataFrame(rows, "g string, s double, p boolean")
