@@ -13,8 +13,8 @@ from __future__ import annotations
 import ast
 import hashlib
 import keyword
-from collections import Counter
 from collections.abc import Iterable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,24 +35,36 @@ PROFILE = "keywords array<long>, others array<long>, g2 array<long>, g3 array<lo
 
 def numbered(items: Iterable[str]) -> list[int]:
     """A hash for each item and the number of equal ones before it."""
-    met: Counter = Counter()
+    met: dict[str, int] = {}
     out = []
     for x in items:
-        out.append(int.from_bytes(hashlib.blake2b(f"{met[x]}|{x}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-        met[x] += 1
+        met[x] = n = met.get(x, -1) + 1
+        out.append(_number(n, x))
     return out
 
 
+@lru_cache(maxsize=1 << 16)
+def _number(n: int, item: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{n}|{item}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def subtrees(code: str, language: str) -> list[str]:
     """The shapes of all nodes that have children; none if the program does not parse."""
     if language == "python":
-        try:
-            return _python_subtrees(ast.parse(code))
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return []
+        return _python_subtrees(tree) if (tree := _parsed(code)) else []
     return _bracket_subtrees(code, language) if language in WRAPPERS else []
 
 
+@lru_cache(maxsize=1)
+def _parsed(code: str) -> ast.Module | None:
+    """A program's tree, for all parts that read it; null if it does not parse."""
+    try:
+        return ast.parse(code)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+@lru_cache(maxsize=1 << 16)
 def _hashed(shape: str) -> str:
     """A shape, its inner shapes hashed, so that its length is that of its children."""
     return hashlib.md5(shape.encode()).hexdigest()
@@ -60,11 +72,12 @@ def _hashed(shape: str) -> str:
 
 def _python_subtrees(tree: ast.AST) -> list[str]:
     out: list[str] = []
-    order, shape = [tree], {}
+    order, shape, below = [tree], {}, []
     for node in order:
-        order += ast.iter_child_nodes(node)
-    for node in reversed(order):
-        inner = [shape[id(c)] for c in ast.iter_child_nodes(node) if not isinstance(c, ast.expr_context)]
+        below.append(own := [c for c in ast.iter_child_nodes(node) if not isinstance(c, ast.expr_context)])
+        order += own
+    for node, own in zip(reversed(order), reversed(below)):
+        inner = [shape[id(c)] for c in own]
         shape[id(node)] = _hashed(f"{type(node).__name__}({','.join(inner)})")
         if inner:
             out.append(shape[id(node)])
@@ -142,10 +155,10 @@ def flows(code: str, language: str) -> list[str]:
     """Edges of the data flow, variables named by the order in which they are met; Python only."""
     if language != "python":
         return []
+    found, tree = _Flows(), _parsed(code)
     try:
-        found = _Flows()
-        found.visit(ast.parse(code))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        found.visit(tree) if tree else None
+    except RecursionError:
         return []
     name: dict[str, str] = {}
     of = lambda v: name.setdefault(v, f"v{len(name)}")
@@ -175,23 +188,32 @@ def profile(code: Column, language: Column) -> Column:
     return made
 
 
+PARTS = ("keywords", "others", *[f"g{i}" for i in range(2, LONGEST + 1)], "trees", "flows")
+
+
 def similarity(reference: Column, hypothesis: Column) -> Column:
     """How much of a reference's profile is in another's, 0 to 1; null if one is. Not symmetric."""
-    n = lambda side, part: F.size(side[part]).cast("double")
-    common = lambda part: F.size(F.array_intersect(reference[part], hypothesis[part])).cast("double")
-    grams = [f"g{i}" for i in range(2, LONGEST + 1)]
+    size = lambda side, part: F.size(side[part]).cast("double")
+    met = [F.size(F.array_intersect(reference[p], hypothesis[p])).cast("double").alias(f"c_{p}") for p in PARTS]
+    counts = F.struct(*met, *[size(reference, p).alias(f"r_{p}") for p in PARTS], *[size(hypothesis, p).alias(f"h_{p}") for p in PARTS])
+    same = F.lit(True)
+    for p in PARTS:
+        same = same & (reference[p] == hypothesis[p])
+    known = reference["others"].isNotNull() & hypothesis["others"].isNotNull()
+    return F.when(known, F.when(same, 1.0).otherwise(F.get(F.transform(F.array(counts), _score), 0)))  # parts are counted once
+
+
+def _score(counts: Column) -> Column:
+    """The score from how many items of each part are common (c), the reference's (r) and the hypothesis's (h)."""
+    n = lambda side, part: counts[f"{side}_{part}"]
+    grams = [p for p in PARTS if p.startswith("g")]
     tokens = lambda side: n(side, "keywords") + n(side, "others")
-    short = F.when(tokens(hypothesis) >= tokens(reference), 1.0).when(tokens(hypothesis) == 0, 0.0).otherwise(F.exp(1 - tokens(reference) / tokens(hypothesis)))
-    met = common("keywords") + common("others")
+    short = F.when(tokens("h") >= tokens("r"), 1.0).when(tokens("h") == 0, 0.0).otherwise(F.exp(1 - tokens("r") / tokens("h")))
     share = lambda some, whole: F.when(some > 0, some).otherwise(LEAST) / F.greatest(whole, F.lit(1.0))
     mean = lambda shares: F.exp(sum((F.log(x) for x in shares), F.lit(0.0)) / LONGEST)
-    plain = mean([share(met, tokens(hypothesis)), *[share(common(g), n(hypothesis, g)) for g in grams]])
     heavy = lambda side: n(side, "keywords") + PLAIN * n(side, "others")
-    weighted = mean([share(common("keywords") + PLAIN * common("others"), heavy(reference)), *[share(common(g), n(reference, g)) for g in grams]])
-    worded = F.when(met > 0, short * (plain + weighted)).otherwise(0.0)
-    part = lambda p: F.when(n(reference, p) > 0, common(p) / n(reference, p)).otherwise(1.0)
-    same = F.lit(True)
-    for p in ("keywords", "others", *grams, "trees", "flows"):
-        same = same & (reference[p] == hypothesis[p])
-    known = reference["others"].isNotNull() & hypothesis["others"].isNotNull()
-    return F.when(known, F.when(same, 1.0).otherwise((worded + part("trees") + part("flows")) / 4))
+    plain = mean([share(tokens("c"), tokens("h")), *[share(n("c", g), n("h", g)) for g in grams]])
+    weighted = mean([share(heavy("c"), heavy("r")), *[share(n("c", g), n("r", g)) for g in grams]])
+    worded = F.when(tokens("c") > 0, short * (plain + weighted)).otherwise(0.0)
+    part = lambda p: F.when(n("r", p) > 0, n("c", p) / n("r", p)).otherwise(1.0)
+    return (worded + part("trees") + part("flows")) / 4

@@ -55,15 +55,18 @@ def paired_difference(a: DataFrame, b: DataFrame, problem: str, value: str) -> D
 
 
 def cross_mean(marked: DataFrame, reference: DataFrame, problem: str, ident: str, distance) -> DataFrame:
-    """Per problem, the mean over marked rows of their mean distance to the problem's reference rows."""
-    pairs = marked.alias("m").join(reference.alias("r"), F.col(f"m.{problem}") == F.col(f"r.{problem}"))
+    """Per problem, the mean over marked rows of their mean distance to the problem's reference rows.
+
+    Rows may hold whole profiles, whose size Spark takes for a few bytes before they are made: so neither side is broadcast.
+    """
+    pairs = marked.alias("m").join(reference.hint("merge").alias("r"), F.col(f"m.{problem}") == F.col(f"r.{problem}"))
     per_row = pairs.groupBy(F.col(f"m.{problem}").alias(problem), F.col(f"m.{ident}")).agg(F.avg(distance).alias("mean"))
     return per_row.groupBy(problem).agg(F.avg("mean").alias("cross_mean"))
 
 
 def within_mean(reference: DataFrame, problem: str, ident: str, distance) -> DataFrame:
     """Natural variability: the same among a problem's own rows, two at least."""
-    pairs = reference.alias("m").join(reference.alias("r"), (F.col(f"m.{problem}") == F.col(f"r.{problem}")) & (F.col(f"m.{ident}") != F.col(f"r.{ident}")))
+    pairs = reference.alias("m").join(reference.hint("merge").alias("r"), (F.col(f"m.{problem}") == F.col(f"r.{problem}")) & (F.col(f"m.{ident}") != F.col(f"r.{ident}")))
     per_row = pairs.groupBy(F.col(f"m.{problem}").alias(problem), F.col(f"m.{ident}")).agg(F.avg(distance).alias("mean"))
     return per_row.groupBy(problem).agg(F.avg("mean").alias("within_mean"))
 

@@ -178,6 +178,10 @@ def similar_programs(spark, sf_dir):
 
 @query("m30_cross_similarity")
 def m30(spark, sf_dir):
-    """Per problem, how much of the reference programs is in the marked ones: profiles are made once a program, pairs by built-ins."""
-    marked, reference = (t.select("problem_key", "sample_id", profile(F.col("code"), F.lit("python")).alias("profile")) for t in similar_programs(spark, sf_dir))
+    """Per problem, how much of the reference programs is in the marked ones: profiles are made once a program, pairs by built-ins.
+
+    Programs are dealt by problem before they have profiles, which are many times their size and so are not shuffled.
+    """
+    dealt = lambda t: t.repartition(4 * spark.sparkContext.defaultParallelism, "problem_key")
+    marked, reference = (dealt(t).select("problem_key", "sample_id", profile(F.col("code"), F.lit("python")).alias("profile")) for t in similar_programs(spark, sf_dir))
     return metrics.cross_mean(marked, reference, "problem_key", "sample_id", similarity(F.col("r.profile"), F.col("m.profile")))

@@ -94,3 +94,15 @@ def test_nulls_and_repeats(spark):
     assert [r.s is None for r in t] == [True, True, False, False, False]
     assert [r.s for r in t[2:]] == [pytest.approx(plain(r.r, r.h, set(), "text")) for r in t[2:]]
     assert len(set(profile_of("a a a", "text")["others"])) == 3
+
+
+def test_profiles_are_not_broadcast(spark):
+    """Spark takes a profile for a few bytes before it is made; the driver must not gather one side of the pairs."""
+    plan = code_queries.QUERIES["m30_cross_similarity"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_program_is_parsed_once(monkeypatch):
+    parsed, parse = [], ast.parse
+    monkeypatch.setattr(ast, "parse", lambda code: parsed.append(code) or parse(code))
+    assert profile_of("x = some_name + 1\n", "python")["trees"] and parsed == ["x = some_name + 1\n"]
