@@ -68,6 +68,25 @@ def test_first_of_one_line_and_event_times_from_zero(spark, tmp_path):
     assert {tuple(r) for r in found} == {(str(1 + n // 20), 0, status["ARN"[n % 3]], float(-n)) for n in range(18, 2400, 20)}
 
 
+def test_keys_share_state(spark, tmp_path, monkeypatch):
+    """Calls of Python are as many as buckets at most, whatever the number of keys, and keys of one bucket stay apart."""
+    monkeypatch.setattr(keyed, "BUCKETS", 3)
+    rng = random.Random(8)
+    row = lambda item, line: (f"i{item}", item % 2, line, rng.choice(["PASSED", "FAILED", "TIMEOUT", None]), rng.choice([None, float("nan"), rng.random()]), START + timedelta(minutes=line))
+    batches = [[row(rng.randrange(40), n) for n in range(60)], [row(rng.randrange(30, 70), n) for n in range(60, 130)], [row(99, 200)], [row(99, 201)]]
+    changes = run(spark, tmp_path, batches, keep_ms=60_000)
+    lasts = {}
+    for rows in batches:
+        for r in rows:
+            lasts[r[:2]] = max(lasts.get(r[:2], r), r, key=lambda x: x[2])
+    finals = sorted(changes.where("action = 'final'").collect(), key=lambda r: r.line)  # a key that comes back is final again
+    found = {(r.item_id, r.sample_index): r for r in finals}
+    assert found.keys() == lasts.keys() - {("i99", 1)} and all(found[k].line == lasts[k][2] and found[k].status == lasts[k][3] for k in found)
+    assert len({(r.item_id, r.line) for r in finals}) == len(finals)
+    plan = keyed.keyed_results(spark.readStream.schema(SHAPE).parquet(f"{tmp_path}/in"), "ts", "1 hour")._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "bucket#" in plan
+
+
 def test_store_of_the_caller_is_kept(spark):
     before = spark.conf.get(keyed.PROVIDER)
     assert before == keyed.ROCKS or pytest.skip("this session was not streamed yet")
