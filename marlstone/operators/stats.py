@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -227,9 +228,15 @@ def statistic_interval(table: DataFrame, group: list[str], cluster: str, value:
     return _with(point, percentile_interval(resampled(means, group, cluster, "mean", n, label), group, F.col("median"), alpha), group)
 
 
-def auroc_interval(table: DataFrame, group: list[str], cluster: str, score: str, positive: Column, n: int = 200, label: str = "auroc") -> DataFrame:
-    """AUROC with an interval: positives resampled by cluster, negatives row by row."""
-    kept = written(table.select(*group, cluster, F.col(score).alias("_score"), positive.alias("_positive")).withColumn("_unit", F.when(F.col("_positive"), F.concat(F.lit("c"), F.col(cluster).cast("string"))).otherwise(F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string")))), "auroc-rows")
+def auroc_interval(table: DataFrame, group: list[str], cluster: str, score: str, positive: Column, n: int = 200, label: str = "auroc", resampled=None) -> DataFrame:
+    """AUROC with an interval: positives resampled by cluster, negatives row by row, by seeds unless ``resampled`` draws them."""
+    rows = table.select(*group, cluster, F.col(score).alias("_score"), positive.alias("_positive"))
+    return _with(auroc(table, group, score, positive), percentile_interval((resampled or seeded_areas)(rows, group, cluster, n, label), group, F.col("auroc")), group)
+
+
+def seeded_areas(rows: DataFrame, group: list[str], cluster: str, n: int, label: str) -> DataFrame:
+    """(group, replicate, auroc) of rows with ``_score`` and ``_positive``, by the draws of ``replicates``: a row for each."""
+    kept = written(rows.withColumn("_unit", F.when(F.col("_positive"), F.concat(F.lit("c"), F.col(cluster).cast("string"))).otherwise(F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string")))), "auroc-rows")
     units = kept.groupBy(*group, "_positive", "_unit").agg(F.lit(1).alias("one"))
     placed = numbered(units, [*group, "_positive"], [F.col("_unit")], "_at").withColumn("_pick", F.col("_at") - 1).drop("_at")
     sized = _beside(placed, units.groupBy(*group, "_positive").agg(F.count("*").alias("_k")), [*group, "_positive"])
@@ -239,8 +246,83 @@ def auroc_interval(table: DataFrame, group: list[str], cluster: str, score: str,
     drawn = times.join(placed.select(*group, "_positive", "_pick", "_unit"), [*group, "_positive", "_pick"])
     rows = drawn.join(kept, [*group, "_positive", "_unit"]).groupBy(*group, "replicate", "_score").agg(F.sum(F.when(F.col("_positive"), F.col("times")).otherwise(0)).alias("pos"), F.sum(F.when(~F.col("_positive"), F.col("times")).otherwise(0)).alias("neg"))
     cum = running_sums(rows, [*group, "replicate"], "_score", ["pos", "neg"])
-    values = cum.groupBy(*group, "replicate").agg(F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") * 0.5)), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
-    return _with(auroc(table, group, score, positive), percentile_interval(values, group, F.col("auroc")), group)
+    return cum.groupBy(*group, "replicate").agg(F.try_divide(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") * 0.5)), F.sum("pos").cast("double") * F.sum("neg")).alias("auroc"))
+
+
+WIDE = 16  # blocks whose draws are held together
+
+
+def _uniform_draws(label: str, units: int, block: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_block_draws``, a row per unit and a column per replicate: draws of equal chances, counted."""
+    ahead, here = _split(label, units, units, block, n, BLOCK)
+    size = min(BLOCK, units - block * BLOCK)
+    picks = _generator(label, "block", block).integers(0, size, int(here.sum()))
+    return ahead, np.bincount(picks * n + np.repeat(np.arange(n), here), minlength=size * n).reshape(size, n)
+
+
+def _packed(counts: np.ndarray) -> np.ndarray:
+    """The same counts in as few bytes as hold them."""
+    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if not counts.size or counts.max() <= np.iinfo(t).max))
+
+
+def split_areas(rows: DataFrame, group: list[str], cluster: str, n: int, label: str, base: int = 42) -> DataFrame:
+    """As ``seeded_areas``, by exact multinomial counts: no row is made for a draw.
+
+    Negatives are numbered by score, so a block of them knows for each replicate how many draws fall on the first i
+    of them, and a positive only says between which it stands: behind those below it, and behind those not above, by
+    half each. Blocks of clusters give the draws of the positives at each such place, as one array of n counts; these meet
+    the negatives' draws by ranges of places, so neither a group nor a score with many rows is one task.
+    """
+    spark, seed_ = rows.sparkSession, f"{label}|{base}"
+    kept = rows.where(F.col("_positive").isNotNull())
+    by_score = _by_score(kept, group, "_score", F.col("_positive"))
+    below = running_sums(by_score, group, "_score", ["neg"]).select(*group, "_score", F.array(F.col("cum_neg") - F.col("neg"), "cum_neg").alias("_places"))
+    sizes = by_score.groupBy(*group).agg(F.sum("neg").alias("_negatives"))
+    own = kept.where("_positive").groupBy(*group, cluster, "_score").agg(F.count("*").alias("_w"))
+    clusters = _blocks(own.select(*group, cluster).distinct(), group, [F.col(cluster)]).select(*group, cluster, "_name", "_at", "_k")
+    placed = _beside(_beside(own, below, [*group, "_score"]), clusters, [*group, cluster])
+    placed = _beside(placed, sizes, group).select("_name", "_at", "_k", "_negatives", "_w", F.explode(F.concat("_places", F.array(F.lit(-1).cast("long")))).alias("_place"))  # at -1 all are counted
+    placed = placed.where("_place <> 0").groupBy("_name", "_at", "_k", "_negatives", "_place").agg(F.sum("_w").alias("_w")).withColumn("_wide", F.floor((F.col("_at") - 1) / (BLOCK * WIDE)))
+    dealt = lambda t, *by: t.repartitionByRange(4 * spark.sparkContext.defaultParallelism, *by).sortWithinPartitions(*by)
+
+    def of_clusters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, counts = None, None
+        for batch in batches:
+            for (name, wide), part in batch.groupby(["_name", "_wide"], sort=False):
+                if held != (name, wide):
+                    k = int(part["_k"].iloc[0])
+                    held, blocks = (name, wide), range(int(wide) * WIDE, min((int(wide) + 1) * WIDE, -(-k // BLOCK)))
+                    counts = np.concatenate([_packed(_uniform_draws(f"{seed_}|positive|{name}", k, b, n)[1]) for b in blocks])
+                for i in range(0, len(part), BLOCK):
+                    some = part.iloc[i : i + BLOCK]
+                    places = some["_place"].to_numpy()
+                    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+                    drawn = np.add.reduceat(counts[some["_at"].to_numpy() - 1 - int(wide) * WIDE * BLOCK] * some["_w"].to_numpy()[:, None], first, axis=0)
+                    yield pd.DataFrame({"_name": name, "_negatives": some["_negatives"].iloc[0], "_place": places[first], "_draws": [_packed(x).tobytes() for x in drawn]})
+
+    def of_negatives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, until, sums = None, None, {}
+        for batch in batches:
+            for (name, block), part in batch.groupby(["_name", (batch["_place"] - 1) // BLOCK], sort=False):
+                won, drawn = sums.setdefault(name, (np.zeros(n), np.zeros(n)))
+                if block >= 0 and held != (name, block):
+                    ahead, counts = _uniform_draws(f"{seed_}|negative|{name}", int(part["_negatives"].iloc[0]), int(block), n)
+                    held, until = (name, block), ahead + counts.cumsum(axis=0)
+                for i in range(0, len(part), BLOCK):
+                    some = part.iloc[i : i + BLOCK]
+                    draws = np.stack([np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(x) // n]) for x in some["_draws"]]).astype(float)
+                    if block < 0:
+                        drawn += draws.sum(axis=0)
+                    else:
+                        won += (draws * until[some["_place"].to_numpy() - 1 - int(block) * BLOCK]).sum(axis=0) / 2
+        for name, (won, drawn) in sums.items():
+            yield pd.DataFrame({"_name": name, "replicate": np.arange(n), "_won": won, "_drawn": drawn})
+
+    by_place = dealt(placed, "_name", "_wide", "_place").mapInPandas(of_clusters, "_name string, _negatives long, _place long, _draws binary")
+    sums = dealt(by_place, "_name", "_place").mapInPandas(of_negatives, "_name string, replicate int, _won double, _drawn double")
+    sums = sums.groupBy("_name", "replicate").agg(F.sum("_won").alias("_won"), F.sum("_drawn").alias("_drawn"))
+    every = sizes.select(*group, "_negatives", F.to_json(F.struct(F.lit(0).alias("_"), *group)).alias("_name"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
+    return every.join(sums, ["_name", "replicate"], "left").select(*group, "replicate", F.try_divide("_won", F.col("_drawn") * F.col("_negatives")).alias("auroc"))
 
 
 def _with(point: DataFrame, bounds: DataFrame, group: list[str]) -> DataFrame:

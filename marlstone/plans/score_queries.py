@@ -320,7 +320,7 @@ def _m9(spark, sf_dir, **replicates):
 @query("m5_auroc_interval")
 def m5(spark, sf_dir):
     d = detections(spark, sf_dir).where("subject in ('purchase', 'view')")
-    return stats.auroc_interval(d, ["dataset"], "user_id", "score", F.col("subject") == "purchase", n=1000)
+    return stats.auroc_interval(d, ["dataset"], "user_id", "score", F.col("subject") == "purchase", n=1000, resampled=stats.split_areas)
 
 
 @query(

@@ -100,3 +100,29 @@ def test_freeze_compares_counts(spark):
     found = gates.freeze_violations(selected, thresholds, candidates, ["L1"])
     assert [tuple(r) for r in found.collect()] == [("m", "c", "py", "candidates differ between cells")]
     assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_split_areas_are_those_of_their_draws(spark):
+    """Each replicate's area by plain sums over the draws of all blocks; ties, null groups, several blocks of either kind; no row for a draw."""
+    rng, n = random.Random(9), 12
+    rows = [(g, rng.randrange(2500), float(rng.randrange(s)), rng.random() < 0.45) for g, s in (("a", 400), (None, 3)) for _ in range(4000)] + [("p", 1, 2.0, True), ("q", 1, 2.0, False)]
+    frame = spark.createDataFrame(rows, "g string, c int, _score double, _positive boolean")
+    found = {}
+    for r in stats.split_areas(frame, ["g"], "c", n, "x").collect():
+        found.setdefault(r.g, {})[r.replicate] = r.auroc
+    assert found.keys() == {"a", None, "p", "q"} and all(len(x) == n for x in found.values()) and {*found["p"].values(), *found["q"].values()} == {None}
+    for g, name in (("a", '{"_":0,"g":"a"}'), (None, '{"_":0}')):
+        own = [r for r in rows if r[0] == g]
+        clusters, negatives = sorted({r[1] for r in own if r[3]}), sorted(r[2] for r in own if not r[3])
+        drawn = lambda kind, k: np.concatenate([stats._uniform_draws(f"x|42|{kind}|{name}", k, b, n)[1] for b in range(-(-k // stats.BLOCK))])  # noqa: E731, B023
+        of_clusters, of_negatives = drawn("positive", len(clusters)), drawn("negative", len(negatives))
+        assert len(clusters) > stats.BLOCK and len(negatives) > stats.BLOCK and (of_clusters.sum(axis=0) == len(clusters)).all() and (of_negatives.sum(axis=0) == len(negatives)).all()
+        until = np.concatenate([np.zeros((1, n)), of_negatives.cumsum(axis=0)])
+        won, total = np.zeros(n), np.zeros(n)
+        for _, c, score, positive in own:
+            if positive:
+                times = of_clusters[clusters.index(c)]
+                won += times * (until[np.searchsorted(negatives, score)] + until[np.searchsorted(negatives, score, "right")]) / 2
+                total += times
+        assert [found[g][r] for r in range(n)] == pytest.approx(list(won / (total * len(negatives))))
+    assert QUERIES["m5_auroc_interval"].__code__.co_names.count("split_areas") == 1
