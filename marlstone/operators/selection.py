@@ -57,16 +57,48 @@ def distinct_codes(rows: DataFrame, group: list[str], code: str, order: list[str
     return first_per(first_per(marked, [*group, "fp"], by), group, by, n)
 
 
+FOLDED = 1000  # rows of a group that are walked as one array
+
+
 def pick_without_reuse(rows: DataFrame, group: list[str], order: str, user: str, duplicate: str, n: int) -> DataFrame:
     """In order, rows whose user and duplicate group are not used yet, up to n of each group.
 
+    Groups of up to FOLDED rows are walked in order as arrays: their rows are shuffled once, and no table is written. Larger
+    ones, if there are any, are picked from in rounds. Equal places in the order go by the row's other columns, equal
+    rows by number; a row without a user or duplicate group shares it with none.
+    """
+    large = rows.groupBy(*group).agg(F.count("*").alias("_size")).where(F.col("_size") > FOLDED)
+    if not large.limit(1).count():
+        return _picked_in_order(rows, group, order, user, duplicate, n)
+    if not group:
+        return _picked_in_rounds(rows, group, order, user, duplicate, n)
+    large = large.select(*[F.col(g).alias(f"_of_{g}") for g in group])
+    of = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]
+    small = _picked_in_order(rows.join(large, of, "left_anti"), group, order, user, duplicate, n)
+    return small.unionByName(_picked_in_rounds(rows.join(large, of, "left_semi"), group, order, user, duplicate, n))
+
+
+def _picked_in_order(rows: DataFrame, group: list[str], order: str, user: str, duplicate: str, n: int) -> DataFrame:
+    """``pick_without_reuse`` for groups of few rows each, as an aggregate."""
+    rest = [c for c in rows.columns if c not in (*group, order)]
+    walked = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias("_rows"))
+
+    def step(picked: Column, x: Column) -> Column:
+        shared = F.coalesce(F.exists(picked, lambda p: (p[user] == x[user]) | (p[duplicate] == x[duplicate])), F.lit(False))
+        return F.when((F.size(picked) >= n) | shared, picked).otherwise(F.concat(picked, F.array(x)))
+
+    picks = walked.select(*group, F.inline(F.aggregate("_rows", F.slice("_rows", 1, 0), step)))
+    return picks.select(*rows.columns)
+
+
+def _picked_in_rounds(rows: DataFrame, group: list[str], order: str, user: str, duplicate: str, n: int) -> DataFrame:
+    """``pick_without_reuse`` for groups of any size, none of which is gathered.
+
     A row that is the first left both of its user and of its duplicate group is picked whatever else
     happens, and those sharing either with it go; repeated until none is left, that is the choice made
-    one by one. Each round is aggregates and joins, so no group is gathered. A round picks at least the first row that
+    one by one. Each round is aggregates and joins. A round picks at least the first row that
     a group has left, and what comes behind a group's n-th pick is dropped: so there are n rounds at
-    most, whatever chains the rows form. Equal places in the order
-    go by the row's other columns, equal rows by number; a row without a user or duplicate group
-    shares it with none. Of what is picked the first n of each group are kept.
+    most, whatever chains the rows form. Of what is picked the first n of each group are kept.
     """
     spark = rows.sparkSession
     rest = [c for c in rows.columns if c not in (*group, order)]
@@ -74,16 +106,20 @@ def pick_without_reuse(rows: DataFrame, group: list[str], order: str, user: str,
         marked = written(rows.withColumn("_row", F.monotonically_increasing_id()), "pick-rows")
         alone = lambda c, tag: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.concat(F.lit(tag), F.col("_row").cast("string")))
         left = written(marked.select(*group, F.struct(order, *rest, "_row").alias("_at"), alone(user, "u").alias("_user"), alone(duplicate, "d").alias("_group")), "pick-left")
+        own.drop(marked)
         picked, least = left.limit(0), lambda c: F.min("_at").alias(f"_first{c}")
         while left.limit(1).count():
             by_user = left.groupBy(*group, "_user").agg(least("_user"))
             by_group = left.groupBy(*group, "_group").agg(least("_group"))
             told = left.join(by_user, [*group, "_user"]).join(by_group, [*group, "_group"])
             taken = written(told.where((F.col("_at") == F.col("_first_user")) & (F.col("_at") == F.col("_first_group"))).select(*left.columns), "pick-taken")
+            before, rest_before = picked, left
             picked = written(first_per(picked.unionByName(taken), group, [F.col("_at")], n), "picked")  # n rows of a group at most
             full = picked.groupBy(*group).agg(F.count("*").alias("_n"), F.max("_at").alias("_last")).where(F.col("_n") >= n)
             left = left.join(taken.select(*group, "_user"), [*group, "_user"], "left_anti").join(taken.select(*group, "_group"), [*group, "_group"], "left_anti")
             left = written(left.join(full, group, "left").where("_last is null or _at < _last").select(*taken.columns), "pick-left")
+            for read in (before, taken, rest_before):
+                own.drop(read)  # no more than a round's tables are on disk
         own.keep(picked)
     return picked.select(*group, "_at.*").select(*rows.columns)
 

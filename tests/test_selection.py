@@ -106,6 +106,28 @@ def test_pick_without_reuse_in_a_hot_group(spark):
     assert selection.pick_without_reuse(spark.createDataFrame([], schema), ["g"], "o", "u", "d", 2).count() == 0
 
 
+def test_small_groups_are_not_written_and_large_ones_agree(spark, monkeypatch):
+    """Groups on both sides of the size that is walked, nulls and equal places among them, against the plain loop."""
+    tables, write = [], selection.written
+    monkeypatch.setattr(selection, "written", lambda *x: tables.append(x[1]) or write(*x))
+    rng = random.Random(11)
+    rows = [(g, rng.randrange(9), rng.choice([None, *range(7)]), rng.choice([None, *range(9)])) for g, k in (("a", 30), ("b", 60), ("c", 5)) for _ in range(k)]
+    frame = spark.createDataFrame(rows, "g string, o int, u int, d int")
+    expected = []
+    for g in "abc":
+        users, groups, n = set(), set(), 0
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], (r[2] is not None, r[2] or 0), (r[3] is not None, r[3] or 0))):
+            if n < 6 and r[2] not in users and r[3] not in groups:
+                users, groups, n = users | ({r[2]} - {None}), groups | ({r[3]} - {None}), n + 1
+                expected.append(r)
+    for most, writes in ((1000, False), (40, True), (1, True)):
+        monkeypatch.setattr(selection, "FOLDED", most)
+        tables.clear()
+        got = selection.pick_without_reuse(frame, ["g"], "o", "u", "d", 6)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected)) and bool(tables) == writes
+        assert got.columns == frame.columns
+
+
 def test_splits_and_gates(spark):
     problems = spark.createDataFrame([(f"f{i % 3}/{i}",) for i in range(30)], "problem_key string")
     split = selection.assign_splits(problems, {"f0": 4})
