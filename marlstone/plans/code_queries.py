@@ -134,8 +134,9 @@ def q6_braces(spark, sf_dir):
     p = programs(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
     loop = F.when(F.col("language") == "javascript", "\nfunction loop(n) { for (let i = 0; i < n; i++) { g(i); } /* } */ }\n").otherwise("\nclass L { void loop(int n) { for (int i = 0; i < n; i++) { g(i); } /* } */ } };\n")
     whole, key = F.concat("code", loop), F.col("p_partkey").cast("string")
-    made = [F.struct(F.lit(name).alias("name"), rewrites.rewritten(name, whole, F.col("language"), key, x)["status"].alias("status")) for name, x in (("counted_to_while", 9.0), ("drop_comments", 1.0), ("add_comments", 0.5), ("local_edits", 2.0))]
-    return p.select(F.explode(F.array(*made)).alias("r")).groupBy("r.name", "r.status").agg(F.count("*").alias("n"))
+    changes = [("counted_to_while", 9.0), ("drop_comments", 1.0), ("add_comments", 0.5), ("local_edits", 2.0)]
+    made = F.arrays_zip(F.array(*[F.lit(name) for name, _ in changes]).alias("name"), rewrites.statuses(changes, whole, F.col("language"), key).alias("status"))
+    return p.select(F.explode(made).alias("r")).select("r.*").groupBy("name", "status").agg(F.count("*").alias("n"))
 
 
 _FILES = "WITH p AS (SELECT p_partkey, p_size % 4 AS w, p_name, p_brand, 'part_' || p_partkey::VARCHAR AS own FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 11 <> 0 AND p_size % 2 = 0)"

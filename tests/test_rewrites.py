@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import rewrites
 from marlstone.functions.braces import CPP, JAVA, JAVASCRIPT, Source
+from marlstone.plans import code_queries
+from tests.oracles import SMALL
 from tests.test_braces import function
 
 RNG = random.Random
@@ -120,3 +122,14 @@ def test_columns(spark):
     t = spark.createDataFrame(rows, "i int, c string, lang string")
     got = {r.i: r.x for r in t.select("i", rewrites.rewritten("drop_comments", F.col("c"), F.col("lang"), F.col("i").cast("string"), 1.0).alias("x")).collect()}
     assert [got[i].status for i in range(1, 6)] == ["APPLIED", "NOT_APPLICABLE", "TOOL_ERROR", "NOT_APPLICABLE", "UNCHANGED"] and "//" not in got[1].code
+
+
+def test_all_rewrites_from_one_reading(spark):
+    """The statuses are those of each rewrite alone, and the query reads a program in one function, not in one for each rewrite."""
+    p = code_queries.programs(spark, SMALL).unionByName(spark.createDataFrame([(-1, "n", 1, "cobol", "x"), (-2, "n", 1, "java", None)], "p_partkey long, p_name string, p_size int, language string, code string"))
+    changes = [(name, 1.0) for name in rewrites.REWRITES]
+    args = (F.col("code"), F.col("language"), F.col("p_partkey").cast("string"))
+    found = p.select(rewrites.statuses(changes, *args).alias("all"), F.array(*[rewrites.rewritten(name, *args, x)["status"] for name, x in changes]).alias("each")).collect()
+    assert all(r["all"] == r["each"] for r in found) and len({tuple(r["all"]) for r in found}) > 2
+    plan = code_queries.QUERIES["q6_brace_rewrites"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "pythonUDF0" in plan and "pythonUDF1" not in plan
