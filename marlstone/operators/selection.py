@@ -100,7 +100,8 @@ def _picked_in_rounds(rows: DataFrame, group: list[str], order: str, user: str,
     a group has left, and what comes behind a group's n-th pick is dropped: so there are n rounds at
     most, whatever chains the rows form. Of what is picked the first n of each group are kept.
     """
-    spark = rows.sparkSession
+    spark, columns = rows.sparkSession, rows.columns
+    rows = rows.withColumns({g: F.struct(F.col(g).alias("of")) for g in group})  # a null key equals itself
     rest = [c for c in rows.columns if c not in (*group, order)]
     with scratch(spark) as own:
         marked = written(rows.withColumn("_row", F.monotonically_increasing_id()), "pick-rows")
@@ -121,7 +122,7 @@ def _picked_in_rounds(rows: DataFrame, group: list[str], order: str, user: str,
             for read in (before, taken, rest_before):
                 own.drop(read)  # no more than a round's tables are on disk
         own.keep(picked)
-    return picked.select(*group, "_at.*").select(*rows.columns)
+    return picked.select(*[F.col(g)["of"].alias(g) for g in group], "_at.*").select(*columns)
 
 
 def constrained_best(candidates: DataFrame, group: list[str], most: float) -> DataFrame:
